@@ -13,6 +13,7 @@ itself; null ids pass through. Any length of text works in memory proportional t
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import list_array, texts_of
 
 #: Pieces kept with their ids in each Python worker; more only cost their encoding again.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 CACHE_PAIRS = 1_000_000
 #: Unicode white space, spelled out because engines differ on the control characters 1C to 1F.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -50,15 +51,26 @@ class PrefixEncoder:
         self.longest = max(map(len, ranks), default=1)
         self._ranks = ranks
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        #: Every suffix of a token, with the token's id, or -1 where the suffix is no token itself.
-        self._suffixes: dict[bytes, int] = {}
-        for token in ranks:
-            for start in range(len(token)):
-                self._suffixes.setdefault(token[start:], -1)
-        for token, rank in ranks.items():
-            if len(token) == 1 or self.halves(rank):
-                self._suffixes[token] = rank
+        self._pairs: dict[int, bool] = {}
+        # An automaton over the bytes, filled as texts need it: a state is the longest suffix of what
+        # was read that begins a token.
+        self._prefixes = {b""}.union(*({token[:i] for i in range(1, len(token) + 1)} for token in ranks))
+        self._states: dict[bytes, int] = {}
+        self._names: list[bytes] = []
+        self._ends: list[tuple[tuple[int, int], ...]] = []  # (length, token) of the tokens a state ends with, longest first
+        self._next: dict[int, int] = {}
+        self._state(b"")
+
+    def _state(self, suffix: bytes) -> int:
+        while suffix not in self._prefixes:
+            suffix = suffix[1:]
+        state = self._states.get(suffix)
+        if state is None:
+            state = self._states[suffix] = len(self._names)
+            self._names.append(suffix)
+            tokens = ((len(suffix) - i, self._ranks.get(suffix[i:])) for i in range(len(suffix)))
+            self._ends.append(tuple((n, t) for n, t in tokens if t is not None and (n == 1 or self.halves(t))))
+        return state
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a byte or a token no merge makes."""
@@ -77,7 +89,7 @@ class PrefixEncoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their bytes are encoded together."""
-        key = (left, right)
+        key = left << 32 | right
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= CACHE_PAIRS:
@@ -103,19 +115,21 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> list[int]:
         """Fill the table up to prefix length ``stop``; ``last[i]`` ends the prefix of length i + 1."""
-        suffixes, compatible = self._suffixes, self.compatible
-        for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
-            found = []
-            for start in range(end - 1, -1, -1):
-                token = suffixes.get(data[start:end])
-                if token is None:
+        follow, ends, pairs, compatible = self._next, self._ends, self._pairs, self.compatible
+        at = len(last)
+        state = self._state(data[max(0, at - self.longest) : at])
+        for end in range(at, len(data) if stop is None else stop):
+            move = state << 8 | data[end]
+            state = follow.get(move, -1)
+            if state < 0:
+                state = follow[move] = self._state(self._names[move >> 8] + data[end : end + 1])
+            for length, token in ends[state]:
+                if length > end:
                     break
-                if token >= 0:
-                    found.append((start, token))
-            for start, token in reversed(found):
-                if not start or compatible(last[start - 1], token):
-                    last.append(token)
+                left = last[end - length]
+                if pairs.get(left << 32 | token) or compatible(left, token):
                     break
+            last.append(token)
         return last
 
     def walk_back(self, last: list[int]) -> list[int]:
@@ -186,7 +200,7 @@ class _Pieces(dict):
                 shared += 1
             del last[shared:]
             data = piece
-            self[piece.decode("utf-8")] = np.array(self.encoder.encode(piece, last), dtype="<i4").tobytes()
+            self[piece.decode("utf-8")] = array("i", self.encoder.encode(piece, last)).tobytes()
 
     def encode_batch(self, texts: list[str], split: regex.Pattern) -> list[bytes]:
         """The ids of each text, a group of about 4 MB of texts after the other."""
@@ -206,6 +220,11 @@ def _worker(path: str, pattern: str) -> tuple[_Pieces, regex.Pattern]:
     return _Pieces(PrefixEncoder(load_ranks(path))), compile_pattern(pattern)
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in load_ranks(path).items()}
+
+
 def encode_text(text: str, path: str, pattern: str) -> np.ndarray:
     """The ids of a whole text, each match of the pattern encoded separately."""
     pieces, split = _worker(path, pattern)
@@ -229,13 +248,12 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
     """``id_col``, ``ids`` and ``decoded`` (binary); null ids decode to no bytes, an unknown id is an error."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = _worker(ranks_path, "")[0].encoder.bytes_of
-        table = [bytes_of[i] for i in range(len(bytes_of))]
+        table = _token_bytes(ranks_path)
         for batch in batches:
             lists = batch.column(1)
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy().tolist()
-            decoded = [b"".join([table[i] for i in flat[a:b]]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.binary())], names=[id_col, "ids", "decoded"])
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().tolist()
+            decoded = pa.array((b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:], strict=False)), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=[id_col, "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(decode, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>, decoded binary")
