@@ -32,36 +32,55 @@ from tokenizers import Tokenizer
 
 from panelforge.llm.common import texts_of, work_dir
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
 
 
 class WordEncoder(dict):
     """Encodes with the tokenizers library, each distinct word once.
 
-    Only for tokenizers that drop white space between words, so that words don't see one another.
+    Only for tokenizers that drop white space between words, so that words don't see one another. A run
+    of Latin letters at the start of a word, before an ASCII character or the end, is encoded apart from
+    what follows: such tokenizers always split there. New runs go to the library in one text; each gives
+    one token that ends a word, by which the ids are told apart.
     """
 
-    SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+    SPLIT = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++(?=[\x00-\x7f]|\Z)|[^\x20\x09-\x0D]+")
+    LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str, dtype: str):
         super().__init__()
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def learn(self, new: list[str]) -> None:
+        letters = self.LETTERS.fullmatch
+        runs = [w for w in new if letters(w)]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, self.dtype)
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+        if len(stops) == len(runs):
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(runs, stops.tolist(), strict=True):
+                self[word] = data[start:stop]
+                start = stop
+            new = [w for w in new if w not in self]
+        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self[word] = np.array(found.ids, self.dtype).tobytes()
 
     def encode_batch(self, texts: list[str], end_id: int) -> list[bytes]:
         out, end = [], np.array([end_id], self.dtype).tobytes()
         start = 0
         while start < len(texts):
             stop, size = start, 0
-            while stop < len(texts) and size < 4_000_000:
+            while stop < len(texts) and size < 2_000_000:
                 size += len(texts[stop])
                 stop += 1
             words = [self.SPLIT.findall(t) for t in texts[start:stop]]
             if len(self) > CACHE_WORDS:
                 self.clear()
-            new = [w for w in set().union(*words) if w not in self]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, self.dtype).tobytes()
+            self.learn([w for w in set().union(*words) if w not in self])
             out += [b"".join(map(self.__getitem__, w)) + end for w in words]
             start = stop
         return out
