@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import list_array, texts_of
 
 #: Pieces kept with their ids in each Python worker; more only cost their encoding again.
-CACHE_PIECES = 300_000
-CACHE_PAIRS = 1_000_000
+CACHE_PIECES = 250_000
+CACHE_PAIRS = 300_000
 #: Unicode white space, spelled out because engines differ on the control characters 1C to 1F.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -202,17 +202,16 @@ class _Pieces(dict):
             data = piece
             self[piece.decode("utf-8")] = array("i", self.encoder.encode(piece, last)).tobytes()
 
-    def encode_batch(self, texts: list[str], split: regex.Pattern) -> list[bytes]:
-        """The ids of each text, a group of about 4 MB of texts after the other."""
-        out, group, size = [], [], 0
+    def encode_groups(self, texts: list[str], split: regex.Pattern) -> Iterator[list[bytes]]:
+        """The ids of the texts in their order, a group of about 1 MB of texts after the other."""
+        group, size = [], 0
         for i, text in enumerate(texts):
             group.append(split.findall(text))
             size += len(text)
-            if size > 4_000_000 or i == len(texts) - 1:
+            if size > 1_000_000 or i == len(texts) - 1:
                 self.learn(set().union(*group))
-                out += [b"".join(map(self.__getitem__, pieces)) for pieces in group]
+                yield [b"".join(map(self.__getitem__, pieces)) for pieces in group]
                 group, size = [], 0
-        return out
 
 
 @lru_cache(maxsize=2)
@@ -228,7 +227,7 @@ def _token_bytes(path: str) -> dict[int, bytes]:
 def encode_text(text: str, path: str, pattern: str) -> np.ndarray:
     """The ids of a whole text, each match of the pattern encoded separately."""
     pieces, split = _worker(path, pattern)
-    return np.frombuffer(pieces.encode_batch([text], split)[0], dtype="<i4")
+    return np.frombuffer(next(pieces.encode_groups([text], split))[0], dtype="<i4")
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -237,8 +236,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, split = _worker(ranks_path, pattern)
         for batch in batches:
-            ids = list_array(pieces.encode_batch(texts_of(batch.column(1)), split))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+            at = 0
+            for ids in pieces.encode_groups(texts_of(batch.column(1)), split):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), list_array(ids)], names=[id_col, "ids"])
+                at += len(ids)
 
     rows = docs.select(F.col(id_col), F.col(text_col))
     return rows.mapInArrow(encode, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
