@@ -7,15 +7,16 @@ a fifth of the line (so lines of a template agree in 0.8 of their tokens or more
 ``min_docs`` documents or more is recurring, and its lines are dropped, but for the first (by document
 id, then line number), so that of copied text one copy stays.
 
-1. Leaves are counted by their hashes. Those of ``min_docs`` documents are marked in a bitmap of fixed
-   size, which only saves work: other leaves cannot hold a recurring template.
-2. Lines of marked leaves give their template hashes, counted with partial aggregation, so a line that
-   all documents share is one row a task.
+1. Template hashes are counted by slots, as many as a bitmap of fixed size has bits. The bitmap of the
+   slots with ``min_docs`` documents goes to all tasks. It only saves work: a recurring template's slot
+   is always in it, and ``SLOTS`` should grow to some times the lines for it to keep doing so.
+2. Lines with templates in such slots give rows, counted exactly with partial aggregation, so a line
+   that all documents share is one row a task.
 3. The recurring templates meet their lines in a join; the line numbers to drop meet the documents.
 
 Nulls: a null text stays null, an empty one empty; blank lines are never dropped. A document all of
 whose lines go keeps its row, with an empty text. Null ids come last in the order that decides which
-line stays. Repeated rows count as documents of their own. Other columns may have any names.
+line stays. Repeated rows count as one document. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,33 +34,29 @@ from panelforge.llm.common import materialize, texts_of
 
 DEPTH = 3
 MIN_DOCS = 3
-#: Bits of the map of leaves.
-LEAF_BITS = 1 << 24
+#: Slots of the bitmap.
+SLOTS = 1 << 27
 WILDCARD = "<*>"
-DIGIT = re.compile(r"\S*\d\S*")
+DIGIT = re.compile(r"\d")
+ALL = (1 << 64) - 1
 
 
 def parse(line: str) -> list[str]:
     """The tokens of a line, those with digits generalised."""
-    return DIGIT.sub(WILDCARD, line).split()
-
-
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\n".join(parts)) - (1 << 63)
-
-
-def leaf(tokens: list[str], depth: int = DEPTH) -> int:
-    return _hash(str(len(tokens)), *tokens[:depth])
+    tokens = line.split()
+    return [WILDCARD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
 
 def templates(tokens: list[str], depth: int = DEPTH) -> list[int]:
     """Hashes of a line's templates: itself, and itself with one run of later tokens generalised."""
-    n = len(tokens)
-    found = [_hash(*tokens)]
+    n, digest = len(tokens), xxhash.xxh64_intdigest
+    leaf = digest("\n".join([str(n), *tokens[:depth]]))
     run = n // 5
+    parts = [digest("\n".join(tokens[at : at + run]), at) for at in range(depth, n, run)] if run else [digest("\n".join(tokens[depth:]))]
+    whole = leaf + sum(parts)
+    found = [whole & ALL]
     if run:
-        tail = range(depth, n, run)
-        found += [_hash(f"{n} {i}", *tokens[:at], WILDCARD, *tokens[at + run :]) for i, at in enumerate(tail)]
+        found += [digest(f"{whole - part & ALL} {i}") for i, part in enumerate(parts)]
     return found
 
 
@@ -69,41 +66,43 @@ def _lines(text: str) -> Iterator[tuple[int, list[str]]]:
             yield number, tokens
 
 
-def _live_leaves(rows: DataFrame, depth: int, min_docs: int) -> np.ndarray:
-    """Bitmap of the leaves that lines of ``min_docs`` documents reach (and of those that share a bit)."""
+def _live_slots(rows: DataFrame, depth: int, min_docs: int) -> np.ndarray:
+    """Bitmap of the slots that templates of ``min_docs`` documents reach (and of those that share one)."""
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for text in texts_of(batch.column(1)) for x in {leaf(t, depth) for _, t in _lines(text)}]
-            slots, counts = np.unique(np.array(found, dtype=np.int64) & (LEAF_BITS - 1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts)], names=["slot", "n"])
+            found = [x & (SLOTS - 1) for text in texts_of(batch.column(0)) for x in {t for _, tokens in _lines(text) for t in templates(tokens, depth)}]
+            slot, n = np.unique(np.array(found, dtype=np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
 
-    live = rows.select("__row", "__text").mapInArrow(leaves, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    packed = live.groupBy(F.shiftright("slot", 12).alias("chunk")).agg(F.collect_list(F.col("slot").bitwiseAND(4095).cast("short")).alias("bits"))
-    bitmap = np.zeros(LEAF_BITS, dtype=bool)
-    for chunk, bits in packed.toLocalIterator():
-        bitmap[(chunk << 12) + np.array(bits, dtype=np.int64)] = True
-    return np.packbits(bitmap)
+    live = rows.select("__text").mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+    bits = F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767).cast("long"))
+    bitmap = np.zeros(SLOTS // 8, dtype=np.uint8)
+    for part, data in live.groupBy(F.shiftright("slot", 15).alias("part")).agg(bits.alias("bits")).toLocalIterator():
+        bitmap[part << 12 : (part << 12) + len(data)] = np.frombuffer(data, dtype=np.uint8)
+    return bitmap
 
 
 def _template_rows(rows: DataFrame, bitmap: np.ndarray, depth: int) -> DataFrame:
-    """(row, id, line, template) of every line in a live leaf."""
+    """(row, id, line, template) of every template whose slot is live."""
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live = np.unpackbits(sent.value).view(bool)
+        live = sent.value
         for batch in batches:
             at, line, keys = [], [], []
             for i, text in enumerate(texts_of(batch.column(2))):
                 for number, tokens in _lines(text):
-                    if live[leaf(tokens, depth) & (LEAF_BITS - 1)]:
-                        found = templates(tokens, depth)
-                        keys += found
-                        at += [i] * len(found)
-                        line += [number] * len(found)
-            take = pa.array(at, pa.int64())
+                    found = templates(tokens, depth)
+                    keys += found
+                    at += [i] * len(found)
+                    line += [number] * len(found)
+            key, at, line = np.array(keys, dtype=np.uint64), np.array(at, dtype=np.int64), np.array(line, dtype=np.int32)
+            slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
+            used = (live[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+            take = pa.array(at[used])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int32()), pa.array(keys, pa.int64())],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(line[used]), pa.array(key[used].view(np.int64))],
                 names=["__row", "__id", "__line", "__template"],
             )
 
@@ -113,7 +112,7 @@ def _template_rows(rows: DataFrame, bitmap: np.ndarray, depth: int) -> DataFrame
 
 def dropped_lines(rows: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """``__row`` and its ``__drop``, the numbers of the lines that go; rows without any are left out."""
-    found = materialize(_template_rows(rows, _live_leaves(rows, depth, min_docs), depth), "line-templates")
+    found = materialize(_template_rows(rows, _live_slots(rows, depth, min_docs), depth), "line-templates")
     place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row", "__line")
     in_doc = found.groupBy("__template", "__row").agg(F.min(place).alias("place"))
     recurring = in_doc.groupBy("__template").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where(F.col("n") >= min_docs)
@@ -126,7 +125,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
     rows = keyed.select("__row", F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     drops = materialize(dropped_lines(rows, depth, min_docs), "dropped-lines")
-    joined = keyed.join(drops, "__row", "left")
+    joined = keyed.join(drops.hint("merge"), "__row", "left")  # one plan at every size
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.filter(lines, lambda _, i: ~F.array_contains("__drop", i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
