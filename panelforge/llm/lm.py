@@ -37,7 +37,7 @@ CLASSES = 2048
 HEAVY = 100_000
 DIM = 32
 CONTEXT = 2
-NOISE = 64
+NOISE = 48
 BATCH = 4096
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -106,7 +106,16 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, classes: int = CLASSES, heavy: int = HEAVY) -> Vocabulary:
     totals = counts.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     tokens, types, once, twice = (x or 0 for x in totals)
-    top = counts.orderBy(F.desc("c"), "word").limit(heavy).collect()
+    # The lowest of some 2000 classes of counts above which there are at most ``heavy`` words.
+    rank = F.floor(F.log("c") * 32).alias("rank")
+    cutoff, held = None, 0
+    for r in sorted(counts.groupBy(rank).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        held += r.n
+        if held > heavy:
+            break
+        cutoff = r["rank"]
+    top = counts.where(rank >= cutoff).collect() if cutoff is not None else []
+    top.sort(key=lambda r: (-r.c, bytes(r.word)))
     names = [END] + [bytes(r.word) for r in top if bytes(r.word) != END][: classes - 1]
     of = {bytes(r.word): r.c for r in top}
     own = np.array([of.get(w, 0) for w in names], dtype=float)
