@@ -11,6 +11,18 @@ def spread(id_col: Column) -> Column:
     return F.xxhash64(id_col.cast("string"), F.lit("sample"))
 
 
+def _thinned(rows: DataFrame, group: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows of each group in the order of ``spread``.
+
+    Counts first say which part of that order to keep (twice the limit), so no task ranks a whole group.
+    """
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    place = F.pmod(spread(F.col("__id")), F.lit(1 << 32)) / float(1 << 32)
+    kept = rows.join(counts, group).where(place * F.col("__n") < 2 * limit + 100)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(place, "__id"))
+    return kept.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__n")
+
+
 def labelled_ids(labels: DataFrame, label_col: str, limit: int, id_col: str = "doc_id") -> DataFrame:
     """``__id`` and ``__label`` of at most ``limit`` ids: all rarer labels up to half, the rest of the others.
 
@@ -18,16 +30,14 @@ def labelled_ids(labels: DataFrame, label_col: str, limit: int, id_col: str = "d
     """
     each = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     each = each.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
-    rank = F.row_number().over(Window.partitionBy("__label").orderBy(spread(F.col("__id"))))
-    half = each.withColumn("__rank", rank).where(F.col("__rank") <= limit).select("__id", "__label", "__rank")
-    return half.orderBy(F.col("__rank") > limit // 2, spread(F.col("__id"))).limit(limit).drop("__rank")
+    ranked = _thinned(each, "__label", limit)
+    return ranked.orderBy(F.col("__rank") > limit // 2, spread(F.col("__id"))).limit(limit).drop("__rank")
 
 
 def ids_per_group(rows: DataFrame, group_col: str, limit: int, id_col: str = "doc_id") -> DataFrame:
     """``__id`` and ``__label`` of at most ``limit`` rows of each group."""
-    rank = F.row_number().over(Window.partitionBy(group_col).orderBy(spread(F.col(id_col))))
-    named = rows.where(F.col(id_col).isNotNull() & F.col(group_col).isNotNull()).withColumn("__rank", rank)
-    return named.where(F.col("__rank") <= limit).select(F.col(id_col).alias("__id"), F.col(group_col).alias("__label"))
+    named = rows.where(F.col(id_col).isNotNull() & F.col(group_col).isNotNull())
+    return _thinned(named.select(F.col(id_col).alias("__id"), F.col(group_col).alias("__label")), "__label", limit).drop("__rank")
 
 
 def texts_with_labels(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
