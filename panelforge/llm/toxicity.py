@@ -32,6 +32,8 @@ FACTORS = 8
 MAX_TERMS = 4096
 #: Least z-score of the log odds of a term that is kept.
 LEAST_Z = 4.0
+#: Steps of training at least, so that small samples take more epochs.
+STEPS = 2000
 WORDS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 500_000
 
@@ -80,7 +82,7 @@ def train(documents: list[np.ndarray], y: np.ndarray, epochs: int = 25, rate: fl
     n, bias = len(index), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     w, v = np.zeros(n), rng.normal(0, 0.05, (n, FACTORS))
     gw, gv, gb = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
-    for _ in range(epochs):
+    for _ in range(max(epochs, STEPS * 128 // len(rows))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 128):
             part = order[at : at + 128]
