@@ -144,8 +144,8 @@ def rolling_sum_min_periods(spark, sf_dir):
 @query(
     f"""WITH {PANEL_SQL} SELECT site_id, date,
   CASE WHEN count(*) OVER w7 = 7 THEN CAST(sum(CASE WHEN rain > 60 THEN 1 ELSE 0 END) OVER w7 AS BIGINT) END AS wet_days_7d,
-  round(CASE WHEN count(ps) OVER w30 >= 20 THEN ps - avg(ps) OVER w30 END, 4) AS ps_anom,
-  round(ps - lag(ps, 1) OVER w, 4) AS ps_chg_1d, round(ps - lag(ps, 3) OVER w, 4) AS ps_chg_3d,
+  round(CASE WHEN count(ps) OVER w30 >= 20 THEN ps - avg(ps) OVER w30 END, 4) + 0 AS ps_anom,
+  round(ps - lag(ps, 1) OVER w, 4) + 0 AS ps_chg_1d, round(ps - lag(ps, 3) OVER w, 4) + 0 AS ps_chg_3d,
   round(sin(dayofyear(date) * (2 * pi() / 365.25)), 4) AS doy_sin, round(cos(dayofyear(date) * (2 * pi() / 365.25)), 4) AS doy_cos
 FROM filled WINDOW w AS (PARTITION BY site_id ORDER BY date), w7 AS (PARTITION BY site_id ORDER BY date ROWS 6 PRECEDING),
   w30 AS (PARTITION BY site_id ORDER BY date ROWS 29 PRECEDING)"""
@@ -397,12 +397,12 @@ def duplicate_rows(spark, sf_dir):
 # Metrics.
 
 
-@query(f"WITH {ABOVE_SQL} SELECT lang, round(sum(pos * (all_neg - fp + neg / 2)) / max(all_pos * all_neg), 6) AS roc_auc FROM above GROUP BY lang")
+@query(f"WITH {ABOVE_SQL} SELECT lang, round(sum(pos * (all_neg - fp + neg / 2)) / nullif(max(all_pos * all_neg), 0), 6) AS roc_auc FROM above GROUP BY lang")
 def roc_auc_exact(spark, sf_dir):
     return rounded(metrics.roc_auc(scored(spark, sf_dir), keys=["lang"]), 6)
 
 
-@query(f"WITH {ABOVE_SQL} SELECT lang, round(sum(pos * tp / (tp + fp)) / max(all_pos), 6) AS average_precision FROM above GROUP BY lang")
+@query(f"WITH {ABOVE_SQL} SELECT lang, round(sum(pos * tp / (tp + fp)) / nullif(max(all_pos), 0), 6) AS average_precision FROM above GROUP BY lang")
 def average_precision_exact(spark, sf_dir):
     return rounded(metrics.average_precision(scored(spark, sf_dir), keys=["lang"]), 6)
 

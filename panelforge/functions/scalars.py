@@ -205,7 +205,7 @@ def example_text(value: Column, length: int = 24) -> Column:
 def name_tokens(name: Column) -> Column:
     """Lower-case words of a name and the pairs of neighbours run together."""
     words = F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != "")
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), F.concat)).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(words, pairs))
 
 

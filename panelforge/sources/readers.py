@@ -44,7 +44,7 @@ def read_with_preamble(spark: SparkSession, path: str, header: str = r"^\s*\"?(d
     The header is the first line, of the first ``PREAMBLE_LINES``, that ``header`` matches; each file is found
     by its own.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
     head = F.array_position(F.transform(F.slice("lines", 1, PREAMBLE_LINES), lambda x: F.lower(x).rlike(header)), F.lit(True))
     found = whole.withColumn("__head", head.cast("int")).where(F.col("__head") > 0)
     top = F.element_at("lines", F.col("__head"))
@@ -75,7 +75,7 @@ def quantity(cells: Column, name: str, unit: str, to: str) -> Column:
 def read_power_json(spark: SparkSession, path: str) -> DataFrame:
     """Daily rows of landed files of the shape {properties: {parameter: {name: {yyyymmdd: value}}}}."""
     schema = "properties struct<parameter: map<string, map<string, double>>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("j"))
     each = parsed.select("file", F.explode("j.properties.parameter").alias("name", "days")).select("file", "name", F.explode("days").alias("day", "value"))
     each = each.select("file", "name", F.try_to_date("day", "yyyyMMdd").alias("date"), scalars.missing_to_null(F.col("value")).alias("value"))
@@ -86,7 +86,7 @@ def read_power_json(spark: SparkSession, path: str) -> DataFrame:
 def read_parallel_json(spark: SparkSession, path: str) -> DataFrame:
     """Daily rain of landed files of the shape {daily: {time: [...], precipitation_sum: [...]}}; null counts as 0."""
     schema = "daily struct<time: array<string>, precipitation_sum: array<double>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("j"))
     each = parsed.select("file", F.explode(F.arrays_zip("j.daily.time", "j.daily.precipitation_sum")).alias("x"))
     return each.select("file", F.try_to_date("x.time").alias("date"), F.coalesce("x.precipitation_sum", F.lit(0.0)).alias("rain"))
