@@ -27,7 +27,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         x = F.col(f"`{name}`")
         text = F.trim(x.cast("string"))
         present = x.isNotNull() & (text != "")
-        number = F.try_to_number(text, F.lit("S999999999999.999999")) if False else text.try_cast("double")
+        number = text.try_cast("double")
         day = F.lit(True) if name in dated else F.try_to_timestamp(text).isNotNull() & ~number.isNotNull()
         aggregates += [
             F.count_if(~F.coalesce(present, F.lit(False))).alias(f"missing_{i}"),
