@@ -42,17 +42,21 @@ CHUNK_ROWS = 50_000
 VISITS = 1 << 20
 
 
-def simhash(text: str, width: int = 3) -> int:
-    """The fingerprint of a text: the majority of the XXH64 bits of its shingles."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 of each shingle in order, repeats included; none for a text without words."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=False)], dtype="<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=False)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -60,6 +64,11 @@ def simhash(text: str, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str, width: int = 3) -> int:
+    """The fingerprint of a text: the majority of the XXH64 bits of its shingles."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``id_col`` and ``fp`` (the 64 bits as a signed long) of every row."""
 

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelforge.llm import byte_bpe, decontaminate, exact_dedup, language, line_dedup, lm, quality, simhash, token_files, toxicity
+from panelforge.llm import byte_bpe, decontaminate, exact_dedup, language, line_dedup, lm, quality, simhash, simhash_similar, token_files, toxicity
 from panelforge.llm.graph import components
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -138,6 +138,47 @@ class TestSimHash:
         assert simhash.near_dedup(empty).count() == 0
 
 
+class TestSimilarTexts:
+    @staticmethod
+    def brute(rows):
+        texts = [(t or "").lower().split() for _, t in rows]
+        sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in texts]
+        label = list(range(len(rows)))
+        for _ in range(len(rows)):
+            before = list(label)
+            for i in range(len(rows)):
+                for j in range(i):
+                    same = texts[i] == texts[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+                    if same:
+                        label[i] = label[j] = min(label[i], label[j])
+            if before == label:
+                break
+        least = {}
+        for (doc, _), x in zip(rows, label, strict=True):
+            least[x] = min((d for d in (least.get(x), doc) if d is not None), default=None)
+        return [(doc, least[x]) for (doc, _), x in zip(rows, label, strict=True)]
+
+    @pytest.mark.parametrize("shard_rows", [4096, 3])
+    def test_brute_force(self, spark, shard_rows):
+        rng = random.Random(9)
+        rows = [e for e in EDGES if e[0] != 7] + [(10, None), (11, "ONE")]
+        for n in (6, 9, 30, 120):
+            base = words(rng, n).split()
+            for i in range(25):
+                copy = list(base)
+                for _ in range(rng.randrange(1 + n // 20)):
+                    copy[rng.randrange(n)] = rng.choice(["x", "y z"])
+                rows.append((1000 * n + i, " ".join(copy[: n - rng.randrange(2)])))
+        rows += [(200 + i, words(rng, 30)) for i in range(15)] + [rows[5]]
+        found = [(r.doc_id, r.component_id) for r in simhash_similar.near_dedup(docs_of(spark, rows), shard_rows=shard_rows).collect()]
+        key = lambda x: (x[0] is None, x[0] or 0, x[1])
+        assert sorted(found, key=key) == sorted(self.brute(rows), key=key)
+        assert len({c for _, c in found}) < len(rows) / 2
+
+    def test_empty(self, empty):
+        assert simhash_similar.near_dedup(empty).count() == 0
+
+
 class TestDecontamination:
     def test_brute_force(self, spark, empty):
         rng = random.Random(4)
