@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
+from panelforge.llm import byte_bpe, decontaminate, line_dedup, quality, simhash_similar
 from panelforge.llm.common import fold, materialize
 
 #: The classifier and the line and near-duplicate stages can't be said in SQL.
@@ -26,8 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each group of near copies."""
-    groups = simhash.near_dedup(docs, width=5)
+    """The first document, by id, of each group of texts that share 0.8 or more of their 5-word shingles."""
+    groups = simhash_similar.near_dedup(docs, width=5, similarity=0.8)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
     return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__kept")), "left_semi")
 
