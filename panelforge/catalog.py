@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars
-from panelforge.operators import geo, machines, metrics, profile, series
+from panelforge.operators import geo, machines, metrics, models, profile, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -684,3 +684,55 @@ def relative_risk(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
     means = rows.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"))
     return rounded(rows.join(means, "c_nationkey", "left").select("c_custkey", "c_acctbal", scalars.relative_risk(F.col("c_acctbal"), F.col("m")).alias("relative")), 6)
+
+
+# Models.
+
+
+@query(
+    """SELECT CASE WHEN CAST(l_shipdate AS DATE) <= DATE '1998-12-31' THEN 0 WHEN CAST(l_shipdate AS DATE) >= DATE '2000-01-01' THEN 2 ELSE 1 END AS part,
+  count(*) AS n, avg(l_quantity) AS quantity FROM lineitem GROUP BY 1"""
+)
+def time_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", F.to_date("l_shipdate").alias("date"))
+    parts = models.time_split(rows, "date", TRAIN_END, TEST_START)
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("quantity"))
+
+
+@query("SELECT model, average_precision FROM (" + ORACLE_SQL["baseline_forecast_skill"] + ") ORDER BY average_precision DESC, model DESC LIMIT 1")
+def best_baseline(spark, sf_dir):
+    return models.select_model(baseline_forecast_skill(spark, sf_dir))
+
+
+@query()
+def leave_one_site_out(spark, sf_dir):
+    """Probability of an extreme day within 72 hours, by a logistic model fitted on the other sites."""
+    rows = labelled(spark, sf_dir).select("site_id", "date", "rain", "t2m", F.col("y_72h").alias("y"))
+    fits = models.fit_logistic_groups(models.leave_one_out(rows.where(F.col("date") <= TRAIN_END), "site_id"), ["rain", "t2m"])
+    known = rows.dropna(subset=["rain", "t2m"]).withColumn("fold", F.col("site_id"))
+    return rounded(models.score_groups(known, fits, ["rain", "t2m"]).select("site_id", "date", "y", "p"), 6)
+
+
+def overload(rows: DataFrame) -> DataFrame:
+    """A fixed logistic score of a machine's run."""
+    return rows.withColumn("p", scalars.sigmoid(F.col("torque") * 0.02 + F.col("wear") * 0.01 - F.col("temp_diff") * 0.3 - 0.5))
+
+
+@query(
+    f"""WITH {MACHINE_SQL}, f AS (SELECT machine_id, CAST(max(torque) AS DOUBLE) AS torque, CAST(max(wear) AS DOUBLE) AS wear, round(max(temp_diff), 6) AS temp_diff FROM feature GROUP BY 1),
+t AS (SELECT median(torque) AS tq, median(wear) AS w, median(temp_diff) AS td FROM f),
+reset AS (SELECT machine_id, '' AS name, torque, wear, temp_diff FROM f UNION ALL SELECT machine_id, 'torque', tq, wear, temp_diff FROM f, t
+  UNION ALL SELECT machine_id, 'wear', torque, w, temp_diff FROM f, t UNION ALL SELECT machine_id, 'temp_diff', torque, wear, td FROM f, t),
+s AS (SELECT machine_id, name, 1 / (1 + exp(-(torque * 0.02 + wear * 0.01 - temp_diff * 0.3 - 0.5))) AS p FROM reset),
+fall AS (SELECT a.machine_id, a.p, b.name, a.p - b.p AS fall FROM s a JOIN s b USING (machine_id) WHERE a.name = '' AND b.name <> '')
+SELECT machine_id, round(max(p), 6) AS p,
+  coalesce(string_agg(printf('%s +%.3f', name, fall), '; ' ORDER BY fall DESC, name) FILTER (WHERE fall > 0), 'several inputs') AS reasons
+FROM fall GROUP BY machine_id"""
+)
+def overload_reasons(spark, sf_dir):
+    """What each machine's highest readings owe their score to."""
+    names = ["torque", "wear", "temp_diff"]
+    highest = machines.features(machine_rows(spark, sf_dir)).groupBy("machine_id").agg(*(F.max(F.col(f).cast("double")).alias(f) for f in names))
+    rows = highest.withColumn("temp_diff", F.round("temp_diff", 6))
+    typical = rows.agg(*(F.median(f).alias(f) for f in names)).unpivot([], names, "name", "typical")
+    return models.reset_one_feature(rows, names, typical, overload, "machine_id").withColumn("p", F.round("p", 6))

@@ -190,3 +190,32 @@ def test_series_guards(spark):
     df = series.fill_days(spark.createDataFrame(rows, "site_id string, date date, rain double"))
     found = df.select("date", series.rolling_sum(F.col("rain"), 2, series.by_date()).alias("s"), series.antecedent_sum(F.col("rain"), 4).alias("a")).orderBy("date").collect()
     assert [r.s for r in found] == [None] * 5 and [r.a for r in found] == [1.0, 1.0, 1.0, 3.0, 2.0]
+
+
+def test_leave_one_site_out(spark):
+    rows = catalog.labelled(spark, DATA).select("site_id", "date", "rain", "t2m", F.col("y_72h").alias("y")).toPandas()
+    found = catalog.QUERIES["leave_one_site_out"](spark, DATA).toPandas()
+    known = rows.dropna(subset=["rain", "t2m"])
+    assert len(found) == len(known) > 0
+    site = found.site_id.iloc[0]
+    train = known[(known.site_id != site) & (known.date.astype(str) <= catalog.TRAIN_END)].dropna(subset=["y"])
+    x, y = train[["rain", "t2m"]].to_numpy(float), train.y.to_numpy(float)
+    mean, std = x.mean(0), x.std(0)
+    z, beta = np.c_[(x - mean) / std, np.ones(len(x))], np.zeros(3)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta = beta + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag([1, 1, 1e-12]), z.T @ (y - p) - np.r_[beta[:2], 0])
+    own = found[found.site_id == site].merge(known, on=["site_id", "date"])
+    wanted = 1 / (1 + np.exp(-np.c_[(own[["rain", "t2m"]].to_numpy(float) - mean) / std, np.ones(len(own))] @ beta))
+    assert np.allclose(own.p, wanted, atol=2e-6)
+
+
+def test_monotone_model_never_falls(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((500, 2))
+    y = (x[:, 0] + 0.4 * rng.normal(size=500) > 0.5).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y int")
+    model, coded = models.monotone_model(df, ["a"], ["b"])
+    grid = spark.range(51).select((F.col("id") / 50).alias("a"), F.lit(0.5).alias("b"))
+    p = [r.p for r in models.probability(model, coded(grid)).orderBy("a").collect()]
+    assert all(u <= v + 1e-12 for u, v in zip(p, p[1:], strict=False)) and p[-1] > p[0] + 0.2
