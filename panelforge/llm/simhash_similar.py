@@ -142,7 +142,7 @@ def open_pairs(fps: np.ndarray, shards: np.ndarray, comps: np.ndarray, radius: i
 
 
 def _by_shard(dealt: DataFrame, keys: list[str], similarity: float, limit: int | None, pairs: Callable) -> DataFrame:
-    """Pairs of nodes (a < b) of the shards that ``pairs`` names, of sizes that allow the similarity."""
+    """Pairs of nodes (a < b) of the shards that ``pairs`` names, of sizes that allow the similarity, with their components."""
     rest = ["node", "fp", "n", "comp"]
     dealt = dealt.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, F.xxhash64(keys[0], "node"))
 
@@ -156,7 +156,10 @@ def _by_shard(dealt: DataFrame, keys: list[str], similarity: float, limit: int |
         for x, y in pairs(fp.astype(np.uint64), shards, comp):
             fits = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
             a, b = node[x[fits]], node[y[fits]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            swap = a > b
+            ca, cb = comp[x[fits]], comp[y[fits]]
+            columns = [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "ca", "cb"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, len(keys) + len(rest)), np.int64)
@@ -174,7 +177,7 @@ def _by_shard(dealt: DataFrame, keys: list[str], similarity: float, limit: int |
         if len(held):
             yield from found(held)
 
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    return dealt.mapInArrow(search, "a long, b long, ca long, cb long").distinct()
 
 
 def near_dedup(
@@ -201,8 +204,8 @@ def near_dedup(
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-        return both.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b")
+        both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+        return both.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select(*pairs.columns)
 
     stars = materialize(_by_shard(dealt, ["shard"], similarity, shard_rows, lambda fps, shards, _: [star_pairs(fps, shards, radius)]), "star-pairs")
     links = materialize(verified(stars), "star-links")
@@ -216,8 +219,12 @@ def near_dedup(
     parted = named.join(mixed, "shard", "left_semi").select("*", block.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
     parted = parted.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
     opened = _by_shard(parted, ["shard", "i", "j"], similarity, None, lambda fps, shards, comps: open_pairs(fps, shards, comps, radius))
-    more = materialize(verified(opened.join(stars, ["a", "b"], "left_anti")), "open-links")
-    roots = materialize(components(links.union(more)), "roots")
+    more = verified(opened.join(stars, ["a", "b"], "left_anti")).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    higher = materialize(components(materialize(more.distinct(), "open-links")), "higher-roots")  # of components
+    above = higher.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    raised = roots.join(above, roots.root == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
+    single = higher.join(roots, "node", "left_anti")  # linked in this step alone: a component of its own before
+    roots = materialize(raised.union(single), "roots")
 
     linked = classes.join(roots, "node").select("node", "rep", "root")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
