@@ -9,9 +9,10 @@ above the mean distance), and the exact similarity of the shingle sets decides.
 1. Texts of equal words are one class.
 2. In each shard each linked group sends its members with its most central one as pairs, so near copies of one
    text meet in pairs linear in their number. Verified pairs give components.
-3. Each shard is searched again for pairs whose components still differ, so no link is lost that would
-   join two components. Shards of more than ``SHARD_ROWS`` rows are split into blocks, and each pair of blocks goes
-   to a task of its own.
+3. Each shard is searched again for rows with a row of another component near them. Their shingle sets go to the
+   shard's task, which verifies the pairs there and returns only those that join two components, at most one for
+   each row; no link that would join two components is lost. Shards of more than ``SHARD_ROWS`` rows or
+   ``SHARD_SHINGLES`` shingles are split into blocks, and each pair of blocks goes to a task of its own.
 
 Texts: null counts as empty; texts without words are one class; fewer words than a shingle has give one
 shingle of them all. Null ids are linked too and ignored as component ids. Repeated rows give repeated
@@ -35,6 +36,8 @@ from panelforge.llm.simhash import BKForest, majority, shingle_hashes
 RADIUS = 24
 BANDS, ROWS = 24, 4
 SHARD_ROWS = 4096
+#: Shingles of a block, for the memory of a task that holds two.
+SHARD_SHINGLES = 1 << 22
 #: Rows of whole shards that a task searches together, and queries of one search.
 CHUNK_ROWS, QUERIES = 50_000, 256
 _random = np.random.default_rng(11)
@@ -141,27 +144,18 @@ def open_pairs(fps: np.ndarray, shards: np.ndarray, comps: np.ndarray, radius: i
             yield a[apart], b[apart]
 
 
-def _by_shard(dealt: DataFrame, keys: list[str], similarity: float, limit: int | None, pairs: Callable) -> DataFrame:
-    """Pairs of nodes (a < b) of the shards that ``pairs`` names, of sizes that allow the similarity, with their components."""
+def _by_shard(dealt: DataFrame, keys: list[str], limit: int | None, search: Callable, schema: str) -> DataFrame:
+    """What ``search`` finds in the rows (keys, node, fp, n, comp) of whole shards and their shard numbers."""
     rest = ["node", "fp", "n", "comp"]
     dealt = dealt.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, F.xxhash64(keys[0], "node"))
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         shards = np.cumsum(np.r_[False, (rows[1:, : len(keys)] != rows[:-1, : len(keys)]).any(axis=1)])
         many = np.bincount(shards)[shards] > 1
-        rows, shards = rows[many], shards[many]
-        if not len(rows):
-            return
-        node, fp, n, comp = rows[:, len(keys) :].T
-        for x, y in pairs(fp.astype(np.uint64), shards, comp):
-            fits = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
-            a, b = node[x[fits]], node[y[fits]]
-            swap = a > b
-            ca, cb = comp[x[fits]], comp[y[fits]]
-            columns = [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "ca", "cb"])
+        if many.any():
+            yield from search(rows[many], shards[many])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, len(keys) + len(rest)), np.int64)
         for batch in batches:
             if not batch.num_rows:
@@ -177,7 +171,90 @@ def _by_shard(dealt: DataFrame, keys: list[str], similarity: float, limit: int |
         if len(held):
             yield from found(held)
 
-    return dealt.mapInArrow(search, "a long, b long, ca long, cb long").distinct()
+    return dealt.mapInArrow(each, schema)
+
+
+def fit_sizes(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity."""
+    return np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+
+
+def _stars(dealt: DataFrame, similarity: float, radius: int, limit: int) -> DataFrame:
+    """Pairs of nodes (a < b): the members of each linked group with its most central one."""
+
+    def search(rows: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, node, fp, n, _ = rows.T
+        x, y = star_pairs(fp.astype(np.uint64), shards, radius)
+        fits = fit_sizes(n[x], n[y], similarity)
+        a, b = node[x[fits]], node[y[fits]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _by_shard(dealt, ["shard"], limit, search, "a long, b long").distinct()
+
+
+def _open_rows(dealt: DataFrame, keys: list[str], similarity: float, radius: int) -> DataFrame:
+    """The rows, once each, that have a row of another component within the radius in their shard."""
+    names = [*keys, "node", "fp", "n", "comp"]
+
+    def search(rows: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, fp, n, comp = rows[:, len(keys) :].T
+        opened = np.zeros(len(rows), bool)
+        for x, y in open_pairs(fp.astype(np.uint64), shards, comp, radius):
+            fits = fit_sizes(n[x], n[y], similarity)
+            opened[x[fits]] = opened[y[fits]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in rows[opened].T], names=names)
+
+    return _by_shard(dealt, keys, None, search, ", ".join(f"{c} long" for c in names))
+
+
+def joining_pairs(fps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> tuple[list[int], list[int]]:
+    """Pairs of rows of the similarity that join the components of one shard: a spanning forest of all such pairs."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    label, own = comps.copy(), np.zeros(len(distinct), bool)
+    left, right = [], []
+    for a in range(len(sets) - 1):
+        near = (np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= radius) & fit_sizes(sizes[a + 1 :], sizes[a], similarity)
+        others = np.flatnonzero(near & (label[a + 1 :] != label[a])) + a + 1
+        own[mine := ids[starts[a] : starts[a] + sizes[a]]] = True
+        for at in range(0, len(others), QUERIES):
+            part = others[at : at + QUERIES]
+            first = np.cumsum(sizes[part]) - sizes[part]
+            flat = np.repeat(starts[part] - first, sizes[part]) + np.arange(sizes[part].sum())
+            shared = np.add.reduceat(own[ids[flat]], first, dtype=np.int64)
+            for b in part[shared >= similarity * (sizes[a] + sizes[part] - shared) - 1e-9]:
+                if label[a] != label[b]:
+                    label[label == label[b]] = label[a]
+                    left.append(a)
+                    right.append(int(b))
+        own[mine] = False
+    return left, right
+
+
+def _joining_links(opened: DataFrame, sets: DataFrame, keys: list[str], similarity: float, radius: int) -> DataFrame:
+    """Pairs of components (a, b) that a verified pair of their nodes joins, at most one for each row of a shard."""
+    rows = opened.join(sets, "node").select(*keys, "fp", "comp", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+
+    def links(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            fp, comp = np.array([row[-2:] for row, _ in held]).T
+            a, b = joining_pairs(fp.astype(np.uint64), comp, [s for _, s in held], similarity, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(comp[a]), pa.array(comp[b])], names=["a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            numbers = np.stack([c.to_numpy() for c in batch.columns[:-1]], axis=1)
+            ends, flat = batch.column(-1).offsets.to_numpy(), batch.column(-1).values.to_numpy()
+            for i, row in enumerate(numbers):
+                if held and (held[-1][0][: len(keys)] != row[: len(keys)]).any():
+                    yield from links(held)
+                    held = []
+                held.append((row, flat[ends[i] : ends[i + 1]]))
+        yield from links(held)
+
+    return rows.mapInArrow(search, "a long, b long").distinct()
 
 
 def near_dedup(
@@ -194,8 +271,8 @@ def near_dedup(
     sketches = materialize(_sketches(rows, width), "sketches")
     classes = materialize(sketches.groupBy("node").agg(F.min("__id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     dealt = classes.select("node", "fp", "n", F.explode("bands").alias("shard"))
-    shared = materialize(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared-shards")
-    dealt = materialize(dealt.join(shared, "shard").select("shard", "members", "node", "fp", "n", F.col("node").alias("comp")), "dealt")
+    shared = materialize(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")).where("members > 1"), "shared-shards")
+    dealt = materialize(dealt.join(shared, "shard").select("shard", "members", "weight", "node", "fp", "n", F.col("node").alias("comp")), "dealt")
 
     inside = classes.join(dealt.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("__rep"))
     texts = rows.join(inside, F.col("__id").eqNullSafe(F.col("__rep")), "left_semi")
@@ -204,23 +281,24 @@ def near_dedup(
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-        return both.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select(*pairs.columns)
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+        return both.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b")
 
-    stars = materialize(_by_shard(dealt, ["shard"], similarity, shard_rows, lambda fps, shards, _: [star_pairs(fps, shards, radius)]), "star-pairs")
+    stars = materialize(_stars(dealt, similarity, radius, shard_rows), "star-pairs")
     links = materialize(verified(stars), "star-links")
     roots = materialize(components(links), "star-roots")
 
-    named = dealt.drop("comp").join(roots, dealt.node == roots.node, "left").select("shard", "members", dealt.node, "fp", "n", F.coalesce("root", dealt.node).alias("comp"))
+    named = dealt.drop("comp").join(roots, dealt.node == roots.node, "left").select("shard", "members", "weight", dealt.node, "fp", "n", F.coalesce("root", dealt.node).alias("comp"))
     named = materialize(named, "named")
     mixed = named.groupBy("shard").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shard")
-    blocks = F.ceil(F.col("members") / shard_rows)
+    blocks = F.ceil(F.greatest(F.col("members") / shard_rows, F.col("weight") / SHARD_SHINGLES))
     block = F.pmod(F.xxhash64("node"), blocks)
     parted = named.join(mixed, "shard", "left_semi").select("*", block.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
     parted = parted.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
-    opened = _by_shard(parted, ["shard", "i", "j"], similarity, None, lambda fps, shards, comps: open_pairs(fps, shards, comps, radius))
-    more = verified(opened.join(stars, ["a", "b"], "left_anti")).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    higher = materialize(components(materialize(more.distinct(), "open-links")), "higher-roots")  # of components
+    keys = ["shard", "i", "j"]
+    opened = materialize(_open_rows(parted, keys, similarity, radius), "open-rows")
+    joins = materialize(_joining_links(opened, sets, keys, similarity, radius), "joining-links")
+    higher = materialize(components(joins), "higher-roots")  # of components
     above = higher.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     raised = roots.join(above, roots.root == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
     single = higher.join(roots, "node", "left_anti")  # linked in this step alone: a component of its own before
