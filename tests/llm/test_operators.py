@@ -369,3 +369,26 @@ class TestLanguageModel:
     def test_empty(self, empty, edges):
         assert lm.score_texts(empty, F.lit(False)).count() == 0
         assert lm.score_texts(edges, F.lit(True)).count() == len(EDGES)
+
+
+def test_joining_pairs_span_all_similar_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 40, 120)
+    sets = [np.unique(np.r_[rng.choice(base, int(rng.integers(90, 120)), replace=False), rng.integers(0, 1 << 40, int(rng.integers(0, 12)))]) for _ in range(400)]
+    comps, fps = np.arange(400) // 2, np.zeros(400, np.uint64)
+
+    def joined(pairs):
+        label = comps.copy()
+        for a, b in pairs:
+            label[label == label[b]] = label[a]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    every = []
+    for a in range(400):
+        for b in range(a + 1, 400):
+            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+                every.append((a, b))
+    found = list(zip(*simhash_similar.joining_pairs(fps, comps, sets, 0.8, 24), strict=True))
+    assert 0 < len(found) < 400 < len(every) and set(found) <= set(every)
+    assert joined(found) == joined(every)
