@@ -1,19 +1,23 @@
 """Language-model scoring with a log-bilinear neural model.
 
-Tokens are words and one end a text. The most frequent words of the training texts, the end and one
-class for all other words are the model's outputs; its context is the two classes before. The context's
-vector is the sum of its words' vectors, each weighted by position, and a class's logit the product of
-that vector with the class's own plus a bias. Training is noise-contrastive estimation with numpy over
-every training text: each Spark partition takes one pass over its own texts, from the same start, and
-the parameters are averaged, weighted by tokens. Scoring normalises exactly: batched matrix products
-give the logits of all classes for each distinct context.
-
-A word of the other class has the class's probability times its share in the class: its count less a
-discount, over the class's count. What the discounts free is the probability of the unseen word, which
-is one more type as it is in the base score, so both are distributions over the same V + 1 types.
-
-Counts cover all training texts. The words of the ``heavy`` largest counts, a fixed number, are
-broadcast and resolved where they occur; the others meet their counts in a join.
+Tokens are words and one end a text. The output has two levels. On the first are the end, the most
+frequent words of the training texts and groups of slots; on the second are the slots of each group. A
+frequent word beyond the first level has a slot of its own, and so many of them grow with the counts;
+all other words share hashed slots, which grow too. Both numbers follow the root of the tokens, and so do
+the groups their slots, so a slot costs little at any size. The context is the two words (or slots)
+before. Its vector is the sum of their vectors, each weighted by position, and a logit on either level
+the product of that vector with the output's own plus a bias. Training is noise-contrastive estimation
+with numpy over every training text, the noise of a slot being other slots of its group: each Spark
+partition takes one pass over its own texts, from the same start, and the parameters are averaged,
+weighted by tokens. Scoring normalises both levels exactly, by batched matrix products.
+
+A word in a hashed slot has the slot's probability times its share of the slot's count. The unseen word
+is one more type, as it is in the base score, so both are distributions over the same V + 1 types: it has
+a fixed part, freed by discounts, of the probability of all hashed slots, and words that were seen have
+the rest.
+
+Counts cover all training texts. The words of the ``heavy`` largest counts are broadcast and resolved
+where they occur; the others meet their counts in a join.
 
 A null text counts as empty and is its end alone. Rows with null ids are in the fold of the empty text.
 Repeated rows are learned from and scored each for itself. Without training texts every token is unseen.
@@ -22,9 +26,11 @@ Other columns may have any names.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +39,18 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import materialize, texts_of
 
-CLASSES = 2048
+#: Words on the first level, the end among them.
+CLASSES = 512
+#: Slots of words' own for each root of the tokens, and at least so many, for words of so many occurrences; hashed slots for each root.
+OWN, LEAST_OWN, OWN_COUNT, HASHED = 4, 2048, 3, 1
 HEAVY = 100_000
 DIM = 32
 CONTEXT = 2
 NOISE = 48
+#: Noise samples on the second level, for each group of a batch.
+SLOT_NOISE = 16
+#: Parameters of one row of the sums over partitions.
+PIECE = 4096
 BATCH = 4096
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -69,43 +82,63 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.select("__text").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+@dataclass
+class Slots:
+    """The second level: slots of words' own, then hashed ones, dealt in turn to their groups.
+
+    A unit is an output of the first level or, from ``outputs`` on, a slot.
+    """
+
+    head: int  # outputs of the first level before the groups
+    own: int
+    hashed: int
+    counts: np.ndarray  # of the slots
+
+    def __post_init__(self) -> None:
+        self.own_groups, self.hashed_groups = (math.isqrt(max(n - 1, 0)) + (n > 0) for n in (self.own, self.hashed))
+        self.groups = self.own_groups + self.hashed_groups
+        self.outputs = self.head + self.groups
+
+    def group(self, slot: np.ndarray) -> np.ndarray:
+        return np.where(slot < self.own, slot % max(1, self.own_groups), self.own_groups + (slot - self.own) % max(1, self.hashed_groups))
+
+    def members(self, group: int) -> slice:
+        return slice(group, self.own, self.own_groups) if group < self.own_groups else slice(self.own + group - self.own_groups, None, self.hashed_groups)
+
+    def first_level(self, units: np.ndarray) -> np.ndarray:
+        return np.where(units < self.outputs, units, self.head + self.group(units - self.outputs))
+
+
 @dataclass
 class Vocabulary:
-    """The bounded part of the counts that is broadcast, and the totals."""
+    """The part of the counts that is broadcast, and the totals."""
 
-    classes: dict[bytes, int]
+    classes: dict[bytes, int]  # units
     heavy: dict[bytes, int]  # counts
     class_counts: np.ndarray
+    slots: Slots
     tokens: int
     types: int
-    discount: float
-    other_types: int
+    unseen: float  # part of the hashed slots' probability
 
-    @property
-    def other(self) -> int:
-        return len(self.classes)
+    def unit(self, word: bytes) -> int:
+        at = self.classes.get(word)
+        return self.slots.outputs + self.slots.own + crc32(word) % self.slots.hashed if at is None else at
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.tokens + self.types + 1))
 
-    def share(self, c: Column) -> Column:
-        """log10 of a word's part of the other class, from its count (0: unseen)."""
-        total, freed = self._other()
-        return F.when(c > 0, F.log10((c - self.discount) / total)).otherwise(F.lit(float(np.log10(freed / total))))
-
-    def shares(self, c: np.ndarray) -> np.ndarray:
-        total, freed = self._other()
-        return np.log10(np.where(c > 0, c - self.discount, freed) / total)
+    def shares(self, c: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+        """log10 of a word's part of hashed slots that were counted ``n`` times (all: None), from its count (0: unseen)."""
+        n = self.slots.counts[self.slots.own :].sum() if n is None else n
+        return np.log10(np.where(c > 0, (1 - self.unseen) * c / n, self.unseen))
 
-    def _other(self) -> tuple[float, float]:
-        n = float(self.class_counts[self.other])
-        freed = self.discount * self.other_types
-        return (n, freed) if freed else (n + 1.0, 1.0)
 
-
-def vocabulary(counts: DataFrame, classes: int = CLASSES, heavy: int = HEAVY) -> Vocabulary:
+def vocabulary(counts: DataFrame, classes: int = CLASSES, heavy: int | None = None) -> Vocabulary:
     totals = counts.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     tokens, types, once, twice = (x or 0 for x in totals)
+    own, hashed = max(LEAST_OWN, OWN * math.isqrt(tokens)), max(1, HASHED * math.isqrt(tokens))
+    heavy = max(HEAVY, classes + own) if heavy is None else heavy
     # The lowest of some 2000 classes of counts above which there are at most ``heavy`` words.
     rank = F.floor(F.log("c") * 32).alias("rank")
     cutoff, held = None, 0
@@ -114,100 +147,190 @@ def vocabulary(counts: DataFrame, classes: int = CLASSES, heavy: int = HEAVY) ->
         if held > heavy:
             break
         cutoff = r["rank"]
-    top = counts.where(rank >= cutoff).collect() if cutoff is not None else []
+    top = counts.where((rank >= cutoff if cutoff is not None else F.lit(False)) | (F.length("word") == 0)).collect()
     top.sort(key=lambda r: (-r.c, bytes(r.word)))
-    names = [END] + [bytes(r.word) for r in top if bytes(r.word) != END][: classes - 1]
     of = {bytes(r.word): r.c for r in top}
-    own = np.array([of.get(w, 0) for w in names], dtype=float)
+    ranked = [w for w in of if w != END]
+    head, named = [END, *ranked[: classes - 1]], [w for w in ranked[classes - 1 :][:own] if of[w] >= OWN_COUNT]
+    # All words by hashed slots, less those that are named.
+    rest = np.zeros(hashed, dtype=float)
+    for at, n in counts.groupBy((F.crc32("word") % hashed).alias("at")).agg(F.sum("c")).collect():
+        rest[at] = n
+    for w in [*head, *named]:
+        rest[crc32(w) % hashed] -= of.get(w, 0)
+    rest = np.maximum(rest, 0)
+    slots = Slots(len(head), len(named), hashed, np.r_[[of[w] for w in named], rest].astype(float))
+    units = {w: i for i, w in enumerate(head)} | {w: slots.outputs + i for i, w in enumerate(named)}
+    groups = np.bincount(slots.group(np.arange(len(slots.counts))), weights=slots.counts, minlength=slots.groups)
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    return Vocabulary({w: i for i, w in enumerate(names)}, of, np.r_[own, max(0, tokens - own.sum())], tokens, types, discount, max(0, types - sum(n > 0 for n in own)))
+    freed = discount * max(0, types - sum(w in of for w in units))
+    unseen = freed / rest.sum() if freed and rest.any() else 1 / (rest.sum() + 1)
+    return Vocabulary(units, of, np.r_[[of.get(w, 0) for w in head], groups].astype(float), slots, tokens, types, float(unseen))
 
 
 @dataclass
 class LogBilinear:
-    context: np.ndarray  # (classes + 1) x dim; the last is the start of a text
-    output: np.ndarray  # classes x dim
+    context: np.ndarray  # (units + 1) x dim; the last is the start of a text
+    output: np.ndarray  # outputs of the first level x dim
     position: np.ndarray  # CONTEXT x dim
     bias: np.ndarray
-    log_z: dict = field(default_factory=dict)
+    inner: np.ndarray  # slots x dim
+    inner_bias: np.ndarray
+    slots: Slots
     squares: dict = field(default_factory=dict)  # sums of squared gradients
 
+    NAMES = ("context", "output", "position", "bias", "inner", "inner_bias")
+
     @classmethod
-    def start(cls, counts: np.ndarray, dim: int = DIM, seed: int = 7) -> LogBilinear:
-        """With small vectors and the classes' log shares as biases: close to the unigram model."""
-        rng, n = np.random.default_rng(seed), len(counts)
-        vectors = [rng.normal(0, 0.1, (k, dim)).astype(np.float32) for k in (n + 1, n)]
-        return cls(*vectors, np.ones((CONTEXT, dim), np.float32), np.log((counts + 1) / (counts.sum() + n)).astype(np.float32))
+    def start(cls, counts: np.ndarray, dim: int = DIM, seed: int = 7, slots: Slots | None = None) -> LogBilinear:
+        """With small vectors and log shares as biases: close to the unigram model."""
+        slots = slots or Slots(len(counts), 0, 0, np.zeros(0))
+        rng, n, m = np.random.default_rng(seed), len(counts), len(slots.counts)
+        context, output, inner = (rng.normal(0, 0.1, (k, dim)).astype(np.float32) for k in (n + m + 1, n, m))
+        bias = np.log((counts + 1) / (counts.sum() + n)).astype(np.float32)
+        return cls(context, output, np.ones((CONTEXT, dim), np.float32), bias, inner, np.log(slot_noise(slots)).astype(np.float32), slots)
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         return sum(self.context[contexts[:, i]] * self.position[i] for i in range(CONTEXT))
 
     def params(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.output, self.position, self.bias)])
+        return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
 
     def with_params(self, flat: np.ndarray) -> LogBilinear:
         parts, at = [], 0
-        for x in (self.context, self.output, self.position, self.bias):
+        for x in (getattr(self, name) for name in self.NAMES):
             parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return LogBilinear(*parts)
+        return LogBilinear(*parts, self.slots)
 
-    def learn(self, targets: np.ndarray, contexts: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float) -> None:
-        """One Adagrad step of noise-contrastive estimation; the noise samples are shared by the batch."""
+    def learn(self, units: np.ndarray, contexts: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float, inner_noise: np.ndarray | None = None) -> None:
+        """One Adagrad step of noise-contrastive estimation; the noise samples are shared by the batch or its group."""
+        targets = self.slots.first_level(units) if self.slots.groups else units
         sampled = np.searchsorted(np.cumsum(noise), rng.random(NOISE)).clip(max=len(noise) - 1)
         log_noise = np.log(NOISE * noise).astype(np.float32)
         hidden = self.predicted(contexts)
         own = (hidden * self.output[targets]).sum(axis=1) + self.bias[targets] - log_noise[targets]
         other = hidden @ self.output[sampled].T + self.bias[sampled] - log_noise[sampled]
-        d_own = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # what the data's log odds lack
-        d_other = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
+        d_own, d_other = _lacking(own, other)
         d_hidden = d_own[:, None] * self.output[targets] + d_other @ self.output[sampled]
-        d_output = _add_rows(d_own[:, None] * hidden, targets, len(self.output))
-        np.add.at(d_output, sampled, d_other.T @ hidden)
-        d_bias = np.bincount(targets, weights=d_own, minlength=len(self.bias))
-        np.add.at(d_bias, sampled, d_other.sum(axis=0))
-        d_context, d_position = np.zeros_like(self.context), np.empty_like(self.position)
-        for i in range(CONTEXT):
-            d_context += _add_rows(d_hidden * self.position[i], contexts[:, i], len(self.context))
-            d_position[i] = (d_hidden * self.context[contexts[:, i]]).sum(axis=0)
-        for name, gradient in (("context", d_context), ("output", d_output), ("position", d_position), ("bias", d_bias)):
-            step = (gradient / len(targets)).astype(np.float32)
-            self.squares[name] = self.squares.get(name, np.float32(1e-6)) + step * step
-            getattr(self, name)[...] += rate * step / np.sqrt(self.squares[name])
-
-    def log10_classes(self, targets: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities; the normalisers of contexts met before are kept."""
-        n = len(self.context)
-        keys = contexts[:, 0] * n + contexts[:, 1]
-        distinct, where = np.unique(keys, return_inverse=True)
-        if len(self.log_z) > 1_000_000:
-            self.log_z.clear()
-        new = np.array([k for k in distinct.tolist() if k not in self.log_z], dtype=np.int64)
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            logits = self.predicted(np.stack([part // n, part % n], axis=1)) @ self.output.T + self.bias
+        steps = [
+            ("output", *_add_rows(np.concatenate([d_own[:, None] * hidden, d_other.T @ hidden]), np.r_[targets, sampled])),
+            ("bias", *_add_rows(np.concatenate([d_own, d_other.sum(axis=0)]), np.r_[targets, sampled])),
+        ]
+        if inner_noise is not None:
+            steps += self._learn_slots(units, hidden, d_hidden, inner_noise, rng)
+        steps.append(("context", *_add_rows(np.concatenate([d_hidden * self.position[i] for i in range(CONTEXT)]), contexts.T.ravel())))
+        d_position = np.stack([(d_hidden * self.context[contexts[:, i]]).sum(axis=0) for i in range(CONTEXT)])
+        steps.append(("position", np.arange(CONTEXT), d_position))
+        for name, at, gradient in steps:
+            step, param = (gradient / len(units)).astype(np.float32), getattr(self, name)
+            if name not in self.squares:
+                self.squares[name] = np.full(param.shape, 1e-6, np.float32)
+            squares = self.squares[name][at] + step * step
+            self.squares[name][at] = squares
+            param[at] += rate * step / np.sqrt(squares)
+
+    def _learn_slots(self, units: np.ndarray, hidden: np.ndarray, d_hidden: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> list[tuple]:
+        """Steps of the second level; adds to ``d_hidden``. Tokens are laid out by group, padded to the largest."""
+        slots = self.slots
+        which = np.flatnonzero(units >= slots.outputs)
+        if not which.size:
+            return []
+        slot = units[which] - slots.outputs
+        group = slots.group(slot)
+        order = np.argsort(group, kind="stable")
+        which, slot, group = which[order], slot[order], group[order]
+        groups, first, sizes = np.unique(group, return_index=True, return_counts=True)
+        row, column = np.repeat(np.arange(len(groups)), sizes), np.arange(len(group)) - np.repeat(first, sizes)
+        at = np.searchsorted(noise, groups[:, None] + rng.random((len(groups), SLOT_NOISE))).clip(max=len(noise) - 1)
+        sampled = slots.order[np.clip(at, slots.starts[groups][:, None], slots.starts[groups + 1][:, None] - 1)]
+        mine = hidden[which]
+        laid = np.zeros((len(groups), sizes.max(), hidden.shape[1]), np.float32)
+        laid[row, column] = mine
+        vectors = self.inner[sampled]
+        scale = slots.log_noise
+        own = (mine * self.inner[slot]).sum(axis=1) + self.inner_bias[slot] - scale[slot]
+        other = laid @ vectors.transpose(0, 2, 1) + (self.inner_bias[sampled] - scale[sampled])[:, None]
+        d_own, d_other = _lacking(own, other)
+        d_other[np.arange(sizes.max()) >= sizes[:, None]] = 0
+        d_hidden[which] += d_own[:, None] * self.inner[slot] + (d_other @ vectors)[row, column]
+        all_slots = np.r_[slot, sampled.ravel()]
+        d_vectors = (d_other.transpose(0, 2, 1) @ laid).reshape(-1, hidden.shape[1])
+        return [
+            ("inner", *_add_rows(np.concatenate([d_own[:, None] * mine, d_vectors]), all_slots)),
+            ("inner_bias", *_add_rows(np.concatenate([d_own, d_other.sum(axis=1).ravel()]), all_slots)),
+        ]
+
+    def log10_classes(self, units: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities."""
+        return self.log10_units(units, contexts)[0]
+
+    def log10_units(self, units: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised log10 probabilities of the units and of all hashed slots together."""
+        n, slots = len(self.context), self.slots
+        distinct, where = np.unique(contexts[:, 0] * n + contexts[:, 1], return_inverse=True)
+        z, hashed = np.empty(len(distinct)), np.full(len(distinct), -np.inf)
+        for at in range(0, len(distinct), 512):
+            s = slice(at, at + 512)
+            logits = self.predicted(np.stack([distinct[s] // n, distinct[s] % n], axis=1)) @ self.output.T + self.bias
             top = logits.max(axis=1)
-            z = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-            self.log_z.update(zip(part.tolist(), z.tolist(), strict=True))
-        z = np.array([self.log_z[k] for k in distinct.tolist()])
-        own = np.empty(len(targets))
-        for at in range(0, len(targets), 1 << 16):
+            logits -= top[:, None]
+            parts = np.exp(logits, out=logits)
+            z[s] = top + np.log(parts.sum(axis=1))
+            if slots.hashed_groups:
+                hashed[s] = top + np.log(parts[:, slots.head + slots.own_groups :].sum(axis=1))
+        targets = slots.first_level(units) if slots.groups else units
+        own = np.empty(len(units))
+        for at in range(0, len(units), 1 << 16):
             s = slice(at, at + (1 << 16))
             own[s] = (self.predicted(contexts[s]) * self.output[targets[s]]).sum(axis=1) + self.bias[targets[s]]
-        return (own - z[where]) / np.log(10)
-
-
-def _add_rows(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by their number."""
+        own -= z[where]
+        inside = np.flatnonzero(units >= slots.outputs)
+        inside = inside[np.argsort(targets[inside], kind="stable")]
+        for part in np.split(inside, np.flatnonzero(np.diff(targets[inside])) + 1) if inside.size else []:
+            members = slots.members(int(targets[part[0]]) - slots.head)
+            vectors, bias = self.inner[members], self.inner_bias[members]
+            for at in range(0, len(part), 1 << 11):
+                some = part[at : at + (1 << 11)]
+                hidden, slot = self.predicted(contexts[some]), units[some] - slots.outputs
+                logits = hidden @ vectors.T + bias
+                top = logits.max(axis=1)
+                own[some] += (hidden * self.inner[slot]).sum(axis=1) + self.inner_bias[slot] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        return own / np.log(10), (hashed - z)[where] / np.log(10)
+
+
+def slot_noise(slots: Slots) -> np.ndarray:
+    """Each slot's part of its group by counts."""
+    if not slots.groups:
+        return np.zeros(0)
+    group, weights = slots.group(np.arange(len(slots.counts))), slots.counts + 1
+    return weights / np.bincount(group, weights=weights)[group]
+
+
+def noise_table(slots: Slots) -> np.ndarray:
+    """For each group its number plus the running sums of its slots' parts; ``slots`` gets their order and log noise."""
+    group, part = slots.group(np.arange(len(slots.counts))), slot_noise(slots)
+    slots.order = np.argsort(group, kind="stable")
+    slots.starts = np.searchsorted(group[slots.order], np.arange(slots.groups + 1))
+    slots.log_noise = np.log(SLOT_NOISE * part).astype(np.float32)
+    sums = np.cumsum(part[slots.order])
+    return sums - np.repeat(np.r_[0, sums[slots.starts[1:-1] - 1]], np.diff(slots.starts)) + group[slots.order]
+
+
+def _lacking(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the log odds of data and of noise lack."""
+    return 1 / (1 + np.exp(np.clip(own, -30, 30))), -1 / (1 + np.exp(-np.clip(other, -30, 30)))
+
+
+def _add_rows(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers and the sums of their rows."""
     order = np.argsort(at, kind="stable")
     found, first = np.unique(at[order], return_index=True)
-    out = np.zeros((n, values.shape[1]), dtype=np.float32)
-    out[found] = np.add.reduceat(values[order], first, axis=0)
-    return out
+    return found, np.add.reduceat(values[order], first, axis=0)
 
 
 def contexts_of(classes: np.ndarray, start: int) -> np.ndarray:
-    """The classes before each token of a text; ``start`` before its first."""
+    """The units before each token of a text; ``start`` before its first."""
     padded = np.r_[[start] * CONTEXT, classes]
     return np.stack([padded[CONTEXT - 1 - i : len(padded) - 1 - i] for i in range(CONTEXT)], axis=1)
 
@@ -215,9 +338,9 @@ def contexts_of(classes: np.ndarray, start: int) -> np.ndarray:
 def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1, seed: int = 7) -> LogBilinear:
     """One pass over all texts of ``rows``, in each partition for itself, then the weighted mean.
 
-    Partitions' parameters, of a fixed size, are first added up in a few tasks; the driver gets these sums.
+    Partitions' parameters are cut into pieces and added up piece by piece; the driver gets one sum of each.
     """
-    model = LogBilinear.start(vocab.class_counts, dim, seed)
+    model = LogBilinear.start(vocab.class_counts, dim, seed, vocab.slots)
     sent = rows.sparkSession.sparkContext.broadcast((model, vocab))
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,38 +348,44 @@ def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1,
         own, rng = start.with_params(start.params()), np.random.default_rng(seed)
         noise = vocab.class_counts + 1
         noise, seen, held, waiting = noise / noise.sum(), 0, [], 0
+        inner_noise = noise_table(own.slots)
 
         def step(targets: np.ndarray, contexts: np.ndarray) -> None:
-            own.learn(targets, contexts, noise, rng, rate)
+            own.learn(targets, contexts, noise, rng, rate, inner_noise)
 
         for batch in batches:
             for text in texts_of(batch.column(0)):
-                classes = np.array([vocab.classes.get(w, vocab.other) for w in words_of(text)] + [vocab.classes[END]], dtype=np.int64)
+                classes = np.array([vocab.unit(w) for w in [*words_of(text), END]], dtype=np.int64)
                 held.append((classes, contexts_of(classes, len(own.context) - 1)))
                 waiting += len(classes)
                 if waiting >= 16 * BATCH:
                     seen, waiting = _drain(held, step, seen), 0
         seen = _drain(held, step, seen)
         if seen:
-            yield _weighted(own.params() * seen, seen)
+            flat = own.params()
+            pieces = [(i, flat[at : at + PIECE], seen) for i, at in enumerate(range(0, len(flat), PIECE))]
+            for at in range(0, len(pieces), 256):
+                yield _weighted(pieces[at : at + 256])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = 0.0, 0
+        sums: dict[int, list] = {}
         for batch in batches:
-            for params, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total, n = total + np.frombuffer(params, dtype=np.float64), n + weight
-        if n:
-            yield _weighted(total, n)
-
-    schema = "params binary, n long"
-    sums = rows.select("__text").mapInArrow(fitted, schema).repartition(8).mapInArrow(added, schema).collect()
-    if not sums:
+            for piece, params, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = sums.setdefault(piece, [0.0, 0])
+                total[0], total[1] = total[0] + np.frombuffer(params, dtype=np.float32).astype(np.float64) * weight, total[1] + weight
+        if sums:
+            yield _weighted([(piece, (total / n).astype(np.float32), n) for piece, (total, n) in sums.items()])
+
+    schema = "piece int, params binary, n long"
+    means = rows.select("__text").mapInArrow(fitted, schema).repartition("piece").mapInArrow(added, schema).collect()
+    if not means:
         return model
-    return model.with_params(sum(np.frombuffer(r.params, dtype=np.float64) for r in sums) / sum(r.n for r in sums))
+    return model.with_params(np.concatenate([np.frombuffer(r.params, dtype=np.float32) for r in sorted(means, key=lambda r: r.piece)]))
 
 
-def _weighted(params: np.ndarray, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([params.astype(np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["params", "n"])
+def _weighted(pieces: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
+    piece, params, n = zip(*pieces, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array([x.tobytes() for x in params], pa.binary()), pa.array(n, pa.int64())], names=["piece", "params", "n"])
 
 
 def _drain(held: list, step, seen: int) -> int:
@@ -273,11 +402,10 @@ def _drain(held: list, step, seen: int) -> int:
 def _score_rows(rows: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
     """A row with sums for each text (``word`` null), and one for each of its words that is not broadcast."""
     sent = rows.sparkSession.sparkContext.broadcast((model, vocab))
-    names = ["__row", "word", "n", "n_known", "base", "lm"]
+    names = ["__row", "word", "n", "n_known", "base", "lm", "unseen"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocab = sent.value
-        heavy, classes, start = vocab.heavy, vocab.classes, len(model.context) - 1
         for batch in batches:
             texts = texts_of(batch.column(1))
             at = 0
@@ -287,31 +415,44 @@ def _score_rows(rows: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataF
                     group.append((batch.column(0)[at].as_py(), [*words_of(texts[at]), END]))
                     size += len(texts[at])
                     at += 1
-                yield from _score_group(group, heavy, classes, start, model, vocab, names)
+                yield from _score_group(group, model, vocab, names)
 
-    return rows.select("__row", "__text").mapInArrow(scored, "__row long, word binary, n long, n_known long, base double, lm double")
+    return rows.select("__row", "__text").mapInArrow(scored, "__row long, word binary, n long, n_known long, base double, lm double, unseen double")
 
 
-def _score_group(group: list, heavy: dict, classes: dict, start: int, model: LogBilinear, vocab: Vocabulary, names: list[str]) -> Iterator[pa.RecordBatch]:
-    own = [np.array([classes.get(w, vocab.other) for w in words], dtype=np.int64) for _, words in group]
-    targets = np.concatenate(own)
-    lm = model.log10_classes(targets, np.concatenate([contexts_of(c, start) for c in own]))
+def _score_group(group: list, model: LogBilinear, vocab: Vocabulary, names: list[str]) -> Iterator[pa.RecordBatch]:
+    heavy, slots, start = vocab.heavy, vocab.slots, len(model.context) - 1
+    own = [np.array([vocab.unit(w) for w in words], dtype=np.int64) for _, words in group]
+    units = np.concatenate(own)
+    lm, hashed = model.log10_units(units, np.concatenate([contexts_of(c, start) for c in own]))
     counts = np.array([heavy.get(w, -1) for _, words in group for w in words], dtype=np.int64)
+    # Of a hashed word that is not broadcast, all but its count, which the join brings.
+    shared = units >= slots.outputs + slots.own
+    slot_counts = np.maximum(slots.counts[units[shared] - slots.outputs], 1)
+    lm[shared] += vocab.shares(np.maximum(counts[shared], 1), slot_counts)
+    unseen = hashed + vocab.shares(np.zeros(1))[0]
     known = counts > 0
+    rare = shared & (counts < 0)
     base = np.where(known, vocab.base(np.maximum(counts, 0)), 0.0)
-    lm += np.where(known & (targets == vocab.other), vocab.shares(np.maximum(counts, 1)), 0.0)
     first = np.r_[0, np.cumsum([len(c) for c in own])[:-1]]
-    sums = [np.add.reduceat(x, first) for x in (np.ones(len(known), np.int64), known.astype(np.int64), base, lm)]
+    # The end is on the first level even where no training text has taught its count.
+    base[(counts < 0) & ~shared] = vocab.base(np.zeros(1))[0]
+    sums = [np.add.reduceat(x, first) for x in (np.ones(len(known), np.int64), known.astype(np.int64), base, np.where(rare, 0.0, lm))]
     rows = pa.array([row for row, _ in group], pa.int64())
-    yield pa.RecordBatch.from_arrays([rows, pa.nulls(len(group), pa.binary()), *map(pa.array, sums)], names=names)
-    rare = [(row, w, n) for row, words in group for w, n in Counter(w for w in words if w not in heavy).items()]
-    if rare:
-        row, word, n = zip(*rare, strict=True)
-        none = pa.nulls(len(rare), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(rare), pa.int64()), none, none], names=names)
-
-
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, heavy: int = HEAVY) -> DataFrame:
+    yield pa.RecordBatch.from_arrays([rows, pa.nulls(len(group), pa.binary()), *map(pa.array, sums), pa.nulls(len(group), pa.float64())], names=names)
+    found: dict[tuple, list] = {}
+    tokens = [(row, w) for row, words in group for w in words]
+    for i in np.flatnonzero(rare).tolist():
+        total = found.setdefault(tokens[i], [0, 0.0, 0.0])
+        total[0], total[1], total[2] = total[0] + 1, total[1] + lm[i], total[2] + unseen[i]
+    if found:
+        row, word = zip(*found, strict=True)
+        n, seen_lm, unseen_lm = zip(*found.values(), strict=True)
+        arrays = [pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.float64())]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(seen_lm, pa.float64()), pa.array(unseen_lm, pa.float64())], names=names)
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, heavy: int | None = None) -> DataFrame:
     """Learn from the rows where ``held_out`` is false and score all.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
@@ -329,7 +470,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         F.lit(0).cast("long").alias("n_tokens"),
         F.when(c > 0, F.col("n")).otherwise(0).alias("n_known"),
         (F.col("n") * F.log10((c + 1) / F.lit(vocab.tokens + vocab.types + 1))).alias("base"),
-        (F.col("n") * vocab.share(c)).alias("lm"),
+        F.when(c > 0, F.col("lm") + F.col("n") * F.log10(c)).otherwise(F.col("unseen")).alias("lm"),
     )
     whole = found.where("word is null").select("__row", F.col("n").alias("n_tokens"), "n_known", "base", "lm")
     sums = whole.unionByName(rare).groupBy("__row").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lm")))

@@ -366,6 +366,37 @@ class TestLanguageModel:
         p = model.log10_classes(np.array([1]), np.array([[0, 0]]))[0]
         assert p > math.log10(0.6)
 
+    def test_words_beyond_the_first_level(self, spark):
+        """Every word has a probability that its context changes; all of them and the unseen word sum to one."""
+        rows = [(b"", 9000)] + [(b"w%d" % i, 40 - i // 100) for i in range(4000)] + [(b"once%d" % i, 1) for i in range(500)]
+        vocab = lm.vocabulary(spark.createDataFrame(rows, "word binary, c long"), classes=50)
+        assert vocab.slots.own >= 2048 and vocab.slots.hashed > 100
+        rng = np.random.default_rng(12)
+        model = lm.LogBilinear.start(vocab.class_counts, slots=vocab.slots)
+        noise = vocab.class_counts / vocab.class_counts.sum()
+        table = lm.noise_table(model.slots)
+        n = len(model.context) - 1
+        pairs = np.array([[vocab.unit(b"w%d" % i), vocab.unit(b"w%d" % (i + 1))] for i in range(1000, 1020)])
+        hashed = np.array([[vocab.unit(b"once%d" % i), vocab.unit(b"once%d" % (i + 1))] for i in range(20)])
+        pairs = np.concatenate([pairs, hashed])
+        for _ in range(300):
+            before, after = pairs[rng.integers(0, len(pairs), 1024)].T
+            model.learn(after, np.stack([before, before], axis=1), noise, rng, 0.1, table)
+        words = [w for w, _ in rows]
+        units, c = np.array([vocab.unit(w) for w in words]), np.array([c for _, c in rows])
+        for before, after in (pairs[3], pairs[30]):
+            lp, rest = model.log10_units(units, np.full((len(units), 2), before))
+            shared = units >= vocab.slots.outputs + vocab.slots.own
+            lp[shared] += vocab.shares(c[shared], vocab.slots.counts[units[shared] - vocab.slots.outputs])
+            assert (10**lp).sum() + 10 ** (rest[0] + vocab.shares(np.zeros(1))[0]) == pytest.approx(1, abs=1e-4)
+            own, other = (model.log10_classes(np.array([after]), np.array([[x, x]]))[0] for x in (before, n))
+            assert own > other + 1
+
+    def test_slots_grow_with_the_counts(self, spark):
+        rows = lambda k: spark.range(20 * k).select(F.col("id").cast("string").cast("binary").alias("word"), F.lit(1000 * k).cast("long").alias("c"))
+        small, large = (lm.vocabulary(rows(k), classes=8).slots for k in (100, 1000))
+        assert large.own >= 5 * small.own and large.hashed >= 5 * small.hashed
+
     def test_empty(self, empty, edges):
         assert lm.score_texts(empty, F.lit(False)).count() == 0
         assert lm.score_texts(edges, F.lit(True)).count() == len(EDGES)
