@@ -74,7 +74,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
                 hashes = shingle_hashes(text, width)
                 distinct = np.unique(hashes)
                 nodes.append(text_key(text))
-                fps.append(majority(hashes))
+                fps.append(majority(distinct))
                 sizes.append(len(distinct))
                 bands.append(band_keys(distinct) if len(distinct) else distinct)
             columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), list_array(bands, "<i8")]

@@ -175,6 +175,15 @@ class TestSimilarTexts:
         assert sorted(found, key=key) == sorted(self.brute(rows), key=key)
         assert len({c for _, c in found}) < len(rows) / 2
 
+    def test_repeated_lines(self, spark):
+        """A line repeated many times leaves the set of shingles nearly the same."""
+        rng, rows = random.Random(10), []
+        for i in range(30):
+            base = words(rng, 200, 5000).split()
+            rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + base[50:60] * 40))]
+        found = [(r.doc_id, r.component_id) for r in simhash_similar.near_dedup(docs_of(spark, rows)).collect()]
+        assert sorted(found) == sorted(self.brute(rows)) == [(i, i - i % 2) for i in range(60)]
+
     def test_empty(self, empty):
         assert simhash_similar.near_dedup(empty).count() == 0
 
