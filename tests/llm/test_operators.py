@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -212,6 +213,13 @@ class TestDecontamination:
         assert decontaminate.contained_items(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+    def test_pipeline_drops_null_ids_too(self, spark, tmp_path):
+        item = words(random.Random(13), 20)
+        spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        docs = docs_of(spark, [(None, f"before {item} after"), (1, f"x {item}"), (2, "clean text")])
+        assert [r.doc_id for r in corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 class TestExactDedup:
     def test_groups(self, spark, empty):
         rows = [*EDGES, (50, "hot  text"), (49, "hot text"), *((60 + i, "hot\ttext") for i in range(300)), (4, "one")]
