@@ -4,7 +4,7 @@ A line is parsed down a tree: its number of tokens, then its leading tokens, wit
 holds a digit generalised to a wildcard. A leaf's lines fall into templates: the masked line itself,
 and the masked line with one run of its later tokens generalised as well, where such a run is at most
 a fifth of the line (so lines of a template agree in 0.8 of their tokens or more). A template found in
-``min_docs`` documents or more is recurring, and its lines are dropped, but for the first (by document
+``min_docs`` documents or more, or a masked line of ``LONG_LINE`` tokens in two, is recurring, and its lines are dropped, but for the first (by document
 id, then line number), so that of copied text one copy stays.
 
 1. Template hashes are counted by slots, as many as a bitmap of fixed size has bits. The bitmap of the
@@ -34,6 +34,8 @@ from panelforge.llm.common import materialize, texts_of
 
 DEPTH = 3
 MIN_DOCS = 3
+#: Tokens from which on the masked line itself is recurring in two documents.
+LONG_LINE = 10
 #: Slots of the bitmap.
 SLOTS = 1 << 27
 WILDCARD = "<*>"
@@ -71,7 +73,15 @@ def _live_slots(rows: DataFrame, depth: int, min_docs: int) -> np.ndarray:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x & (SLOTS - 1) for text in texts_of(batch.column(0)) for x in {t for _, tokens in _lines(text) for t in templates(tokens, depth)}]
+            found = []
+            for text in texts_of(batch.column(0)):
+                once: dict[int, int] = {}
+                for _, tokens in _lines(text):
+                    whole, *others = templates(tokens, depth)
+                    # Two documents with a long line count as ``min_docs``.
+                    once[whole] = max(1, min_docs - 1) if len(tokens) >= LONG_LINE else 1
+                    once |= dict.fromkeys(others, 1)
+                found += [x & (SLOTS - 1) for x, n in once.items() for _ in range(n)]
             slot, n = np.unique(np.array(found, dtype=np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
 
@@ -90,23 +100,24 @@ def _template_rows(rows: DataFrame, bitmap: np.ndarray, depth: int) -> DataFrame
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live = sent.value
         for batch in batches:
-            at, line, keys = [], [], []
+            at, line, keys, long = [], [], [], []
             for i, text in enumerate(texts_of(batch.column(2))):
                 for number, tokens in _lines(text):
                     found = templates(tokens, depth)
                     keys += found
                     at += [i] * len(found)
                     line += [number] * len(found)
+                    long += [len(tokens) >= LONG_LINE] + [False] * (len(found) - 1)
             key, at, line = np.array(keys, dtype=np.uint64), np.array(at, dtype=np.int64), np.array(line, dtype=np.int32)
             slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
             used = (live[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
             take = pa.array(at[used])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(line[used]), pa.array(key[used].view(np.int64))],
-                names=["__row", "__id", "__line", "__template"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(line[used]), pa.array(key[used].view(np.int64)), pa.array(np.array(long, dtype=bool)[used])],
+                names=["__row", "__id", "__line", "__template", "__long"],
             )
 
-    schema = f"__row long, __id {rows.schema['__id'].dataType.simpleString()}, __line int, __template long"
+    schema = f"__row long, __id {rows.schema['__id'].dataType.simpleString()}, __line int, __template long, __long boolean"
     return rows.select("__row", "__id", "__text").mapInArrow(parsed, schema)
 
 
@@ -114,8 +125,9 @@ def dropped_lines(rows: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS)
     """``__row`` and its ``__drop``, the numbers of the lines that go; rows without any are left out."""
     found = materialize(_template_rows(rows, _live_slots(rows, depth, min_docs), depth), "line-templates")
     place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__row", "__line")
-    in_doc = found.groupBy("__template", "__row").agg(F.min(place).alias("place"))
-    recurring = in_doc.groupBy("__template").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where(F.col("n") >= min_docs)
+    in_doc = found.groupBy("__template", "__row").agg(F.min(place).alias("place"), F.max("__long").alias("long"))
+    recurring = in_doc.groupBy("__template").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("long").alias("long"))
+    recurring = recurring.where((F.col("n") >= min_docs) | F.col("long") & (F.col("n") >= 2)).drop("long")
     first = (F.col("first.__row") == F.col("__row")) & (F.col("first.__line") == F.col("__line"))
     return found.join(recurring, "__template").where(~first).groupBy("__row").agg(F.collect_set("__line").alias("__drop"))
 

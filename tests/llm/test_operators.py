@@ -313,6 +313,11 @@ class TestLineDedup:
         assert sum(r["__n_dropped"] for r in found.values()) > 40
         assert line_dedup.line_dedup(empty).count() == 0
 
+    def test_a_long_line_recurs_in_two(self, spark):
+        line = " ".join(f"word{chr(97 + i)}" for i in range(12))
+        found = line_dedup.line_dedup(docs_of(spark, [(1, f"{line}\nshort"), (2, f"own\n{line}"), (3, "short")]))
+        assert {r.doc_id: r.text for r in found.collect()} == {1: f"{line}\nshort", 2: "own", 3: "short"}
+
     def test_templates(self):
         t = lambda line: set(line_dedup.templates(line_dedup.parse(line)))
         assert t("user 17 came in at noon today ok") & t("user 99 came in at noon today ok")
