@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +16,48 @@ from pyspark.sql import functions as F
 
 #: The white space that splits words in every operator here, as a Java, Python and RE2 class.
 SPACE = r"\x20\x09-\x0D"
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A new folder for intermediate tables below the shared ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is set instead.
+    Where the session names no such folder, a local master gets a temporary one; a cluster gets an error,
+    since a folder of one machine would hold a part of each table only.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = _run_folder.get() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """One folder for all intermediate tables that are made inside the block; it goes with them at its end.
+
+    Results must be written before the block ends, since they read these tables.
+    """
+    folder = work_dir(spark, "run")
+    before = _run_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _run_folder.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name`` with so many underscores before it that no column is called so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here."""
     path = work_dir(df.sparkSession, tag)

@@ -5,12 +5,13 @@ document frequency and unit length. Each language has several centroids, found b
 among its own rows; a text takes the language of the centroid of the largest cosine. A text further
 from it than nearly all training rows of that language were from theirs is marked ``rejected``.
 
-Fitting uses at most ``per_language`` rows of each language, a parameter; scoring covers all rows and
-whole texts in one pass without a shuffle.
+Fitting uses a sample of ``per_language`` rows of each language, a parameter (see ``samples``); scoring covers
+all rows and whole texts in one pass without a shuffle.
 
 A null text or one without letters is ``und`` with score 0, and so is everything when nothing could be
 learned. Ties go to the language first in order. Rows without language or id are not learned from.
-Repeated rows count as often as they occur; other columns may have any names.
+Repeated rows are learned from once and predicted each for itself; one id may come with several texts and
+languages. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import texts_of
-from panelforge.llm.samples import ids_per_group, texts_with_labels
+from panelforge.llm.samples import texts_per_group
 
 DIM = 1 << 13
 PER_LANGUAGE = 400
@@ -91,7 +92,7 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel | None:
     """Learn from a bounded sample of ``docs``; None if it holds no row with letters and a language."""
-    sample = texts_with_labels(docs, ids_per_group(docs, lang_col, per_language, id_col), id_col, text_col)
+    sample = texts_per_group(docs, lang_col, per_language, id_col, text_col)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
