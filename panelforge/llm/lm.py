@@ -20,7 +20,8 @@ Counts cover all training texts. The words of the ``heavy`` largest counts are b
 where they occur; the others meet their counts in a join.
 
 A null text counts as empty and is its end alone. Rows with null ids are in the fold of the empty text.
-Repeated rows are learned from and scored each for itself. Without training texts every token is unseen.
+Repeated rows are learned from and scored each for itself; a row is numbered in the task that scores it and takes
+its id along, so the parts of its score meet whatever order the input comes in. Without training texts every token is unseen.
 Other columns may have any names.
 """
 
@@ -34,6 +35,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ CONTEXT = 2
 NOISE = 48
 #: Noise samples on the second level, for each group of a batch.
 SLOT_NOISE = 16
-#: Parameters of one row of the sums over partitions.
-PIECE = 4096
+#: Parameters of one row of the sums over partitions, and sums of a piece that are made side by side first.
+PIECE, LANES = 4096, 32
 BATCH = 4096
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -338,7 +340,8 @@ def contexts_of(classes: np.ndarray, start: int) -> np.ndarray:
 def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1, seed: int = 7) -> LogBilinear:
     """One pass over all texts of ``rows``, in each partition for itself, then the weighted mean.
 
-    Partitions' parameters are cut into pieces and added up piece by piece; the driver gets one sum of each.
+    Partitions' parameters are cut into pieces and added up piece by piece, first in ``LANES`` parts of the
+    partitions; the driver gets one sum of each.
     """
     model = LogBilinear.start(vocab.class_counts, dim, seed, vocab.slots)
     sent = rows.sparkSession.sparkContext.broadcast((model, vocab))
@@ -365,27 +368,28 @@ def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1,
             flat = own.params()
             pieces = [(i, flat[at : at + PIECE], seen) for i, at in enumerate(range(0, len(flat), PIECE))]
             for at in range(0, len(pieces), 256):
-                yield _weighted(pieces[at : at + 256])
+                yield _weighted(pieces[at : at + 256], TaskContext.get().partitionId() % LANES)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
-            for piece, params, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for piece, _, params, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 total = sums.setdefault(piece, [0.0, 0])
                 total[0], total[1] = total[0] + np.frombuffer(params, dtype=np.float32).astype(np.float64) * weight, total[1] + weight
         if sums:
             yield _weighted([(piece, (total / n).astype(np.float32), n) for piece, (total, n) in sums.items()])
 
-    schema = "piece int, params binary, n long"
-    means = rows.select("__text").mapInArrow(fitted, schema).repartition("piece").mapInArrow(added, schema).collect()
+    schema = "piece int, lane int, params binary, n long"
+    lanes = rows.select("__text").mapInArrow(fitted, schema).repartition("piece", "lane").mapInArrow(added, schema)
+    means = lanes.repartition("piece").mapInArrow(added, schema).collect()
     if not means:
         return model
     return model.with_params(np.concatenate([np.frombuffer(r.params, dtype=np.float32) for r in sorted(means, key=lambda r: r.piece)]))
 
 
-def _weighted(pieces: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
+def _weighted(pieces: list[tuple[int, np.ndarray, int]], lane: int = 0) -> pa.RecordBatch:
     piece, params, n = zip(*pieces, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array([x.tobytes() for x in params], pa.binary()), pa.array(n, pa.int64())], names=["piece", "params", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array([lane] * len(piece), pa.int32()), pa.array([x.tobytes() for x in params], pa.binary()), pa.array(n, pa.int64())], names=["piece", "lane", "params", "n"])
 
 
 def _drain(held: list, step, seen: int) -> int:
@@ -402,25 +406,29 @@ def _drain(held: list, step, seen: int) -> int:
 def _score_rows(rows: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
     """A row with sums for each text (``word`` null), and one for each of its words that is not broadcast."""
     sent = rows.sparkSession.sparkContext.broadcast((model, vocab))
-    names = ["__row", "word", "n", "n_known", "base", "lm", "unseen"]
+    id_type, held_type = (rows.schema[c].dataType.simpleString() for c in ("__id", "__held"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocab = sent.value
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(3))
             at = 0
             while at < len(texts):
-                group, size = [], 0
+                group, size, first = [], 0, at
                 while at < len(texts) and size < 2_000_000:
                     group.append((batch.column(0)[at].as_py(), [*words_of(texts[at]), END]))
                     size += len(texts[at])
                     at += 1
-                yield from _score_group(group, model, vocab, names)
+                yield from _score_group(group, batch.slice(first, at - first), model, vocab)
 
-    return rows.select("__row", "__text").mapInArrow(scored, "__row long, word binary, n long, n_known long, base double, lm double, unseen double")
+    numbered = rows.select(F.monotonically_increasing_id().alias("__row"), "__id", "__held", "__text")
+    schema = f"__row long, __id {id_type}, __held {held_type}, word binary, n long, n_known long, base double, lm double, unseen double"
+    return numbered.mapInArrow(scored, schema)
 
 
-def _score_group(group: list, model: LogBilinear, vocab: Vocabulary, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _score_group(group: list, batch: pa.RecordBatch, model: LogBilinear, vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """``group``: number and words of each row of ``batch``."""
+    names = ["__row", "__id", "__held", "word", "n", "n_known", "base", "lm", "unseen"]
     heavy, slots, start = vocab.heavy, vocab.slots, len(model.context) - 1
     own = [np.array([vocab.unit(w) for w in words], dtype=np.int64) for _, words in group]
     units = np.concatenate(own)
@@ -438,8 +446,7 @@ def _score_group(group: list, model: LogBilinear, vocab: Vocabulary, names: list
     # The end is on the first level even where no training text has taught its count.
     base[(counts < 0) & ~shared] = vocab.base(np.zeros(1))[0]
     sums = [np.add.reduceat(x, first) for x in (np.ones(len(known), np.int64), known.astype(np.int64), base, np.where(rare, 0.0, lm))]
-    rows = pa.array([row for row, _ in group], pa.int64())
-    yield pa.RecordBatch.from_arrays([rows, pa.nulls(len(group), pa.binary()), *map(pa.array, sums), pa.nulls(len(group), pa.float64())], names=names)
+    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.nulls(len(group), pa.binary()), *map(pa.array, sums), pa.nulls(len(group), pa.float64())], names=names)
     found: dict[tuple, list] = {}
     tokens = [(row, w) for row, words in group for w in words]
     for i in np.flatnonzero(rare).tolist():
@@ -448,7 +455,8 @@ def _score_group(group: list, model: LogBilinear, vocab: Vocabulary, names: list
     if found:
         row, word = zip(*found, strict=True)
         n, seen_lm, unseen_lm = zip(*found.values(), strict=True)
-        arrays = [pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.float64())]
+        none = [pa.nulls(len(row), batch.column(c).type) for c in (1, 2)]
+        arrays = [pa.array(row, pa.int64()), *none, pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.float64())]
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(seen_lm, pa.float64()), pa.array(unseen_lm, pa.float64())], names=names)
 
 
@@ -457,7 +465,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
     """
-    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), held_out.alias("__held")).withColumn("__row", F.monotonically_increasing_id())
+    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), held_out.alias("__held"))
     learned = named.where(~F.col("__held"))
     counts = materialize(token_counts(learned), "token-counts")
     vocab = vocabulary(counts, classes, heavy)
@@ -467,14 +475,18 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     rare = found.where("word is not null").join(counts, "word", "left")
     rare = rare.select(
         "__row",
+        "__id",
+        "__held",
         F.lit(0).cast("long").alias("n_tokens"),
         F.when(c > 0, F.col("n")).otherwise(0).alias("n_known"),
         (F.col("n") * F.log10((c + 1) / F.lit(vocab.tokens + vocab.types + 1))).alias("base"),
         F.when(c > 0, F.col("lm") + F.col("n") * F.log10(c)).otherwise(F.col("unseen")).alias("lm"),
     )
-    whole = found.where("word is null").select("__row", F.col("n").alias("n_tokens"), "n_known", "base", "lm")
-    sums = whole.unionByName(rare).groupBy("__row").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lm")))
-    return named.drop("__text").join(sums, "__row").select(
+    whole = found.where("word is null").select("__row", "__id", "__held", F.col("n").alias("n_tokens"), "n_known", "base", "lm")
+    # Only the row of a whole text has its id and fold.
+    firsts = [F.max(x).alias(x) for x in ("__id", "__held")]
+    sums = whole.unionByName(rare).groupBy("__row").agg(*firsts, *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lm")))
+    return sums.select(
         F.col("__id").alias(id_col),
         F.col("__held").alias("held_out"),
         "n_tokens",
