@@ -48,7 +48,7 @@ OWN, LEAST_OWN, OWN_COUNT, HASHED = 4, 2048, 3, 1
 HEAVY = 100_000
 DIM = 32
 CONTEXT = 2
-NOISE = 48
+NOISE = 64
 #: Noise samples on the second level, for each group of a batch.
 SLOT_NOISE = 16
 #: Parameters of one row of the sums over partitions, and sums of a piece that are made side by side first.
