@@ -7,7 +7,8 @@
 3. What the sketches name is verified: exact counts and smallest ids, at most ``buckets * per_bucket``
    rows, however large the input is.
 4. These winners are broadcast, so rows of a frequent digest are resolved where they are and never
-   shuffled. All other digests have few rows each and take an ordinary shuffle.
+   shuffled. All other digests take an ordinary shuffle: partial counts and smallest ids of each digest, joined
+   back to its rows, so no group is held in memory.
 
 Nulls: a null text counts as empty, empty texts are equal to one another. The row with the smallest
 id stays; a null id stays only in a group that has no other, and rows that share the staying id are
@@ -17,7 +18,7 @@ are read, so extra columns of any name don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import SPACE, materialize
@@ -49,10 +50,9 @@ def exact_dedup(
     rows = materialize(docs.select(F.col(id_col).alias("__id"), digest.alias("__digest")), "digests")
     heavy = materialize(heavy_digests(rows, buckets, per_bucket, tracked), "heavy-digests")
     marked = rows.join(F.broadcast(heavy), "__digest", "left")
-    group = Window.partitionBy("__digest")
-    rest = marked.where("__size is null").select(
-        "__digest", "__id", F.count(F.lit(1)).over(group).alias("__size"), F.min("__id").over(group).alias("__keep")
-    )
+    rest = marked.where("__size is null").select("__digest", "__id")
+    groups = rest.groupBy("__digest").agg(F.count(F.lit(1)).alias("__size"), F.min("__id").alias("__keep"))
+    rest = rest.join(groups, "__digest")
     both = marked.where("__size is not null").select("__digest", "__id", "__size", "__keep").unionByName(rest)
     return both.select(
         F.col("__id").alias(id_col),

@@ -6,13 +6,14 @@ and kept in Arrow IPC files without compression, whose columns are fixed-size li
 the file into memory and takes any sequence without reading or copying the rest. Each file has an index
 beside it (doc_id, first position, number of ids).
 
-Each Spark partition of the range-partitioned documents writes one pair of files under a name of its
-own attempt; the manifest, a Parquet table, names the attempts that count. A task that is run again or
+Each Spark partition of the range-partitioned documents (by default as many as the input has splits, if these are
+more than the session's shuffle partitions) writes one pair of files under a name of its own attempt; the manifest, a Parquet table, names the attempts that count. A task that is run again or
 twice leaves only a file that nothing names.
 
 Texts: null counts as empty; every document ends with ``end_id``, so an empty one has one id. Null ids
-come first. Repeated ids stay separate documents in an order of their own texts. An empty table gives
-empty results. Only id and text are read, so other columns may have any names.
+come first. Repeated and null ids stay separate documents in an order that their texts decide, and are dealt by it,
+so one id may fill several files. Ids may be integers or strings. An empty table gives empty results. Only id and
+text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -99,13 +100,13 @@ def id_type(path: str) -> str:
 class SequenceWriter:
     """Writes one pair of files; keeps no more than a batch of sequences in memory."""
 
-    def __init__(self, folder: str, name: str, length: int, dtype: str, rows: int = 256):
+    def __init__(self, folder: str, name: str, length: int, dtype: str, id_type: pa.DataType, rows: int = 256):
         self.fs, root = pa.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
         self.length, self.dtype, self.rows, self.held = length, np.dtype(dtype), rows, b""
         kind = pa.from_numpy_dtype(self.dtype)
         self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
-        self.index_schema = pa.schema([("doc_id", pa.int64()), ("position", pa.int64()), ("n_tokens", pa.int64())])
+        self.index_schema = pa.schema([("doc_id", id_type), ("position", pa.int64()), ("n_tokens", pa.int64())])
         self.outs = [self.fs.open_output_stream(f"{root}/{name}.{end}") for end in ("arrow", "index.arrow")]
         self.files = [pa.ipc.new_file(o, s) for o, s in zip(self.outs, (self.schema, self.index_schema), strict=True)]
         self.n_docs = self.n_tokens = 0
@@ -175,7 +176,8 @@ def write_token_files(
 ) -> DataFrame:
     """Write all documents below ``folder`` and return the manifest (part, file, n_docs, n_tokens), ordered by part."""
     spark, dtype = docs.sparkSession, id_type(tokenizer_path)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, name, part = _encoder(tokenizer_path, dtype), None, "", 0
@@ -185,21 +187,21 @@ def write_token_files(
             if writer is None:
                 part = batch.column(2)[0].as_py()
                 name = f"part-{part:06d}-{uuid.uuid4().hex}"
-                writer = SequenceWriter(f"{folder}/sequences", name, length, dtype)
+                writer = SequenceWriter(f"{folder}/sequences", name, length, dtype, batch.column(0).type)
             writer.add(batch.column(0), encoder.encode_batch(texts_of(batch.column(1)), end_id))
         if writer is not None:
             writer.close()
             row = [[part], [name], [writer.n_docs], [writer.n_tokens]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "file", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    dealt = rows.repartitionByRange(n, "__id").sortWithinPartitions("__id", "__text").withColumn("__part", F.spark_partition_id())
+    order = [F.col("__id"), F.xxhash64("__text")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
     dealt.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files.
+def read_token_files(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
+    """doc_id (of SQL type ``id_type``), start, n_tokens and ids_crc32 of every document, read back from the files.
 
     One manifest row stands for a whole file, so what the driver adds up here is one number a file.
     """
@@ -212,14 +214,18 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [(doc, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, at, ids in SequenceFile(f"{folder}/sequences", file).documents()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                sequences = SequenceFile(f"{folder}/sequences", file)
+                found = [(doc, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, at, ids in sequences.documents()]
+                types = [sequences.index.schema.field(0).type, *[pa.int64()] * 3]
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(starts, "file string, start long").repartition(max(1, len(starts)))
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_index(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, **kwargs) -> DataFrame:
     """Write the files (by default to the shared work folder) and return what reading them back shows."""
     folder = folder or work_dir(docs.sparkSession, "token-files")
-    return read_token_files(write_token_files(docs, tokenizer_path, folder, end_id, **kwargs), folder)
+    id_type = docs.schema[kwargs.get("id_col", "doc_id")].dataType.simpleString()
+    return read_token_files(write_token_files(docs, tokenizer_path, folder, end_id, **kwargs), folder, id_type)
