@@ -9,10 +9,15 @@ above the mean distance), and the exact similarity of the shingle sets decides.
 1. Texts of equal words are one class.
 2. In each shard each linked group sends its members with its most central one as pairs, so near copies of one
    text meet in pairs linear in their number. Verified pairs give components.
-3. Each shard is searched again for rows with a row of another component near them. Their shingle sets go to the
-   shard's task, which verifies the pairs there and returns only those that join two components, at most one for
-   each row; no link that would join two components is lost. Shards of more than ``SHARD_ROWS`` rows or
-   ``SHARD_SHINGLES`` shingles are split into blocks, and each pair of blocks goes to a task of its own.
+3. Each shard of several components is searched again for rows with a row of another component near them. Their
+   shingle sets go to the shard's task, which verifies the pairs there and returns only those that join two
+   components, at most one for each row; no link that would join two components is lost, except between texts that
+   share no band or whose fingerprints are further apart than the radius.
+
+   Rows are compared with one member of each other component first: the Jaccard distance obeys the triangle
+   inequality, so the distances to that member rule out most others. Of a shard of more than ``SHARD_ROWS`` rows or
+   ``SHARD_SHINGLES`` shingles the largest component is dealt to blocks that only meet the blocks of the other
+   rows, never one another, so work grows with the product of a group of copies and the rows around it.
 
 Texts: null counts as empty; texts without words are one class; fewer words than a shingle has give one
 shingle of them all. Null ids are linked too and ignored as component ids. Repeated rows give repeated
@@ -70,23 +75,23 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, fps, sizes, bands = [], [], [], []
-            for text in texts_of(batch.column(1)):
+            for text in texts_of(batch.column(2)):
                 hashes = shingle_hashes(text, width)
                 distinct = np.unique(hashes)
                 nodes.append(text_key(text))
                 fps.append(majority(distinct))
                 sizes.append(len(distinct))
                 bands.append(band_keys(distinct) if len(distinct) else distinct)
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), list_array(bands, "<i8")]
-            yield pa.RecordBatch.from_arrays(columns, names=["__id", "node", "fp", "n", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), list_array(bands, "<i8")]
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__hash", "node", "fp", "n", "bands"])
 
-    return docs.mapInArrow(sketch, f"__id {docs.schema[0].dataType.simpleString()}, node long, fp long, n long, bands array<long>")
+    return docs.mapInArrow(sketch, f"__id {docs.schema[0].dataType.simpleString()}, __hash long, node long, fp long, n long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(2))
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
                 found = [np.unique(shingle_hashes(t, width)) for t in part]
@@ -125,28 +130,29 @@ def star_pairs(fps: np.ndarray, shards: np.ndarray, radius: int) -> tuple[np.nda
     return a[a != order], order[a != order]
 
 
-def open_pairs(fps: np.ndarray, shards: np.ndarray, comps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a shard within the radius whose components differ, once each."""
+def open_rows(fps: np.ndarray, shards: np.ndarray, comps: np.ndarray, sizes: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """Whether a row's fingerprint is within the radius of one, of a fitting size, that another component has in its shard.
+
+    Decided by distinct fingerprints (the least and largest component and size of each), so rows that share one
+    are not paired; a few more rows are open than have such a partner themselves.
+    """
     forest, where, of = _unique(fps, shards)
     order = np.argsort(where, kind="stable")
-    low = np.searchsorted(where[order], np.arange(len(of) + 1))
+    first = np.searchsorted(where[order], np.arange(len(of)))
+    (c_lo, c_hi), (n_lo, n_hi) = ((np.minimum.reduceat(x[order], first), np.maximum.reduceat(x[order], first)) for x in (comps, sizes))
+    opened = np.zeros(len(of), bool)
     for at in range(0, len(of), QUERIES):
         for x, y in forest.search(np.arange(at, min(at + QUERIES, len(of))), radius):
-            x, y = x[x <= y], y[x <= y]
-            rows, n = np.repeat(y, low[x + 1] - low[x]), low[x + 1] - low[x]
-            ends = np.cumsum(n)
-            a = order[np.repeat(low[x] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-            n = low[rows + 1] - low[rows]
-            ends = np.cumsum(n)
-            b = order[np.repeat(low[rows] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-            a = np.repeat(a, n)
-            apart = comps[a] != comps[b]
-            yield a[apart], b[apart]
+            apart = np.minimum(c_lo[x], c_lo[y]) != np.maximum(c_hi[x], c_hi[y])
+            fits = (n_hi[x] >= similarity * n_lo[y] - 1e-9) & (n_hi[y] >= similarity * n_lo[x] - 1e-9)
+            opened[x[apart & fits]] = True
+            opened[y[apart & fits]] = True
+    return opened[where]
 
 
 def _by_shard(dealt: DataFrame, keys: list[str], limit: int | None, search: Callable, schema: str) -> DataFrame:
-    """What ``search`` finds in the rows (keys, node, fp, n, comp) of whole shards and their shard numbers."""
-    rest = ["node", "fp", "n", "comp"]
+    """What ``search`` finds in the rows (keys, node, fp, n, comp, side) of whole shards and their shard numbers."""
+    rest = ["node", "fp", "n", "comp", "side"]
     dealt = dealt.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, F.xxhash64(keys[0], "node"))
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -183,7 +189,7 @@ def _stars(dealt: DataFrame, similarity: float, radius: int, limit: int) -> Data
     """Pairs of nodes (a < b): the members of each linked group with its most central one."""
 
     def search(rows: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, node, fp, n, _ = rows.T
+        _, node, fp, n, _, _ = rows.T
         x, y = star_pairs(fp.astype(np.uint64), shards, radius)
         fits = fit_sizes(n[x], n[y], similarity)
         a, b = node[x[fits]], node[y[fits]]
@@ -194,52 +200,87 @@ def _stars(dealt: DataFrame, similarity: float, radius: int, limit: int) -> Data
 
 def _open_rows(dealt: DataFrame, keys: list[str], similarity: float, radius: int) -> DataFrame:
     """The rows, once each, that have a row of another component within the radius in their shard."""
-    names = [*keys, "node", "fp", "n", "comp"]
+    names = [*keys, "node", "fp", "n", "comp", "side"]
 
     def search(rows: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, fp, n, comp = rows[:, len(keys) :].T
-        opened = np.zeros(len(rows), bool)
-        for x, y in open_pairs(fp.astype(np.uint64), shards, comp, radius):
-            fits = fit_sizes(n[x], n[y], similarity)
-            opened[x[fits]] = opened[y[fits]] = True
+        _, fp, n, comp, _ = rows[:, len(keys) :].T
+        opened = open_rows(fp.astype(np.uint64), shards, comp, n, similarity, radius)
         yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in rows[opened].T], names=names)
 
     return _by_shard(dealt, keys, None, search, ", ".join(f"{c} long" for c in names))
 
 
-def joining_pairs(fps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> tuple[list[int], list[int]]:
-    """Pairs of rows of the similarity that join the components of one shard: a spanning forest of all such pairs."""
-    sizes = np.array([len(s) for s in sets])
-    starts = np.cumsum(sizes) - sizes
-    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    label, own = comps.copy(), np.zeros(len(distinct), bool)
+class _Sets:
+    """The shingle sets of a shard's rows over the numbers of its distinct shingles."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        distinct, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.own = np.zeros(len(distinct), bool)
+
+    def similarity(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of row ``a`` with each of the others."""
+        mine = self.ids[self.starts[a] : self.starts[a] + self.sizes[a]]
+        self.own[mine] = True
+        shared = np.zeros(len(others), dtype=np.int64)
+        for at in range(0, len(others), QUERIES):
+            part = others[at : at + QUERIES]
+            filled = np.flatnonzero(self.sizes[part])
+            part = part[filled]
+            if len(part):
+                first = np.cumsum(self.sizes[part]) - self.sizes[part]
+                flat = np.repeat(self.starts[part] - first, self.sizes[part]) + np.arange(self.sizes[part].sum())
+                shared[at + filled] = np.add.reduceat(self.own[self.ids[flat]], first, dtype=np.int64)
+        self.own[mine] = False
+        return shared / np.maximum(self.sizes[a] + self.sizes[others] - shared, 1)
+
+
+def joining_pairs(
+    fps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int, sides: np.ndarray | None = None
+) -> tuple[list[int], list[int]]:
+    """Pairs of rows of the similarity that join the components of one shard: a spanning forest of all such pairs.
+
+    Rows of the same non-zero ``sides`` are not compared: the pairs of these meet elsewhere.
+    """
+    found = _Sets(sets)
+    sides = np.zeros(len(sets), np.int64) if sides is None else sides
+    of, pivots = np.unique(comps, return_index=True)
+    number = np.searchsorted(of, comps)
+    label, away = number.copy(), np.zeros(len(sets))
+    for c in np.flatnonzero(np.bincount(number) > 1).tolist():
+        members = np.flatnonzero(number == c)
+        away[members] = 1 - found.similarity(int(pivots[c]), members)
     left, right = [], []
     for a in range(len(sets) - 1):
-        near = (np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= radius) & fit_sizes(sizes[a + 1 :], sizes[a], similarity)
+        near = (np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= radius) & fit_sizes(found.sizes[a + 1 :], found.sizes[a], similarity)
+        near &= (sides[a + 1 :] != sides[a]) | (sides[a] == 0)
         others = np.flatnonzero(near & (label[a + 1 :] != label[a])) + a + 1
-        own[mine := ids[starts[a] : starts[a] + sizes[a]]] = True
+        if len(others) > len(np.unique(number[others])):
+            # No row is nearer than the distance to its component's pivot less its own distance from there.
+            there = np.unique(number[others])
+            to_pivot = np.zeros(len(of))
+            to_pivot[there] = 1 - found.similarity(a, pivots[there])
+            others = others[np.abs(to_pivot[number[others]] - away[others]) <= 1 - similarity + 1e-9]
         for at in range(0, len(others), QUERIES):
             part = others[at : at + QUERIES]
-            first = np.cumsum(sizes[part]) - sizes[part]
-            flat = np.repeat(starts[part] - first, sizes[part]) + np.arange(sizes[part].sum())
-            shared = np.add.reduceat(own[ids[flat]], first, dtype=np.int64)
-            for b in part[shared >= similarity * (sizes[a] + sizes[part] - shared) - 1e-9]:
+            part = part[label[part] != label[a]]  # rows that the part before has joined
+            for b in part[found.similarity(a, part) >= similarity - 1e-12].tolist():
                 if label[a] != label[b]:
                     label[label == label[b]] = label[a]
                     left.append(a)
-                    right.append(int(b))
-        own[mine] = False
+                    right.append(b)
     return left, right
 
 
 def _joining_links(opened: DataFrame, sets: DataFrame, keys: list[str], similarity: float, radius: int) -> DataFrame:
     """Pairs of components (a, b) that a verified pair of their nodes joins, at most one for each row of a shard."""
-    rows = opened.join(sets, "node").select(*keys, "fp", "comp", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    rows = opened.join(sets, "node").select(*keys, "fp", "comp", "side", "shingles").repartition(*keys).sortWithinPartitions(*keys)
 
     def links(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
-            fp, comp = np.array([row[-2:] for row, _ in held]).T
-            a, b = joining_pairs(fp.astype(np.uint64), comp, [s for _, s in held], similarity, radius)
+            fp, comp, side = np.array([row[-3:] for row, _ in held]).T
+            a, b = joining_pairs(fp.astype(np.uint64), comp, [s for _, s in held], similarity, radius, side)
             yield pa.RecordBatch.from_arrays([pa.array(comp[a]), pa.array(comp[b])], names=["a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +298,40 @@ def _joining_links(opened: DataFrame, sets: DataFrame, keys: list[str], similari
     return rows.mapInArrow(search, "a long, b long").distinct()
 
 
+def _parted(named: DataFrame, shard_rows: int) -> DataFrame:
+    """The rows of shards of several components, dealt to (shard, i, j).
+
+    A small shard is one part. Of a large one the rows of its largest component (side 1) go to blocks i < 0 and
+    meet each block j of the others there (side 2); the others meet one another in pairs of blocks i <= j.
+    """
+    blocks = lambda n, weight: F.greatest(F.lit(1), F.ceil(F.greatest(n / shard_rows, weight / SHARD_SHINGLES)))
+    by_comp = named.groupBy("shard", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    top = F.max(F.struct("m", "comp", "w")).alias("top")
+    mixed = by_comp.groupBy("shard").agg(F.count(F.lit(1)).alias("comps"), top, F.sum("m").alias("all_m"), F.sum("w").alias("all_w")).where("comps > 1")
+    mixed = mixed.select(
+        "shard",
+        F.col("top.comp").alias("top"),
+        ((F.col("all_m") <= shard_rows) & (F.col("all_w") <= SHARD_SHINGLES)).alias("small"),
+        blocks(F.col("top.m"), F.col("top.w")).alias("big"),
+        blocks(F.col("all_m") - F.col("top.m"), F.col("all_w") - F.col("top.w")).alias("rest"),
+    )
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).cast("long").alias("side"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
+    rest = own(F.col("rest"))
+    parts = (
+        F.when(F.col("small"), F.array(pair(F.lit(0), F.lit(0), 0)))
+        .when(F.col("comp") == F.col("top"), F.transform(upto(F.col("rest")), lambda j: pair(-1 - own(F.col("big")), j, 1)))
+        .otherwise(
+            F.concat(
+                F.transform(upto(F.col("big")), lambda i: pair(-1 - i, rest, 2)),
+                F.transform(upto(F.col("rest")), lambda j: pair(F.least(rest, j), F.greatest(rest, j), 0)),
+            )
+        )
+    )
+    return named.join(mixed, "shard").select("shard", "node", "fp", "n", "comp", F.explode(parts).alias("part")).select("*", "part.*").drop("part")
+
+
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -267,15 +342,55 @@ def near_dedup(
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, fp (signed long), component_id."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    sketches, of = _components(docs, id_col, text_col, width, similarity, radius, shard_rows)
+    return sketches.join(of, "node").select(F.col("__id").alias(id_col), "fp", "component_id")
+
+
+def first_of_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    radius: int = RADIUS,
+    shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
+    """One row of ``docs`` of each group, with all its columns: that of the smallest id, null ids last.
+
+    Of rows with that id the one of the smallest text hash stays, and of rows alike in id and text one of them.
+    """
+    sketches, of = _components(docs, id_col, text_col, width, similarity, radius, shard_rows, group=True)
+    place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
+    first = sketches.join(of, "node").groupBy("group").agg(F.min(place).alias("x")).select("x.*")
+    copies = sketches.groupBy("__id", "__hash").count().select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), (F.col("count") > 1).alias("__many"))
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))
+    kept = materialize(first.join(copies, same).select("__i", "__h", "__many"), "first-of-groups")
+
+    def rows(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, docs[id_col].eqNullSafe(keys["__i"]) & (F.xxhash64(docs[text_col]) == keys["__h"]), "left_semi")
+
+    alike = kept.where("__many")
+    if alike.isEmpty():
+        return rows(kept)
+    return rows(kept.where("not __many")).unionByName(rows(alike).dropDuplicates([id_col, text_col]))
+
+
+def _components(
+    docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, radius: int, shard_rows: int, group: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Each row's sketch (with ``__id``, ``__hash`` of the text and ``node``), and the component of each node.
+
+    The component is its smallest id, or with ``group`` a number of its own (``group``).
+    """
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
     sketches = materialize(_sketches(rows, width), "sketches")
-    classes = materialize(sketches.groupBy("node").agg(F.min("__id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(sketches.groupBy("node").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__hash")).alias("first"), F.min("__id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     dealt = classes.select("node", "fp", "n", F.explode("bands").alias("shard"))
-    shared = materialize(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")).where("members > 1"), "shared-shards")
-    dealt = materialize(dealt.join(shared, "shard").select("shard", "members", "weight", "node", "fp", "n", F.col("node").alias("comp")), "dealt")
+    shared = materialize(dealt.groupBy("shard").count().where("count > 1").select("shard"), "shared-shards")
+    dealt = materialize(dealt.join(shared, "shard", "left_semi").select("shard", "node", "fp", "n", F.col("node").alias("comp"), F.lit(0).cast("long").alias("side")), "dealt")
 
-    inside = classes.join(dealt.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("__rep"))
-    texts = rows.join(inside, F.col("__id").eqNullSafe(F.col("__rep")), "left_semi")
+    inside = classes.join(dealt.select("node").distinct(), "node", "left_semi").select(F.col("first.__id").alias("__i"), F.col("first.__hash").alias("__h"))
+    texts = rows.join(inside, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left_semi")
     sets = materialize(_shingle_sets(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -288,13 +403,8 @@ def near_dedup(
     links = materialize(verified(stars), "star-links")
     roots = materialize(components(links), "star-roots")
 
-    named = dealt.drop("comp").join(roots, dealt.node == roots.node, "left").select("shard", "members", "weight", dealt.node, "fp", "n", F.coalesce("root", dealt.node).alias("comp"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("shard").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shard")
-    blocks = F.ceil(F.greatest(F.col("members") / shard_rows, F.col("weight") / SHARD_SHINGLES))
-    block = F.pmod(F.xxhash64("node"), blocks)
-    parted = named.join(mixed, "shard", "left_semi").select("*", block.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
-    parted = parted.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
+    named = dealt.drop("comp").join(roots, dealt.node == roots.node, "left").select("shard", dealt.node, "fp", "n", F.coalesce("root", dealt.node).alias("comp"))
+    parted = _parted(materialize(named, "named"), shard_rows)
     keys = ["shard", "i", "j"]
     opened = materialize(_open_rows(parted, keys, similarity, radius), "open-rows")
     joins = materialize(_joining_links(opened, sets, keys, similarity, radius), "joining-links")
@@ -304,8 +414,9 @@ def near_dedup(
     single = higher.join(roots, "node", "left_anti")  # linked in this step alone: a component of its own before
     roots = materialize(raised.union(single), "roots")
 
+    if group:
+        return sketches, classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
     linked = classes.join(roots, "node").select("node", "rep", "root")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
     linked = linked.join(least, "root").select("node", "component")
-    of = classes.join(linked, "node", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
-    return sketches.join(of, "node").select(F.col("__id").alias(id_col), "fp", "component_id")
+    return sketches, classes.join(linked, "node", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
