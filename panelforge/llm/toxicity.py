@@ -6,8 +6,8 @@ products of factors, so that two terms that mean something only together are lea
 Adagrad.
 
 Learned are terms of ``LEAST_DOCS`` sampled documents or more whose document frequencies differ between the labels
-(by the z-score of their log odds) or that label 1 has alone, at most ``MAX_TERMS``, and the ``FREQUENT`` most
-frequent terms, which may matter in pairs alone. Spark counts the terms; the driver gets the chosen ones and the
+(by the z-score of their log odds) or that label 1 has alone, at most ``MAX_TERMS``, and the most frequent terms,
+which may matter in pairs alone: ``FREQUENT``, or a quarter of the rarer label's documents where that is less. Spark counts the terms; the driver gets the chosen ones and the
 documents' places among them.
 
 Fitting uses a sample of ``limit`` labelled rows, a parameter (see ``samples``); scoring covers all rows and whole
@@ -38,7 +38,7 @@ FACTORS = 8
 #: Letters of a word's beginning that is a term of its own.
 STEM = 6
 MAX_TERMS, FREQUENT = 16_384, 256
-LEAST_DOCS, LEAST_Z = 3, 2.0
+LEAST_DOCS, LEAST_Z = 3, 2.5
 #: Steps of training at least, so that small samples take more epochs.
 STEPS = 2000
 BATCH = 128
@@ -84,7 +84,7 @@ def choose_terms(counts: DataFrame, on: int, off: int, max_terms: int = MAX_TERM
     (log_on, var_on), (log_off, var_off) = part("on", on), part("off", off)
     ranked = counts.withColumn("z", F.abs((log_on - log_off) / F.sqrt(var_on + var_off)))
     apart = ranked.where((F.col("z") >= LEAST_Z) | (F.col("off") == 0)).orderBy(F.desc("z"), "term").limit(max_terms)
-    frequent = counts.orderBy(F.desc("n"), "term").limit(FREQUENT)
+    frequent = counts.orderBy(F.desc("n"), "term").limit(min(FREQUENT, min(on, off) // 4))
     return sorted({r.term for part in (apart, frequent) for r in part.select("term").collect()})
 
 
