@@ -27,16 +27,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by id, of each group of texts that share 0.8 or more of their 5-word shingles."""
-    groups = simhash_similar.near_dedup(docs, width=5, similarity=0.8)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__kept")), "left_semi")
+    return simhash_similar.first_of_groups(docs, width=5, similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
-    hits = decontaminate.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = hits.select(F.col("doc_id").alias("__hit"))
-    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("__hit")), "left_anti")
+    """Documents that contain no item of the benchmark. Rows are told apart by id and text, so null and repeated ids do no harm."""
+    key = F.xxhash64("doc_id", "text")
+    hits = decontaminate.contained_items(docs.select(key.alias("__row"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
+    return docs.join(hits.select("__row").distinct(), key == F.col("__row"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
