@@ -237,37 +237,44 @@ def anomaly_percent(spark, sf_dir):
     return rounded(series.anomaly_percent(rows, anchors))
 
 
+_VISITS = "visits AS (SELECT DISTINCT ['AF', 'AO', 'NF', 'NO', 'RF', 'RO', 'XX'][CAST(o_custkey % 7 AS INTEGER) + 1] AS site_id, CAST(o_orderdate AS DATE) AS date FROM orders)"
+
+
+def visits(spark, sf_dir):
+    """Orders as irregular visits of the panel's sites (and of one that is not in it)."""
+    names = F.array(*map(F.lit, ("AF", "AO", "NF", "NO", "RF", "RO", "XX")))
+    return table(spark, sf_dir, "orders").select(F.element_at(names, (F.col("o_custkey") % 7 + 1).cast("int")).alias("site_id"), F.to_date("o_orderdate").alias("date")).distinct()
+
+
 @query(
-    f"""WITH {_ORDERS}, s AS (SELECT site_id, date, sum(value) AS value FROM o GROUP BY site_id, date), {PANEL_SQL}, m AS (
-  SELECT date_trunc('month', date) AS month, sum(rain) AS total FROM panel WHERE site_id = 'AF' GROUP BY 1)
-SELECT site_id, date, round(value, 2) AS value, total FROM s LEFT JOIN m ON date_trunc('month', date) = month"""
+    f"""WITH {PANEL_SQL}, {_VISITS}, m AS (SELECT site_id, date_trunc('month', date) AS month, sum(rain) AS total FROM panel GROUP BY 1, 2),
+e AS (SELECT DISTINCT site_id, date FROM panel WHERE rain > 200)
+SELECT v.site_id, v.date, total, CAST(e.date IS NOT NULL AS INTEGER) AS event_marker FROM visits v
+LEFT JOIN m ON m.site_id = v.site_id AND date_trunc('month', v.date) = month LEFT JOIN e ON e.site_id = v.site_id AND e.date = v.date"""
 )
 def month_total_join(spark, sf_dir):
-    daily = observations(spark, sf_dir).groupBy("site_id", "date").agg(F.sum("value").alias("value"))
-    totals = series.month_totals(panel(spark, sf_dir).where("site_id = 'AF'")).drop("site_id")
-    return rounded(daily.withColumn("month", F.trunc("date", "month")).join(F.broadcast(totals), "month", "left").drop("month"), 2)
+    rows = panel(spark, sf_dir)
+    return series.with_month_total(visits(spark, sf_dir), rows, rows.where("rain > 200")).select("site_id", "date", "total", "event_marker")
 
 
 @query(
-    f"""WITH {PANEL_SQL}, p AS (SELECT DISTINCT 'AF' AS site_id, CAST(o_orderdate AS DATE) AS date FROM orders)
-SELECT p.site_id, p.date, sum(rain) AS total, count(rain) FILTER (WHERE rain IS NOT NULL) AS days FROM p JOIN panel f
-ON f.site_id = p.site_id AND f.date > p.date - INTERVAL 10 DAY AND f.date <= p.date GROUP BY p.site_id, p.date"""
+    f"""WITH {PANEL_SQL}, {_VISITS} SELECT v.site_id, v.date, sum(rain) AS total, nullif(count(f.date), 0) AS days FROM visits v LEFT JOIN panel f
+ON f.site_id = v.site_id AND f.date > v.date - INTERVAL 10 DAY AND f.date <= v.date GROUP BY v.site_id, v.date"""
 )
 def antecedent_at_points(spark, sf_dir):
-    points = table(spark, sf_dir, "orders").select(F.lit("AF").alias("site_id"), F.to_date("o_orderdate").alias("date")).distinct()
-    return series.antecedent_at(points, panel(spark, sf_dir), 10).where("days is not null").select("site_id", "date", "total", "days")
+    return series.antecedent_at(visits(spark, sf_dir), panel(spark, sf_dir), 10).select("site_id", "date", "total", "days")
 
 
 @query(
     f"""WITH {_ORDERS}, t AS (SELECT *, date_diff('day', min(date) OVER (PARTITION BY site_id), date) AS t FROM o), l AS (
-  SELECT site_id, regr_slope(value, t) * 365.25 AS slope, regr_intercept(value, t) AS intercept, max(t) AS last FROM t GROUP BY site_id)
-SELECT site_id, years, round(intercept + slope * (last + years * 365.25) / 365.25, 3) AS continued, round(intercept + slope * last / 365.25, 3) AS frozen
+  SELECT site_id, regr_slope(value, t) * 365.25 AS slope, regr_intercept(value, t) AS intercept, max(t) AS last, max(date) AS last_date FROM t GROUP BY site_id)
+SELECT site_id, years, last_date + CAST(round(years * 365.25) AS INTEGER) AS date, round(intercept + slope * (last + years * 365.25) / 365.25, 3) AS continued, round(intercept + slope * last / 365.25, 3) AS frozen
 FROM l, (SELECT unnest([0, 5, 10, 20, 30]) AS years)"""
 )
 def project_trend(spark, sf_dir):
     rows = observations(spark, sf_dir)
     trends = series.linear_trend(rows, "value").join(series.series_summary(rows, "value").drop("n"), "site_id")
-    return rounded(series.project_trend(trends).drop("date"), 3)
+    return rounded(series.project_trend(trends), 3)
 
 
 # Thresholds, base rates, summaries.
@@ -299,9 +306,9 @@ _FORECAST_SQL = _FORECAST_SQL.replace("SELECT site_id, y, coalesce", "SELECT l.s
 
 def forecasts(spark, sf_dir):
     rows = labelled(spark, sf_dir).withColumn("month", F.month("date"))
-    train = rows.where(F.col("date") <= TRAIN_END)
-    climatology = train.groupBy("site_id", "month").agg(F.avg("y_72h").alias("c"))
-    overall = train.agg(F.avg("y_72h").alias("g"))
+    sums = rows.where(F.col("date") <= TRAIN_END).groupBy("site_id", "month").agg(F.sum("y_72h").alias("__s"), F.count("y_72h").alias("__n"))
+    climatology = sums.select("site_id", "month", F.try_divide("__s", "__n").alias("c"))
+    overall = sums.agg((F.sum("__s") / F.sum("__n")).alias("g"))
     test = rows.where((F.col("date") >= TEST_START) & F.col("y_72h").isNotNull() & F.col("extreme").isNotNull())
     joined = test.join(F.broadcast(climatology), ["site_id", "month"], "left").crossJoin(F.broadcast(overall))
     return joined.select("site_id", F.col("y_72h").alias("y"), F.coalesce("c", "g").alias("climatology"), F.col("extreme").cast("double").alias("persistence"))
@@ -322,8 +329,7 @@ def baseline_forecast_skill(spark, sf_dir):
     found = forecasts(spark, sf_dir)
     both = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in ("climatology", "persistence")))).alias("x")
     long = found.select("y", both).select("y", "x.*")
-    parts = [m(long, keys=["model"]) for m in (metrics.roc_auc, metrics.average_precision, metrics.brier)]
-    return rounded(parts[0].join(parts[1], "model").join(parts[2], "model"), 6)
+    return rounded(metrics.binary_scores(long, keys=["model"]), 6)
 
 
 @query(f"WITH {PANEL_SQL} SELECT site_id, month(date) AS month, round(median(rain), 4) AS rain, round(median(t2m), 4) AS t2m, round(median(ps), 4) AS ps FROM panel GROUP BY 1, 2")
@@ -363,14 +369,17 @@ def five_numbers(spark, sf_dir):
     return rounded(profile.five_numbers(table(spark, sf_dir, "part"), ["p_retailprice"], ["p_brand"]).drop("name"))
 
 
-_PROFILE = " UNION ALL ".join(
-    f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS \"unique\" FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-)
+def _profile_sql(table: str, columns: dict[str, str]) -> str:
+    """``columns``: name -> its kind, as the roles' rules give it for this table at every size."""
+    part = """SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS "unique", count(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS numbers,
+  count(*) FILTER (WHERE TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) = floor(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE))) AS integers, CAST(0 AS BIGINT) AS dates,
+  min(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS least, max(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS most, '{k}' AS kind FROM {t}"""
+    return " UNION ALL ".join(part.format(c=c, k=k, t=table) for c, k in columns.items())
 
 
-@query(_PROFILE)
+@query(_profile_sql("customer", {"c_custkey": "id", "c_name": "id", "c_nationkey": "numeric", "c_acctbal": "numeric", "c_mktsegment": "categorical"}))
 def table_profile(spark, sf_dir):
-    return profile.profile(table(spark, sf_dir, "customer")).select("name", "rows", "missing", "unique")
+    return profile.profile(table(spark, sf_dir, "customer")).drop("numeric", "example")
 
 
 @query("SELECT 'p_size' AS name, 1.0::DOUBLE AS low, 40.0::DOUBLE AS high, count(*) FILTER (WHERE p_size < 1 OR p_size > 40) AS n FROM part UNION ALL SELECT 'p_retailprice', 950.0, 1500.0, count(*) FILTER (WHERE p_retailprice < 950 OR p_retailprice > 1500) FROM part")
@@ -494,19 +503,28 @@ def alert_threshold(spark, sf_dir):
     f"""WITH {SCORED_SQL}, g AS (SELECT lang, unnest(list_distinct(quantile_cont(score, list_transform(range(120), lambda i: i / 119)))) AS threshold FROM scored GROUP BY lang),
 f AS (SELECT lang, threshold, 2 * count(*) FILTER (WHERE y = 1 AND score >= threshold) / (count(*) FILTER (WHERE score >= threshold) + count(*) FILTER (WHERE y = 1)) AS f1
   FROM g JOIN scored USING (lang) GROUP BY lang, threshold)
-SELECT lang, round(max(f1), 6) AS f1 FROM f GROUP BY lang"""
+SELECT lang, round(arg_max(threshold, round(f1, 12) * 1000000 - threshold / 1000000), 4) AS threshold, round(max(f1), 4) AS f1 FROM f GROUP BY lang"""
 )
 def best_f1_threshold(spark, sf_dir):
-    return rounded(metrics.best_f1(scored(spark, sf_dir), keys=["lang"]).select("lang", "f1"), 6)
+    return rounded(metrics.best_f1(scored(spark, sf_dir), keys=["lang"]))
 
 
 @query(
     f"""WITH {SCORED_SQL}, r AS (SELECT 0.005 * pow(160, i / 39) AS ratio FROM (SELECT unnest(range(40)) AS i)),
 e AS (SELECT lang, ratio, avg(CASE WHEN p >= ratio THEN ratio ELSE y END) AS expense, avg(y) AS rate FROM scored CROSS JOIN r GROUP BY lang, ratio)
-SELECT lang, round(ratio, 6) AS ratio, round(expense, 6) AS expense FROM e"""
+SELECT lang, round(ratio, 6) AS ratio, round(expense, 6) AS expense, round(least(ratio, rate), 6) AS expense_fixed, round(rate * ratio, 6) AS expense_perfect,
+  round(CASE WHEN least(ratio, rate) > rate * ratio THEN (least(ratio, rate) - expense) / (least(ratio, rate) - rate * ratio) ELSE 0 END, 4) AS value FROM e"""
 )
 def value_curve(spark, sf_dir):
-    return rounded(metrics.value_curve(scored(spark, sf_dir), score="p", keys=["lang"]).drop("value"), 6)
+    found = metrics.value_curve(scored(spark, sf_dir), score="p", keys=["lang"])
+    return rounded(found.withColumn("value", F.round("value", 4)), 6)
+
+
+@query(
+    f"""WITH v AS ({ORACLE_SQL['value_curve']}) SELECT lang, max(value) AS value, arg_max(ratio, value * 1000000 - ratio) AS ratio FROM v GROUP BY lang"""
+)
+def peak_value(spark, sf_dir):
+    return metrics.peak_value(value_curve(spark, sf_dir), keys=["lang"])
 
 
 @query(
@@ -561,13 +579,14 @@ def single_column_auc(spark, sf_dir):
 
 @query(
     f"""WITH {MACHINE_SQL}, f AS (SELECT CAST(power > 9000 OR power < 3500 AS INTEGER) AS y, CAST(power > 9000 AS INTEGER) AS high, CAST(torque > 60 AS INTEGER) AS heavy FROM feature)
+SELECT *, implies AS leaks FROM (
 SELECT 'high' AS name, sum(high) AS n, round(avg(y) FILTER (WHERE high = 1), 6) AS share, sum(high) >= 5 AND avg(y) FILTER (WHERE high = 1) >= 0.95 AS implies FROM f
-UNION ALL SELECT 'heavy', sum(heavy), round(avg(y) FILTER (WHERE heavy = 1), 6), sum(heavy) >= 5 AND avg(y) FILTER (WHERE heavy = 1) >= 0.95 FROM f"""
+UNION ALL SELECT 'heavy', sum(heavy), round(avg(y) FILTER (WHERE heavy = 1), 6), sum(heavy) >= 5 AND avg(y) FILTER (WHERE heavy = 1) >= 0.95 FROM f)"""
 )
 def flag_leakage(spark, sf_dir):
     f = machines.features(machine_rows(spark, sf_dir))
     rows = f.select(((F.col("power") > 9000) | (F.col("power") < 3500)).cast("int").alias("y"), (F.col("power") > 9000).cast("int").alias("high"), (F.col("torque") > 60).cast("int").alias("heavy"))
-    return rounded(profile.flag_leakage(rows, "y", ["high", "heavy"]).drop("leaks"), 6)
+    return rounded(profile.flag_leakage(rows, "y", ["high", "heavy"]), 6)
 
 
 # Places.
@@ -578,13 +597,16 @@ _SPOT = "CAST(s_suppkey * 13 % 170 - 85 AS DOUBLE) AS lat, CAST(s_suppkey * 29 %
 
 @query(
     f"""WITH s AS (SELECT n_nationkey AS site_id, {_PLACE} FROM nation), e AS (SELECT s_suppkey AS event_id, {_SPOT} FROM supplier),
-d AS (SELECT site_id, event_id, 2 * 6371.0 * asin(sqrt(least(1, pow(sin(radians(e.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(e.lat)) * pow(sin(radians(e.lon - s.lon) / 2), 2)))) AS km FROM s CROSS JOIN e)
-SELECT site_id, min(round(km, 4)) AS distance_km FROM d WHERE km <= 1500 GROUP BY site_id"""
+d AS (SELECT site_id, event_id, 2 * 6371.0 * asin(sqrt(least(1, pow(sin(radians(e.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(e.lat)) * pow(sin(radians(e.lon - s.lon) / 2), 2)))) AS km FROM s CROSS JOIN e),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY km, event_id) AS rn FROM d WHERE km <= 1500)
+SELECT r.site_id, r.event_id, round(km, 4) AS distance_km, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][1 + CAST(floor((degrees(atan2(sin(radians(e.lon - s.lon)) * cos(radians(e.lat)),
+  cos(radians(s.lat)) * sin(radians(e.lat)) - sin(radians(s.lat)) * cos(radians(e.lat)) * cos(radians(e.lon - s.lon)))) + 22.5 + 360) / 45) AS INTEGER) % 8] AS bearing
+FROM r JOIN s ON s.site_id = r.site_id JOIN e ON e.event_id = r.event_id WHERE rn = 1"""
 )
 def nearest_event(spark, sf_dir):
     sites = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("site_id"), (F.col("n_nationkey") * 7 - 80).cast("double").alias("lat"), (F.col("n_nationkey") * 37 % 360 - 180).cast("double").alias("lon"))
     events = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("event_id"), (F.col("s_suppkey") * 13 % 170 - 85).cast("double").alias("lat"), (F.col("s_suppkey") * 29 % 360 - 180).cast("double").alias("lon"))
-    return rounded(geo.nearest(sites, events, 1500.0).select("site_id", "distance_km"))
+    return rounded(geo.nearest(sites, events, 1500.0))
 
 
 @query(
@@ -618,13 +640,14 @@ def failure_mechanisms(spark, sf_dir):
 
 
 @query(
-    f"""WITH {MACHINE_SQL}, k AS (SELECT machine_id, torque, type, wear, wear_per_run, unnest(range(CAST(greatest(floor((260 - wear) / wear_per_run), 0) AS INTEGER) + 1)) AS k FROM feature),
-p AS (SELECT machine_id, k, (wear + k * wear_per_run) * torque / CASE type WHEN 'L' THEN 11000.0 WHEN 'M' THEN 12000.0 ELSE 13000.0 END AS p FROM k)
-SELECT machine_id, count(*) AS runs, round(max(p), 6) AS highest, CAST(min(k) FILTER (WHERE p >= 0.9) AS INTEGER) AS runs_until_alert FROM p GROUP BY machine_id"""
+    f"""WITH {MACHINE_SQL}, k AS (SELECT machine_id, list_transform(range(CAST(greatest(floor((260 - wear) / wear_per_run), 0) AS INTEGER) + 1),
+  lambda k: (wear + k * wear_per_run) * torque / CASE type WHEN 'L' THEN 11000.0 WHEN 'M' THEN 12000.0 ELSE 13000.0 END) AS p FROM feature)
+SELECT machine_id, len(p) AS runs, round(list_max(p), 6) AS highest, CAST(nullif(list_position(list_transform(p, lambda x: x >= 0.9), true), 0) - 1 AS INTEGER) AS runs_until_alert FROM k"""
 )
 def run_ahead_projection(spark, sf_dir):
-    found = machines.project(machine_rows(spark, sf_dir), lambda df: df.withColumn("p", F.col("strain_ratio")), 0.9)
-    return rounded(found.groupBy("machine_id").agg(F.count(F.lit(1)).alias("runs"), F.max("p").alias("highest"), F.min("runs_until_alert").alias("runs_until_alert")), 6)
+    limit = machines.strain_limit()
+    found = machines.project_summary(machine_rows(spark, sf_dir), lambda wear: wear * F.col("torque") / limit, 0.9)
+    return rounded(found.select("machine_id", F.col("runs").cast("long").alias("runs"), "highest", "runs_until_alert"), 6)
 
 
 # Scalars, nested values, ranking, sets.

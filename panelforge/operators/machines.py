@@ -19,6 +19,11 @@ def _lookup(table: dict[str, float], key: str) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.col(key))
 
 
+def strain_limit() -> Column:
+    """The limit of a row's type."""
+    return _lookup(STRAIN_LIMIT, "type")
+
+
 def features(df: DataFrame) -> DataFrame:
     """Power (W), temperature difference (K), strain (min Nm), its share of the limit, worn flag, wear per run."""
     power = F.col("torque") * F.col("rpm") * (2 * math.pi / 60)
@@ -46,18 +51,33 @@ def mechanisms(df: DataFrame) -> DataFrame:
     return df.withColumn("modes", F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules))))
 
 
-# What is said of each mechanism.
+# What the mechanisms are called, what is said of each, and from which probability on it is named.
+MODE_NAMES = {"TWF": "tool wear", "HDF": "heat dissipation", "PWF": "power", "OSF": "overstrain"}
 REASONS = {
     "HDF": "heat is not carried off: %.1f K between process and air at %.0f rpm",
     "PWF": "power of %.0f W is outside 3500 to 9000 W",
     "OSF": "strain is %.0f %% of the limit for this type",
     "TWF": "tool wear of %.0f min is in the replacement window",
 }
+LEAST_MODE_P = 0.05
+
+
+def likely_mode(probabilities: Column) -> Column:
+    """(p, mode) of the largest probability in a map by mode; ties go to the first in the order of ``MODE_NAMES``."""
+    pairs = F.array(*(F.struct(F.coalesce(F.try_element_at(probabilities, F.lit(m)), F.lit(0.0)).alias("p"), F.lit(-i).alias("rank"), F.lit(m).alias("mode")) for i, m in enumerate(MODE_NAMES)))
+    return F.array_max(pairs)
+
+
+def _named(mode: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in MODE_NAMES.items() for x in pair)), mode)
 
 
 def reason(modes: Column, probabilities: Column) -> Column:
-    """Text on the met mechanism of the largest probability (a map by mode); without one, nothing."""
-    ranked = F.array_sort(F.transform(modes, lambda m: F.struct((-F.coalesce(F.element_at(probabilities, m), F.lit(0.0))).alias("rank"), m.alias("mode"))))
+    """Text on the met mechanism of the largest probability (a map by mode).
+
+    Where none is met: the mechanism closest by probability, or that all is normal.
+    """
+    ranked = F.array_sort(F.transform(modes, lambda m: F.struct((-F.coalesce(F.try_element_at(probabilities, m), F.lit(0.0))).alias("rank"), m.alias("mode"))))
     top = F.get(ranked, F.lit(0))["mode"]
     texts = {
         "HDF": F.format_string(REASONS["HDF"], F.col("temp_diff"), F.col("rpm").cast("double")),
@@ -65,7 +85,9 @@ def reason(modes: Column, probabilities: Column) -> Column:
         "OSF": F.format_string(REASONS["OSF"], F.col("strain_ratio") * 100),
         "TWF": F.format_string(REASONS["TWF"], F.col("wear").cast("double")),
     }
-    out = F.lit(None).cast("string")
+    likely = likely_mode(probabilities)
+    closest = F.format_string("closest to %s (%.0f %%)", _named(likely["mode"]), likely["p"] * 100)
+    out = F.when(likely["p"] >= LEAST_MODE_P, closest).otherwise("all readings are normal")
     for mode, text in texts.items():
         out = F.when(top == mode, text).otherwise(out)
     return out
@@ -91,10 +113,27 @@ def project(df: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: f
     return rising.select(id_col, "k", "wear", "p", crossing.alias("runs_until_alert"))
 
 
-def action(p: Column, threshold: Column, runs: Column, to_window: Column) -> Column:
-    """What to do: alert, plan within so many runs, change the tool, or look again."""
+def project_summary(df: DataFrame, p_at: Callable[[Column], Column], threshold: float) -> DataFrame:
+    """``runs``, ``highest`` and ``runs_until_alert`` of each machine, in its own row, for a score that is a column of the wear.
+
+    The same as ``project`` summed up, without a row for each run and without a shuffle.
+    """
+    last = F.greatest(F.floor((F.lit(LAST_WEAR) - F.col("wear")) / F.col("wear_per_run")), F.lit(0)).cast("int")
+    along = F.transform(F.sequence(F.lit(0), last), lambda k: p_at(F.col("wear") + k * F.col("wear_per_run")))
+    first = F.array_position(F.transform("__p", lambda p: p >= threshold), F.lit(True))
+    return features(df).withColumn("__p", along).select(
+        *df.columns, F.size("__p").alias("runs"), F.array_max("__p").alias("highest"), F.when(first > 0, (first - 1).cast("int")).alias("runs_until_alert")
+    )
+
+
+def action(p: Column, threshold: Column, runs: Column, to_window: Column, probabilities: Column | None = None) -> Column:
+    """What to do: alert (naming the likely mechanism from ``LEAST_MODE_P`` on), plan within so many runs, change the tool, or look again."""
+    alert = F.lit("alert: stop and inspect")
+    if probabilities is not None:
+        likely = likely_mode(probabilities)
+        alert = F.when(likely["p"] >= LEAST_MODE_P, F.concat(F.lit("alert: stop and see to "), _named(likely["mode"]))).otherwise(alert)
     return (
-        F.when(p >= threshold, "alert: stop and inspect")
+        F.when(p >= threshold, alert)
         .when(runs <= 20, F.format_string("plan: expected to alert in %d runs", runs))
         .when(to_window == 0, "tool: in the replacement window")
         .otherwise(F.format_string("ok: check again in %d runs", F.least(to_window, F.lit(25))))

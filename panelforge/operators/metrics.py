@@ -63,6 +63,35 @@ def cumulative(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequen
     )
 
 
+def quantiles(rows: DataFrame, x: str, points: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles of each group, interpolated: keys and ``q``, an array as long as ``points``.
+
+    Values are counted and their running counts taken over ranges in parallel, so no task holds a group's values.
+    Groups without a value are left out.
+    """
+    above = cumulative(rows.select(*keys, x, F.lit(1).alias("__one")), "__one", x, keys)
+    n, below = F.col("all_pos"), F.col("all_pos") - F.col("tp")
+    at = lambda p: (n - 1) * F.lit(float(p))
+    holds = lambda k: (below <= k) & (k < below + F.col("pos"))
+    ends = [F.max(F.when(holds(f(at(p))), F.col("score"))).alias(f"__{name}{i}") for i, p in enumerate(points) for name, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = above.groupBy(*keys).agg(F.max("all_pos").alias("all_pos"), *ends)
+    part = lambda i, p: F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (at(p) - F.floor(at(p)))
+    return found.where("all_pos > 0").select(*keys, F.array(*(part(i, p) for i, p in enumerate(points))).alias("q"))
+
+
+def binary_scores(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
+    """roc_auc, average_precision and brier of each group from one count of its scores."""
+    above = cumulative(rows, y, score, keys)
+    wins = F.sum(F.col("pos") * ((F.col("all_neg") - F.col("fp")) + F.col("neg") / 2))
+    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    p = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
+    return above.groupBy(*keys).agg(
+        F.try_divide(wins, F.max(F.col("all_pos").cast("double") * F.col("all_neg"))).alias("roc_auc"),
+        F.try_divide(steps, F.max("all_pos")).alias("average_precision"),
+        (F.sum(F.col("pos") * (1 - p) * (1 - p) + F.col("neg") * p * p) / F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
+    )
+
+
 def roc_auc(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve, tied scores counting half; null with one label only."""
     above = cumulative(rows, y, score, keys)
@@ -84,14 +113,13 @@ def best_f1(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequence[
     ``ties``: whether the smallest or the largest such threshold wins.
     """
     counts = score_counts(rows, y, score, keys)
-    points = [i / (grid - 1) for i in range(grid)]
-    cuts = rows.where(F.col(score).isNotNull()).groupBy(*keys).agg(F.array_distinct(F.percentile(score, F.array(*map(F.lit, points)))).alias("cuts"))
-    cuts = cuts.select(*keys, F.explode("cuts").alias("threshold"))
-    joined = cuts.join(counts, list(keys)) if keys else cuts.crossJoin(counts)
-    at = F.col("score") >= F.col("threshold")
-    sums = joined.groupBy(*keys, "threshold").agg(
-        F.sum(F.when(at, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(at, F.col("neg")).otherwise(0)).alias("fp"), F.sum("pos").alias("p")
-    )
+    cuts = quantiles(rows, score, [i / (grid - 1) for i in range(grid)], keys).select(*keys, F.array_sort(F.array_distinct("q")).alias("cuts"))
+    joined = counts.join(F.broadcast(cuts), list(keys)) if keys else counts.crossJoin(F.broadcast(cuts))
+    # Counts between neighbouring cuts, at most ``grid`` rows a group, then their sums from above.
+    at = F.size(F.filter("cuts", lambda c: c <= F.col("score")))
+    sums = joined.withColumn("__at", at).where(F.col("__at") > 0).groupBy(*keys, "__at").agg(F.element_at(F.first("cuts"), F.col("__at")).alias("threshold"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    over = Window.partitionBy(*keys).orderBy(F.desc("__at"))
+    sums = sums.withColumns({"tp": F.sum("pos").over(over), "fp": F.sum("neg").over(over), "p": F.sum("pos").over(Window.partitionBy(*keys))})
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p")), F.lit(0.0))
     order = F.struct(f1, -F.col("threshold") if ties == "small" else F.col("threshold"))
     return sums.groupBy(*keys).agg(F.max_by("threshold", order).alias("threshold"), F.max(f1).alias("f1"))
@@ -168,7 +196,7 @@ def reliability(rows: DataFrame, edges: Sequence[float], y: str = "y", score: st
 def quantile_calibration(rows: DataFrame, bins: int = 6, y: str = "y", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """Bins between quantiles of the scores: a score is in the bin of as many inner edges as lie below it."""
     points = [i / bins for i in range(1, bins)]
-    edges = rows.groupBy(*keys).agg(F.percentile(score, F.array(*map(F.lit, points))).alias("__edges"))
+    edges = quantiles(rows, score, points, keys).withColumnRenamed("q", "__edges")
     joined = rows.join(F.broadcast(edges), list(keys)) if keys else rows.crossJoin(F.broadcast(edges))
     at = F.size(F.filter("__edges", lambda e: e < F.col(score)))
     return joined.groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(y).alias("observed"))
@@ -184,7 +212,7 @@ def rate_curve(rows: DataFrame, x: str, low: float, step: float, bins: int, y: s
 
 def alert_threshold(rows: DataFrame, rate: float, score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """The score above which the share ``rate`` of the rows lies."""
-    return rows.groupBy(*keys).agg(F.percentile(score, 1 - rate).alias("threshold"))
+    return quantiles(rows, score, [1 - rate], keys).select(*keys, F.col("q")[0].alias("threshold"))
 
 
 def cost_ratios(low: float = 0.005, high: float = 0.8, n: int = 40) -> list[float]:
@@ -194,7 +222,8 @@ def cost_ratios(low: float = 0.005, high: float = 0.8, n: int = 40) -> list[floa
 def value_curve(rows: DataFrame, ratios: Sequence[float] | None = None, y: str = "y", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """Relative economic value of acting when the score reaches the cost-loss ratio.
 
-    0 is the better of acting always and never, 1 a perfect forecast. Ratios meet counts by score.
+    0 is the better of acting always and never (also where nothing can be gained), 1 a perfect forecast. Ratios
+    meet counts by score. The expenses are those of the forecast, of the better fixed choice and of a perfect one.
     """
     counts = score_counts(rows, y, score, keys)
     grid = F.explode(F.array(*(F.lit(float(r)) for r in (ratios or cost_ratios())))).alias("ratio")
@@ -206,7 +235,8 @@ def value_curve(rows: DataFrame, ratios: Sequence[float] | None = None, y: str =
     )
     rate = F.col("pos") / F.col("n")
     forecast, fixed, perfect = F.col("spent") / F.col("n"), F.least(F.col("ratio"), rate), rate * F.col("ratio")
-    return sums.select(*keys, "ratio", forecast.alias("expense"), F.try_divide(fixed - forecast, fixed - perfect).alias("value"))
+    value = F.when(fixed > perfect, F.try_divide(fixed - forecast, fixed - perfect)).otherwise(0.0)
+    return sums.select(*keys, "ratio", forecast.alias("expense"), fixed.alias("expense_fixed"), perfect.alias("expense_perfect"), value.alias("value"))
 
 
 def peak_value(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -252,10 +282,10 @@ def false_alerts_per_year(scored: DataFrame, y: str = "y", alert: str = "alert",
 
 def single_column_auc(rows: DataFrame, columns: Sequence[str], y: str = "y") -> DataFrame:
     """AUC of each numeric column alone, nulls at the median; either direction counts."""
-    medians = rows.agg(*(F.median(c).alias(c) for c in columns))
-    filled = rows.select(y, *columns).crossJoin(F.broadcast(medians.toDF(*(f"__m_{c}" for c in columns))))
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.col(f"__m_{c}")).cast("double").alias("score")) for c in columns))
-    melted = filled.select(F.col(y).alias("y"), F.explode(pairs).alias("x")).select("y", "x.*")
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("score")) for c in columns))
+    melted = rows.select(F.col(y).alias("y"), F.explode(pairs).alias("x")).select("y", "x.*")
+    medians = quantiles(melted, "score", [0.5], ["column"]).select("column", F.col("q")[0].alias("__m"))
+    melted = melted.join(F.broadcast(medians), "column").withColumn("score", F.coalesce("score", "__m")).drop("__m")
     found = roc_auc(melted, keys=["column"])
     return found.withColumn("auc", F.greatest("roc_auc", 1 - F.col("roc_auc"))).drop("roc_auc")
 

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from panelforge.functions import scalars
 from panelforge.operators import metrics
 
-# Names that suggest a target column.
-TARGET_NAMES = r"target|label|class|outcome|failure|churn|default|result|status"
+# Names that suggest a target column, and those that do so most.
+TARGET_NAMES = r"fail|target|label|class|outcome|default|churn|fraud|disease|diagnos|survived|^y$|result|status|is_|has_"
+BEST_TARGET_NAMES = r"fail|target|label"
 MAX_CATEGORIES = 20
 
 
@@ -64,22 +65,31 @@ def _kind() -> Column:
 
 
 def suggest_target(profiled: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The column to predict: one with a target's name (binary first), else the last binary, else the last."""
+    """The column to predict, of those that are binary, categorical or numeric.
+
+    One with a target's name (binary before others, then the best names, then the first in ``order``), else the
+    last binary one, else the last.
+    """
+    used = profiled.where(F.col("kind").isin("binary", "categorical", "numeric"))
     place = F.array_position(F.array(*map(F.lit, order)), F.col("name"))
-    named = F.lower("name").rlike(TARGET_NAMES)
-    rank = F.when(named & (F.col("kind") == "binary"), 3).when(named & F.col("kind").isin("categorical", "numeric"), 2).when(F.col("kind") == "binary", 1).otherwise(0)
-    return profiled.agg(F.max_by("name", F.struct(rank, place)).alias("target"))
+    named, best, binary = F.lower("name").rlike(TARGET_NAMES), F.lower("name").rlike(BEST_TARGET_NAMES), F.col("kind") == "binary"
+    rank = F.struct(named.alias("named"), binary.alias("binary"), (named & best).alias("best"), F.when(named, -place).otherwise(place).alias("place"))
+    return used.agg(F.max_by("name", rank).alias("target"))
 
 
 def flag_leakage(df: DataFrame, target: str, flags: Sequence[str], least_rows: int = 5, share: float = 0.95) -> DataFrame:
-    """Binary columns that, when on, nearly always come with the target; and their short upper-case siblings."""
+    """Binary columns that, when on, nearly always come with the target (``implies``); ``leaks`` adds their siblings.
+
+    Siblings are flags in short upper-case names, where two flags or more imply the target and all of these have such names.
+    """
     on = lambda c: F.col(c) == 1
     one = df.agg(*(F.struct(F.count_if(on(c)).alias("n"), F.avg(F.when(on(c), F.col(target))).alias("share")).alias(c) for c in flags))
     each = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`.n").alias("n"), F.col(f"`{c}`.share").alias("share")) for c in flags))).alias("x")).select("x.*")
     each = each.withColumn("implies", (F.col("n") >= least_rows) & (F.col("share") >= share))
-    total = each.agg(F.count_if("implies").alias("__found"))
-    short = F.col("name").rlike("^[A-Z]{2,4}$")
-    return each.crossJoin(F.broadcast(total)).withColumn("leaks", F.coalesce("implies", F.lit(False)) | (short & (F.col("__found") >= 2))).drop("__found")
+    short = (F.length("name") <= 6) & (F.upper("name") == F.col("name")) & F.col("name").rlike("[A-Z]")
+    total = each.agg((F.count_if("implies") >= 2).alias("__several"), F.count_if(F.col("implies") & ~short).alias("__long"))
+    siblings = short & F.col("__several") & (F.col("__long") == 0)
+    return each.crossJoin(F.broadcast(total)).withColumn("leaks", F.coalesce("implies", F.lit(False)) | siblings).drop("__several", "__long")
 
 
 def exclusions(df: DataFrame, target: str, user: Sequence[str] = (), least_auc: float = 0.98) -> DataFrame:
@@ -125,25 +135,37 @@ def task_of(df: DataFrame, target: str) -> DataFrame:
     return found.select("classes", task.alias("task"), F.when(F.col("classes") == 2, F.coalesce("one", "last")).alias("positive"))
 
 
+def _melted(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, name, value) of each number."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))
+    return df.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*")
+
+
 def typical_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
-    """Median, mean and deviation of numbers, the mode of categories, one row for each column."""
-    parts = [F.struct(F.lit(c).alias("name"), F.median(c).cast("string").alias("typical"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("deviation")) for c in numeric]
-    parts += [F.struct(F.lit(c).alias("name"), F.mode(c, True).cast("string").alias("typical"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("deviation")) for c in categorical]
-    return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    """Median, mean and deviation of numbers, the mode of categories (ties: the least), one row for each column."""
+    long = _melted(df, numeric)
+    medians = metrics.quantiles(long, "value", [0.5], ["name"]).select("name", F.col("q")[0].cast("string").alias("typical"))
+    found = long.groupBy("name").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation")).join(medians, "name", "left")
+    found = found.select("name", "typical", "mean", "deviation")
+    if categorical:
+        pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in categorical))
+        counts = df.select(F.explode(pairs).alias("x")).select("x.*").where("value is not null").groupBy("name", "value").count()
+        modes = counts.groupBy("name").agg(F.min(F.struct(-F.col("count"), F.col("value").alias("value"))).alias("m")).select("name", F.col("m.value").alias("typical"))
+        none = F.lit(None).cast("double")
+        found = found.unionByName(modes.select("name", "typical", none.alias("mean"), none.alias("deviation")))
+    return found
 
 
 def five_numbers(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    points = F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))
-    parts = F.array(*(F.struct(F.lit(c).alias("name"), F.percentile(c, points).alias("q")) for c in columns))
     names = ("least", "q1", "median", "q3", "most")
-    rows = df.groupBy(*keys).agg(parts.alias("x")).select(*keys, F.explode("x").alias("x"))
-    return rows.select(*keys, "x.name", *(F.col("x.q")[i].alias(n) for i, n in enumerate(names)))
+    found = metrics.quantiles(_melted(df, columns, keys), "value", [0.0, 0.25, 0.5, 0.75, 1.0], [*keys, "name"])
+    return found.select(*keys, "name", *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
 
 
 def ranges(df: DataFrame, columns: Sequence[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
     """Quantile pairs of each column: name, low, high."""
-    parts = F.array(*(F.struct(F.lit(c).alias("name"), F.percentile(c, F.array(F.lit(low), F.lit(high))).alias("q")) for c in columns))
-    return df.agg(parts.alias("x")).select(F.explode("x").alias("x")).select("x.name", F.col("x.q")[0].alias("low"), F.col("x.q")[1].alias("high"))
+    found = metrics.quantiles(_melted(df, columns), "value", [low, high], ["name"])
+    return found.select("name", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def unfamiliar(df: DataFrame, known: DataFrame, columns: Sequence[str]) -> DataFrame:

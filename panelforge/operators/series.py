@@ -117,28 +117,21 @@ def horizon_labels(flagged: DataFrame, horizons: Sequence[int] = (1, 2, 3), key:
 
 def linear_trend(rows: DataFrame, value: str, key: str = "site_id", date: str = "date") -> DataFrame:
     """Least-squares line of each key's values on days since its first: slope a year, intercept, n."""
-    first = Window.partitionBy(key)
     used = rows.where(F.col(value).isNotNull() & F.col(date).isNotNull())
-    days = used.withColumn("__t", F.datediff(F.col(date), F.min(date).over(first)).cast("double"))
-    return days.groupBy(key).agg(
-        (F.regr_slope(value, "__t") * 365.25).alias("slope_per_year"),
-        F.regr_intercept(value, "__t").alias("intercept"),
-        F.count(F.lit(1)).alias("n"),
+    day = F.unix_date(F.col(date).cast("date"))
+    found = used.select(key, day.cast("double").alias("__t"), F.col(value).alias("__v")).groupBy(key).agg(
+        F.regr_slope("__v", "__t").alias("__b"), F.regr_intercept("__v", "__t").alias("__a"), F.min("__t").alias("__first"), F.count(F.lit(1)).alias("n")
     )
+    return found.select(key, (F.col("__b") * 365.25).alias("slope_per_year"), (F.col("__a") + F.col("__b") * F.col("__first")).alias("intercept"), "n")
 
 
 def series_summary(rows: DataFrame, value: str, key: str = "site_id", date: str = "date", baseline: int = 10) -> DataFrame:
     """First and last date, extremes, count, and the mean of the first ``baseline`` observations."""
-    used = rows.where(F.col(value).isNotNull())
-    ranked = used.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(date, value)))
-    return ranked.groupBy(key).agg(
-        F.min(date).alias("first_date"),
-        F.max(date).alias("last_date"),
-        F.min(value).alias("least"),
-        F.max(value).alias("most"),
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.when(F.col("__rn") <= baseline, F.col(value))).alias("baseline"),
-    )
+    used = rows.where(F.col(value).isNotNull()).select(key, date, value)
+    whole = used.groupBy(key).agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(F.lit(1)).alias("n"))
+    # Each task hands on its own first rows of a key only.
+    earliest = used.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(date, value))).where(F.col("__rn") <= baseline)
+    return whole.join(earliest.groupBy(key).agg(F.avg(value).alias("baseline")), key)
 
 
 def anomaly_percent(
@@ -172,9 +165,11 @@ def project_trend(trends: DataFrame, horizons: Sequence[int] = (0, 5, 10, 20, 30
 
 
 def holdout_rows(rows: DataFrame, last: int = 60, key: str = "site_id", date: str = "date") -> DataFrame:
-    """``fit``: whether a row is older than the last ``last`` of its key."""
+    """``fit``: whether a row is older than the last ``last`` of its key, whose dates differ."""
     newest = Window.partitionBy(key).orderBy(F.col(date).desc())
-    return rows.withColumn("fit", F.row_number().over(newest) > last)
+    held = rows.select(key, date).withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= last)
+    since = held.groupBy(key).agg(F.min(date).alias("__since"))
+    return rows.join(F.broadcast(since), key).withColumn("fit", F.col(date) < F.col("__since")).drop("__since")
 
 
 def as_of(rows: DataFrame, end: Column, n: int, key: str = "site_id", date: str = "date") -> DataFrame:
