@@ -165,9 +165,17 @@ def storm_grade(wind_kn: Column) -> Column:
     return band(wind_kn, (28, 34, 48, 64, 90, 120), ("D", "DD", "CS", "SCS", "VSCS", "ESCS", "SuCS"))
 
 
-def threshold_ratio(total: Column, threshold: float) -> Column:
-    """Percent of a threshold, at most 100."""
-    return F.least(F.lit(100.0), total / threshold * 100)
+def threshold_ratio(total: Column, threshold: float, valid: Column | None = None) -> Column:
+    """Percent of a threshold, at most 100; null outside the region (``valid``) the threshold was found for."""
+    ratio = F.least(F.lit(100.0), total / threshold * 100)
+    return ratio if valid is None else F.when(valid, ratio)
+
+
+def over_threshold(sums: dict[float, Column], valid: Column | None = None) -> Column:
+    """Whether any sum reaches its threshold (threshold -> sum); null outside the region or where no sum is known."""
+    reached = [s >= t for t, s in sums.items()]
+    known = F.greatest(*(r.cast("int") for r in reached)) == 1 if len(reached) > 1 else reached[0]
+    return known if valid is None else F.when(valid, known)
 
 
 def act_rule(p: Column, cost: Column, loss: Column) -> Column:

@@ -27,10 +27,28 @@ def shuffle_order(id_col: str, seed: int = 7) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(seed))
 
 
+def rank_within(df: DataFrame, y: str, id_col: str, seed: int = 7, blocks: int = 256) -> DataFrame:
+    """``__rank`` (from 0) in each label's fixed random order, and ``__n`` rows of the label.
+
+    The order is cut into blocks by its hash, so no task ranks a whole label: ranks in a block are added to
+    the counts of the blocks before it, of which there are ``blocks`` a label.
+    """
+    order = shuffle_order(id_col, seed)
+    placed = df.withColumn("__block", F.pmod(F.shiftrightunsigned(order, 32), F.lit(blocks)))
+    counts = placed.groupBy(y, "__block").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(y).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(y).alias("__y"), F.col("__block").alias("__b"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(Window.partitionBy(y)).alias("__n"))
+    inside = placed.withColumn("__rank", F.row_number().over(Window.partitionBy(y, "__block").orderBy(order, id_col)) - 1)
+    joined = inside.join(F.broadcast(counts), F.col(y).eqNullSafe(F.col("__y")) & (F.col("__block") == F.col("__b")))
+    return joined.select(*df.columns, (F.col("__rank") + F.col("__before")).alias("__rank"), "__n")
+
+
 def stratified_split(df: DataFrame, y: str, id_col: str, shares: Sequence[float] = (0.6, 0.2, 0.2), seed: int = 7) -> DataFrame:
     """``part`` 0, 1, 2 ...: within each label, that share of the rows in a fixed random order."""
-    rank = F.percent_rank().over(Window.partitionBy(y).orderBy(shuffle_order(id_col, seed), id_col))
-    return df.withColumn("part", scalars.band(rank, np.cumsum(shares)[:-1].tolist(), list(map(str, range(len(shares))))).cast("int"))
+    ranked = rank_within(df, y, id_col, seed)
+    at = F.col("__rank") / F.greatest(F.col("__n") - 1, F.lit(1))
+    part = scalars.band(at, np.cumsum(shares)[:-1].tolist(), list(map(str, range(len(shares))))).cast("int")
+    return ranked.withColumn("part", part).drop("__rank", "__n")
 
 
 def time_split(df: DataFrame, date: str, train_until: str, test_from: str) -> DataFrame:
@@ -39,8 +57,8 @@ def time_split(df: DataFrame, date: str, train_until: str, test_from: str) -> Da
 
 def folds(df: DataFrame, y: str, id_col: str, k: int = 5, seed: int = 7) -> DataFrame:
     """``fold`` 0 to k - 1, even within each label."""
-    rank = F.row_number().over(Window.partitionBy(y).orderBy(shuffle_order(id_col, seed), id_col))
-    return df.withColumn("fold", (rank - 1) % k)
+    ranked = rank_within(df, y, id_col, seed)
+    return ranked.withColumn("fold", F.pmod(F.col("__rank"), F.lit(k)).cast("int")).drop("__rank", "__n")
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:

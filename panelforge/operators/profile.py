@@ -204,6 +204,12 @@ def not_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(parts.alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def readable_date(text: Column) -> tuple[Column, Column]:
+    """The day that a date or time names, and whether a text that is not blank names none."""
+    day = F.to_date(F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("dd/MM/yyyy"))))
+    return day, day.isNull() & (F.trim(text) != "")
+
+
 def gaps(panel: DataFrame, key: str = "site_id", date: str = "date", least: int = 31) -> DataFrame:
     """Whether each key's days are without gaps and enough: n, missing_days, usable."""
     found = panel.groupBy(key).agg(F.count_distinct(date).alias("n"), (F.datediff(F.max(date), F.min(date)) + 1).alias("__span"))
