@@ -107,13 +107,13 @@ def average_precision(rows: DataFrame, y: str = "y", score: str = "score", keys:
     return above.groupBy(*keys).agg(F.try_divide(steps, F.max("all_pos")).alias("average_precision"))
 
 
-def best_f1(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequence[str] = (), grid: int = 120, ties: str = "small") -> DataFrame:
-    """The threshold, among a grid of the scores' quantiles, of the largest F1.
+def best_f1(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequence[str] = (), grid: int = 120, ties: str = "small", low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """The threshold, among a grid of the scores' quantiles from ``low`` to ``high``, of the largest F1.
 
     ``ties``: whether the smallest or the largest such threshold wins.
     """
     counts = score_counts(rows, y, score, keys)
-    cuts = quantiles(rows, score, [i / (grid - 1) for i in range(grid)], keys).select(*keys, F.array_sort(F.array_distinct("q")).alias("cuts"))
+    cuts = quantiles(rows, score, [low + (high - low) * i / (grid - 1) for i in range(grid)], keys).select(*keys, F.array_sort(F.array_distinct("q")).alias("cuts"))
     joined = counts.join(F.broadcast(cuts), list(keys)) if keys else counts.crossJoin(F.broadcast(cuts))
     # Counts between neighbouring cuts, at most ``grid`` rows a group, then their sums from above.
     at = F.size(F.filter("cuts", lambda c: c <= F.col("score")))
@@ -146,6 +146,19 @@ def confusion(rows: DataFrame, y: str = "y", predicted: str = "predicted", keys:
     )
 
 
+def self_score(rows: DataFrame, threshold: float, y: str = "y", p: str = "p") -> DataFrame:
+    """What a scored table with labels says of its own scores: counts, rates, and rank metrics where both labels occur.
+
+    A label that is not a number counts as 0. Fails where the table has no label column.
+    """
+    if y not in rows.columns:
+        raise ValueError(f"no column {y} to score by")
+    used = rows.select(F.coalesce(F.col(y).cast("string").try_cast("double").cast("int"), F.lit(0)).alias("y"), F.col(p).alias("p"))
+    marked = used.withColumn("predicted", (F.col("p") >= threshold).cast("int"))
+    sums = used.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("failures"))
+    return sums.crossJoin(confusion(marked)).crossJoin(binary_scores(used, score="p"))
+
+
 def confusion_matrix(rows: DataFrame, y: str = "actual", predicted: str = "predicted", keys: Sequence[str] = ()) -> DataFrame:
     """Counts of every pair of labels that occur, zeros included."""
     counts = rows.groupBy(*keys, F.col(y).cast("string").alias("actual"), F.col(predicted).cast("string").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from panelforge.functions import scalars
 from panelforge.operators import metrics
 
+MAX_CATEGORIES = 30
+
 # Splits.
 
 
@@ -77,22 +79,24 @@ def stratified_sample(df: DataFrame, y: str, id_col: str, first: int = 8, total:
 # Many logistic fits at once.
 
 
-def fit_logistic_groups(df: DataFrame, features: Sequence[str], y: str = "y", group: str = "fold", c: float = 1.0, weight: str | None = None, rounds: int = 25) -> DataFrame:
-    """L2-regularised logistic regression of every group, on features standardised within it.
+def fit_logistic_groups(df: DataFrame, features: Sequence[str], y: str = "y", group: str = "fold", c: float = 1.0, weight: str | None = None, rounds: int = 25, standardise: bool = True) -> DataFrame:
+    """L2-regularised logistic regression of every group, on features standardised within it (or as they are).
 
-    Returns group, mean, scale, coefficients (for standardised features) and intercept. Groups with one
+    Rows are read once and kept while the rounds need them. Returns group, mean, scale, coefficients (for standardised features) and intercept. Groups with one
     label only are left out. The driver holds d x d numbers for each group.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     d = len(features)
-    labelled = df.where(F.col(y).isNotNull()).dropna(subset=list(features))
+    labelled = df.where(F.col(y).isNotNull()).dropna(subset=list(features)).select(*dict.fromkeys([group, y, *features, *([weight] if weight else [])])).persist()
+    one = F.lit(1.0)
     stats = labelled.groupBy(group).agg(
-        F.array(*(F.avg(f) for f in features)).alias("mean"),
-        F.array(*(F.when(F.stddev_pop(f) > 0, F.stddev_pop(f)).otherwise(1.0) for f in features)).alias("scale"),
+        F.array(*(F.avg(f) if standardise else one * 0 for f in features)).alias("mean"),
+        F.array(*(F.when(F.stddev_pop(f) > 0, F.stddev_pop(f)).otherwise(1.0) if standardise else one for f in features)).alias("scale"),
         F.count_distinct(y).alias("__labels"),
     )
     stats = {r[group]: r for r in stats.where(F.col("__labels") == 2).collect()}
     if not stats:
+        labelled.unpersist()
         return df.sparkSession.createDataFrame([], f"`{group}` {df.schema[group].dataType.simpleString()}, mean array<double>, scale array<double>, coefficients array<double>, intercept double")
     beta = {g: np.zeros(d + 1) for g in stats}
     kind = df.schema[group].dataType.simpleString()
@@ -116,6 +120,7 @@ def fit_logistic_groups(df: DataFrame, features: Sequence[str], y: str = "y", gr
             largest = max(largest, float(np.abs(step).max()))
         if largest < 1e-8:
             break
+    labelled.unpersist()
     found = [(g, list(map(float, stats[g]["mean"])), list(map(float, stats[g]["scale"])), b[:d].tolist(), float(b[d])) for g, b in beta.items()]
     return df.sparkSession.createDataFrame(found, f"`{group}` {kind}, mean array<double>, scale array<double>, coefficients array<double>, intercept double")
 
@@ -162,21 +167,30 @@ def recalibrate(scored: DataFrame, y: str = "y", p: str = "p", source: str = "so
     enough = known.groupBy(source).agg(F.sum(y).alias("__p"), F.datediff(F.max(date), F.min(date)).alias("__d"))
     enough = enough.where((F.col("__p") >= least_positives) & (F.col("__d") >= least_years * 365.25)).select(source)
     rows = known.join(F.broadcast(enough), source).withColumn("__z", scalars.logit(F.col(p)))
-    fits = fit_logistic_groups(rows, ["__z"], y, source, c=1e6)
-    limits = metrics.alert_threshold(score_groups(rows, fits, ["__z"], source).withColumnRenamed("p", "__q") if p != "p" else score_groups(rows.drop("p"), fits, ["__z"], source).withColumnRenamed("p", "__q"), alert_rate, "__q", [source])
-    slope = F.col("coefficients")[0] / F.col("scale")[0]
-    return fits.select(source, slope.alias("slope"), (F.col("intercept") - slope * F.col("mean")[0]).alias("intercept")).join(limits, source)
+    fits = fit_logistic_groups(rows, ["__z"], y, source, c=1.0, standardise=False)
+    again = score_groups(rows.drop("p").withColumnRenamed("__z", "z"), fits, ["z"], source).withColumnRenamed("p", "__q")
+    limits = metrics.alert_threshold(again, alert_rate, "__q", [source])
+    return fits.select(source, F.col("coefficients")[0].alias("slope"), "intercept").join(limits, source)
+
+
+def recalibrated(scored: DataFrame, fits: DataFrame, p: str = "p", source: str = "source") -> DataFrame:
+    """``p_adapted`` and ``alert_adapted`` of each row of a source that could be recalibrated; null for the others."""
+    z = F.col("slope") * scalars.logit(F.col(p)) + F.col("intercept")
+    joined = scored.join(F.broadcast(fits.withColumnRenamed("threshold", "__line")), source, "left").withColumn("p_adapted", scalars.sigmoid(z))
+    return joined.withColumn("alert_adapted", F.col("p_adapted") >= F.col("__line")).drop("slope", "intercept", "__line")
 
 
 # Single models by Spark ML.
 
 
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str]) -> list:
-    """Median imputation, and one-hot codes in which unseen categories are all zeros."""
+    """Median imputation, and one-hot codes of the ``MAX_CATEGORIES`` most frequent categories; rarer and unseen ones share a code."""
     stages = [Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"{c}__i" for c in numeric])] if numeric else []
     stages += [StringIndexer(inputCol=c, outputCol=f"{c}__n", handleInvalid="keep") for c in categorical]
     if categorical:
-        stages.append(OneHotEncoder(inputCols=[f"{c}__n" for c in categorical], outputCols=[f"{c}__h" for c in categorical], handleInvalid="keep", dropLast=True))
+        folded = ", ".join(f"least(`{c}__n`, {MAX_CATEGORIES}) AS `{c}__k`" for c in categorical)
+        stages.append(SQLTransformer(statement=f"SELECT *, {folded} FROM __THIS__"))
+        stages.append(OneHotEncoder(inputCols=[f"{c}__k" for c in categorical], outputCols=[f"{c}__h" for c in categorical], handleInvalid="keep", dropLast=True))
     inputs = [f"{c}__i" for c in numeric] + [f"{c}__h" for c in categorical]
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
 
@@ -201,11 +215,11 @@ def forest(trees: int = 300, weight: str | None = None) -> RandomForestClassifie
     return model.setWeightCol(weight) if weight else model
 
 
-def balanced_weights(df: DataFrame, y: str = "y") -> DataFrame:
-    """``weight``: rows over twice the rows of the label."""
+def balanced_weights(df: DataFrame, y: str = "y", classes: int = 2) -> DataFrame:
+    """``weight``: all rows over ``classes`` times the rows of the label."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("__n"))
     total = df.agg(F.count(F.lit(1)).alias("__all"))
-    return df.join(F.broadcast(counts), y).crossJoin(F.broadcast(total)).withColumn("weight", F.col("__all") / (F.col("__n") * 2)).drop("__n", "__all")
+    return df.join(F.broadcast(counts), y).crossJoin(F.broadcast(total)).withColumn("weight", F.col("__all") / (F.col("__n") * classes)).drop("__n", "__all")
 
 
 def fit(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], estimator) -> PipelineModel:

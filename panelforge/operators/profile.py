@@ -92,16 +92,16 @@ def flag_leakage(df: DataFrame, target: str, flags: Sequence[str], least_rows: i
     return each.crossJoin(F.broadcast(total)).withColumn("leaks", F.coalesce("implies", F.lit(False)) | siblings).drop("__several", "__long")
 
 
-def exclusions(df: DataFrame, target: str, user: Sequence[str] = (), least_auc: float = 0.98) -> DataFrame:
-    """Columns not to learn from, with the reason: by user, id, constant, over 60 % missing, leakage."""
-    profiled = profile(df).where(F.col("name") != target)
+def exclusions(df: DataFrame, target: str, user: Sequence[str] = (), least_auc: float = 0.98, leakage: bool = True, profiled: DataFrame | None = None) -> DataFrame:
+    """Columns not to learn from, with the reason: by user, id, constant, over 60 % missing, leakage (of a target of 0 and 1)."""
+    profiled = (profile(df) if profiled is None else profiled).where(F.col("name") != target)
     kinds = {r["name"]: r for r in profiled.collect()}  # one row a column
     numeric = [n for n, r in kinds.items() if r.kind == "numeric" and r.numeric]
     binary = [n for n, r in kinds.items() if r.kind == "binary" and r.numeric]
     leaks = set()
-    if numeric:
+    if numeric and leakage:
         leaks |= {r.column for r in metrics.single_column_auc(df, numeric, target).where(F.col("auc") >= least_auc).collect()}
-    if binary:
+    if binary and leakage:
         leaks |= {r["name"] for r in flag_leakage(df, target, binary).where("leaks").collect()}
     reason = (
         F.when(F.col("name").isin(*user) if user else F.lit(False), "excluded by user")
