@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.functions import scalars
 
@@ -38,9 +39,22 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_or_quarantine(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """The rows that fit the schema, and the texts of those that don't."""
-    good, bad = quarantine(read_csv(spark, path, schema), F.col("_corrupt_record").isNotNull())
-    return good.drop("_corrupt_record"), bad
+    """The rows whose cells fit the schema, and the others: what fits of them, and all their cells in ``_corrupt_record``.
+
+    Columns are found by their trimmed names; one that the file lacks is an error.
+    """
+    wanted = T.StructType.fromDDL(schema)
+    raw = read_csv(spark, path)
+    lacking = [f.name for f in wanted if f.name not in raw.columns]
+    if lacking:
+        raise ValueError(f"{path}: no column {', '.join(lacking)}")
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in wanted}
+    bad = F.lit(False)
+    for name, x in typed.items():
+        bad = bad | (F.col(f"`{name}`").isNotNull() & x.isNull())
+    cells = F.when(bad, F.concat_ws(",", *(F.col(f"`{f.name}`") for f in wanted))).alias("_corrupt_record")
+    good, rest = quarantine(raw.select(*(x.alias(n) for n, x in typed.items()), cells), F.col("_corrupt_record").isNotNull())
+    return good.drop("_corrupt_record"), rest
 
 
 def quarantine(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
