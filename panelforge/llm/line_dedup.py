@@ -12,8 +12,8 @@ copied text one copy stays.
    two documents or more goes to all tasks. It only saves work: a shared leaf's slot is always in it.
 2. Lines of such leaves give one row each. They are counted by masked line, with partial aggregation, so a line
    that all documents share is one row a task from there on.
-3. Distinct lines of leaves with several of them give one row for each template; templates are counted in the
-   same way.
+3. Distinct lines of leaves with several of them and ``min_docs`` documents or more give one row for each template;
+   templates are counted in the same way.
 4. What becomes of each distinct line meets its rows: that of the most frequent lines, at most ``HOT`` of them,
    by broadcast, that of the others in a join. The line numbers to drop meet the documents.
 
@@ -175,7 +175,9 @@ def _fates(found: DataFrame, depth: int, min_docs: int) -> DataFrame:
     )
     distinct = materialize(distinct, "distinct-lines")
     own = distinct.where((F.col("n") >= min_docs) | F.col("long") & (F.col("n") >= 2)).select("whole", F.col("first").alias("lo"), F.col("first").alias("hi"))
-    several = distinct.groupBy("leaf").count().where("count > 1").select("leaf")
+    # Only leaves of several lines and of min_docs documents at least can have another recurring template.
+    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("docs"))
+    several = several.where((F.col("lines") > 1) & (F.col("docs") >= min_docs)).select("leaf")
     varied = materialize(distinct.where("tokens is not null").join(several, "leaf", "left_semi"), "varied-lines")
     # A line of min_docs documents or more makes its templates recurring; of the others each document counts once.
     documents = in_doc.select("whole", F.col("__row").alias("row"))
