@@ -42,17 +42,19 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import materialize, texts_of
 
 #: Words on the first level, the end among them.
-CLASSES = 512
+CLASSES = 128
 #: Slots of words' own for each root of the tokens, and at least so many, for words of so many occurrences; hashed slots for each root.
 OWN, LEAST_OWN, OWN_COUNT, HASHED = 4, 2048, 3, 1
 HEAVY = 100_000
 DIM = 32
 CONTEXT = 2
 NOISE = 64
-#: Noise samples on the second level, for each group of a batch.
-SLOT_NOISE = 16
-#: Parameters of one row of the sums over partitions, and sums of a piece that are made side by side first.
-PIECE, LANES = 4096, 32
+#: Noise samples on the second level, for each ``SHARED`` tokens of a group in a batch.
+SLOT_NOISE, SHARED = 16, 16
+#: Parameters of one row of the sums over partitions.
+PIECE = 4096
+#: Training partitions for each core, so that what the partitions send grows with the cluster, not with the corpus.
+WAVES = 4
 BATCH = 4096
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -233,7 +235,7 @@ class LogBilinear:
             param[at] += rate * step / np.sqrt(squares)
 
     def _learn_slots(self, units: np.ndarray, hidden: np.ndarray, d_hidden: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-        """Steps of the second level; adds to ``d_hidden``. Tokens are laid out by group, padded to the largest."""
+        """Steps of the second level; adds to ``d_hidden``. Tokens are laid out by group, in rows of ``SHARED`` at most."""
         slots = self.slots
         which = np.flatnonzero(units >= slots.outputs)
         if not which.size:
@@ -243,7 +245,11 @@ class LogBilinear:
         order = np.argsort(group, kind="stable")
         which, slot, group = which[order], slot[order], group[order]
         groups, first, sizes = np.unique(group, return_index=True, return_counts=True)
-        row, column = np.repeat(np.arange(len(groups)), sizes), np.arange(len(group)) - np.repeat(first, sizes)
+        rows = -(-sizes // SHARED)
+        column = np.arange(len(group)) - np.repeat(first, sizes)
+        row = np.repeat(np.cumsum(rows) - rows, sizes) + column // SHARED
+        groups, column = np.repeat(groups, rows), column % SHARED
+        sizes = np.bincount(row)
         at = np.searchsorted(noise, groups[:, None] + rng.random((len(groups), SLOT_NOISE))).clip(max=len(noise) - 1)
         sampled = slots.order[np.clip(at, slots.starts[groups][:, None], slots.starts[groups + 1][:, None] - 1)]
         mine = hidden[which]
@@ -340,11 +346,14 @@ def contexts_of(classes: np.ndarray, start: int) -> np.ndarray:
 def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1, seed: int = 7) -> LogBilinear:
     """One pass over all texts of ``rows``, in each partition for itself, then the weighted mean.
 
-    Partitions' parameters are cut into pieces and added up piece by piece, first in ``LANES`` parts of the
-    partitions; the driver gets one sum of each.
+    Input splits are put together to ``WAVES`` partitions a core. Their parameters are cut into pieces and added up
+    piece by piece, first for some partitions each; the driver gets one sum of each piece.
     """
     model = LogBilinear.start(vocab.class_counts, dim, seed, vocab.slots)
-    sent = rows.sparkSession.sparkContext.broadcast((model, vocab))
+    context = rows.sparkSession.sparkContext
+    sent = context.broadcast((model, vocab))
+    splits = WAVES * context.defaultParallelism
+    lanes = math.isqrt(splits)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, vocab = sent.value
@@ -368,7 +377,7 @@ def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1,
             flat = own.params()
             pieces = [(i, flat[at : at + PIECE], seen) for i, at in enumerate(range(0, len(flat), PIECE))]
             for at in range(0, len(pieces), 256):
-                yield _weighted(pieces[at : at + 256], TaskContext.get().partitionId() % LANES)
+                yield _weighted(pieces[at : at + 256], TaskContext.get().partitionId() % lanes)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -380,8 +389,8 @@ def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1,
             yield _weighted([(piece, (total / n).astype(np.float32), n) for piece, (total, n) in sums.items()])
 
     schema = "piece int, lane int, params binary, n long"
-    lanes = rows.select("__text").mapInArrow(fitted, schema).repartition("piece", "lane").mapInArrow(added, schema)
-    means = lanes.repartition("piece").mapInArrow(added, schema).collect()
+    parts = rows.select("__text").coalesce(splits).mapInArrow(fitted, schema)
+    means = parts.repartition("piece", "lane").mapInArrow(added, schema).repartition("piece").mapInArrow(added, schema).collect()
     if not means:
         return model
     return model.with_params(np.concatenate([np.frombuffer(r.params, dtype=np.float32) for r in sorted(means, key=lambda r: r.piece)]))
