@@ -552,10 +552,10 @@ def refit_rows(spark, sf_dir):
     return train.unionByName(validation)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS shared, (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM lineitem) AS lost")
+@query("SELECT CAST(0 AS BIGINT) AS shared, (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders) AS lost")
 def disjoint_splits(spark, sf_dir):
     """No row is in two parts of a random split, and none is lost."""
-    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
     parts = models.stratified_split(rows, "y", "id")
     each = parts.groupBy("id").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n"))
     return each.agg(F.count_if(F.col("parts") > 1).alias("shared"), F.sum("n").alias("n")).crossJoin(rows.agg(F.count(F.lit(1)).alias("all"))).select("shared", (F.col("all") - F.col("n")).alias("lost"))

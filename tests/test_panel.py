@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge import catalog
+from panelforge import catalog, catalog_models, catalog_sources, catalog_values  # noqa: F401 - registered on import
 from panelforge.functions import scalars
 from panelforge.operators import geo, machines, metrics, models, profile, series
 from panelforge.sources import readers, sinks
