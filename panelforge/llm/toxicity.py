@@ -7,8 +7,8 @@ Adagrad.
 
 Learned are terms of ``LEAST_DOCS`` sampled documents or more whose document frequencies differ between the labels
 (by the z-score of their log odds) or that label 1 has alone, at most ``MAX_TERMS``, and the most frequent terms,
-which may matter in pairs alone: ``FREQUENT``, or a quarter of the rarer label's documents where that is less. Spark counts the terms; the driver gets the chosen ones and the
-documents' places among them.
+which may matter in pairs alone: ``FREQUENT``, or a quarter of the rarer label's documents where that is less. Spark
+counts the terms; the driver gets the chosen ones and the documents' places among them.
 
 Fitting uses a sample of ``limit`` labelled rows, a parameter (see ``samples``); scoring covers all rows and whole
 texts in one pass without a shuffle. Null and empty texts get the score of a text without known terms. Nothing
