@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import byte_bpe, decontaminate, exact_dedup, language, line_dedup, lm, quality, simhash, token_files, toxicity
+from panelforge.llm import byte_bpe, conversations, decontaminate, exact_dedup, language, licenses, line_dedup, lm, merkle, oracles, quality, simhash, token_files, toxicity
 from panelforge.llm.common import fold
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -78,6 +80,40 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.summed(licenses.scan(_table(spark, sf_dir, "documents")))
+    phrases = (F.col("phrases"), [label for _, label in licenses.PHRASES])
+    templates = (F.col("templates"), [label for label, _ in licenses.TEMPLATES])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.col("n_places").alias("n_base"),
+        F.col("first_place").alias("first_word"),
+        F.col("last_place").alias("last_word"),
+        licenses.label_text([phrases]).alias("base_labels"),
+        licenses.label_text([phrases, templates]).alias("labels"),
+        F.when(F.col("n_places") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(fold(F.col("doc_id"), 5) == 0, lowered).otherwise(F.col("text"))
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), changed={"text": tampered})
+    folded = merkle.folded(F.col("changed_leaf"), F.col("path"))
+    return found.select(
+        "doc_id",
+        *(merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")),
+        F.sha2(merkle.proof_text(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+        (folded == merkle.hexed(F.col("root"))).alias("verified"),
+    )
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +127,9 @@ QUERIES = {
         op8_line_dedup,
         op9_token_files,
         op10_lm_scoring,
+        op11_license_scan,
+        op12_merkle_manifest,
+        op13_conversation_trie,
     )
 }
 
@@ -118,4 +157,7 @@ WITH h AS (
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, text_sha256
 FROM h WINDOW same AS (PARTITION BY text_sha256)""",
+    "op11_license_scan": oracles.license_scan(),
+    "op12_merkle_manifest": oracles.merkle_manifest(),
+    "op13_conversation_trie": oracles.conversation_trie(),
 }
