@@ -137,8 +137,8 @@ _SUMS = ", ".join(
 
 @query(f"WITH {PANEL_SQL} SELECT site_id, date, {_SUMS} FROM filled")
 def rolling_sum_min_periods(spark, sf_dir):
-    over = series.by_date()
-    return filled(spark, sf_dir).select("site_id", "date", *(series.rolling_sum(F.col("rain"), d, over).alias(f"rain_{d}d") for d in (3, 7, 14, 30)))
+    days = series.rolling_sums(filled(spark, sf_dir).select("site_id", "date", "rain"))
+    return days.select("site_id", "date", *(f"rain_{d}d" for d in (3, 7, 14, 30)))
 
 
 @query(
@@ -151,20 +151,19 @@ FROM filled WINDOW w AS (PARTITION BY site_id ORDER BY date), w7 AS (PARTITION B
   w30 AS (PARTITION BY site_id ORDER BY date ROWS 29 PRECEDING)"""
 )
 def trailing_features(spark, sf_dir):
-    over, ps = series.by_date(), F.col("ps")
+    ps = F.col("ps")
     sine, cosine = scalars.season(F.col("date"))
-    return rounded(
-        filled(spark, sf_dir).select(
-            "site_id",
-            "date",
-            series.wet_days(F.col("rain"), 7, over, 60).alias("wet_days_7d"),
-            (ps - series.rolling_mean(ps, 30, over, 20)).alias("ps_anom"),
-            series.change(ps, 1, over).alias("ps_chg_1d"),
-            series.change(ps, 3, over).alias("ps_chg_3d"),
-            sine.alias("doy_sin"),
-            cosine.alias("doy_cos"),
-        )
-    )
+
+    def trailing(over):
+        return {
+            "wet_days_7d": series.wet_days(F.col("rain"), 7, over, 60),
+            "ps_anom": ps - series.rolling_mean(ps, 30, over, 20),
+            "ps_chg_1d": series.change(ps, 1, over),
+            "ps_chg_3d": series.change(ps, 3, over),
+        }
+
+    days = series.in_blocks(filled(spark, sf_dir).select("site_id", "date", "rain", "ps"), trailing, back=30)
+    return rounded(days.select("site_id", "date", "wet_days_7d", "ps_anom", "ps_chg_1d", "ps_chg_3d", sine.alias("doy_sin"), cosine.alias("doy_cos")))
 
 
 @query(f"WITH {EXTREME_SQL} SELECT site_id, date, extreme, y1 AS y_24h, greatest(y1, y2) + 0 * y1 * y2 AS y_48h, greatest(y1, y2, y3) + 0 * y1 * y2 * y3 AS y_72h FROM labelled")
@@ -185,7 +184,7 @@ def same_day_climatology(spark, sf_dir):
   sum(rain) OVER (PARTITION BY site_id ORDER BY date RANGE BETWEEN INTERVAL 19 DAYS PRECEDING AND CURRENT ROW) AS rain_20d FROM panel"""
 )
 def antecedent_sum(spark, sf_dir):
-    return panel(spark, sf_dir).select("site_id", "date", *(series.antecedent_sum(F.col("rain"), d).alias(f"rain_{d}d") for d in (10, 20)))
+    return series.antecedent_sums(panel(spark, sf_dir).select("site_id", "date", "rain"), "rain", (10, 20)).select("site_id", "date", "rain_10d", "rain_20d")
 
 
 @query(f"WITH {PANEL_SQL} SELECT site_id, date, row_number() OVER (PARTITION BY site_id ORDER BY date DESC) > 60 AS fit FROM filled")
@@ -731,9 +730,15 @@ def best_baseline(spark, sf_dir):
 def leave_one_site_out(spark, sf_dir):
     """Probability of an extreme day within 72 hours, by a logistic model fitted on the other sites."""
     rows = labelled(spark, sf_dir).select("site_id", "date", "rain", "t2m", F.col("y_72h").alias("y"))
-    fits = models.fit_logistic_groups(models.leave_one_out(rows.where(F.col("date") <= TRAIN_END), "site_id"), ["rain", "t2m"])
-    known = rows.dropna(subset=["rain", "t2m"]).withColumn("fold", F.col("site_id"))
-    return rounded(models.score_groups(known, fits, ["rain", "t2m"]).select("site_id", "date", "y", "p"), 6)
+    fits = models.leave_one_out(rows.where(F.col("date") <= TRAIN_END), ["rain", "t2m"], "site_id")
+    return rounded(models.score_groups(rows.dropna(subset=["rain", "t2m"]), fits, ["rain", "t2m"], "site_id").select("site_id", "date", "y", "p"), 6)
+
+
+@query()
+def cross_flag_forecast(spark, sf_dir):
+    """Days of each return flag scored by the model of the other flags' days, as one terrain is by the other."""
+    rows = labelled(spark, sf_dir).select("site_id", "date", "rain", "t2m", F.left("site_id", F.lit(1)).alias("terrain"), F.col("y_72h").alias("y"))
+    return rounded(models.across(rows, ["rain", "t2m"], "terrain").select("site_id", "date", "terrain", "y", "p"), 6)
 
 
 def overload(rows: DataFrame) -> DataFrame:

@@ -126,9 +126,8 @@ SELECT site_id, date, round(CASE WHEN site_id IN ('AF', 'NO') THEN least(100, d1
 )
 def threshold_ratios(spark, sf_dir):
     """Antecedent rain against thresholds that hold for two sites only."""
-    sums = {550.0: series.antecedent_sum(F.col("rain"), 10), 1850.0: series.antecedent_sum(F.col("rain"), 20)}
     valid = F.col("site_id").isin("AF", "NO")
-    rows = panel(spark, sf_dir).withColumns({"d10": sums[550.0], "d20": sums[1850.0]})
+    rows = series.antecedent_sums(panel(spark, sf_dir).select("site_id", "date", "rain"), "rain", (10, 20)).withColumnsRenamed({"rain_10d": "d10", "rain_20d": "d20"})
     return rounded(
         rows.select(
             "site_id",

@@ -1,14 +1,17 @@
 """Estimators and evaluation workflows: splits, linear models for many groups at once, trees, explanations.
 
-Many small fits (folds, replicates, sources) run together: each Newton step is one grouped aggregate of
-gradients and Hessians, of which only d x d numbers a group reach the driver.
+Many small fits run together. Those of disjoint groups (sources, modes) take a grouped aggregate of gradients and
+Hessians a Newton step; those that share rows (folds, left-out groups, replicates) weigh each row as it is read. Only
+d x d numbers a fit reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -63,10 +66,20 @@ def folds(df: DataFrame, y: str, id_col: str, k: int = 5, seed: int = 7) -> Data
     return ranked.withColumn("fold", F.pmod(F.col("__rank"), F.lit(k)).cast("int")).drop("__rank", "__n")
 
 
-def leave_one_out(df: DataFrame, group: str) -> DataFrame:
-    """Training rows of each ``fold``: all groups but it. Meant for some dozens of groups."""
-    names = df.select(F.col(group).alias("fold")).distinct()
-    return df.join(F.broadcast(names), F.col(group) != F.col("fold"))
+def without_each(df: DataFrame, group: str, most: int = 10_000) -> tuple[list, Column]:
+    """The groups of ``df``, and for each of them the weight of a row in the training rows without it, 1 or 0.
+
+    Fits take the weights as they read a row, so no row is copied. The names are a list on the driver; more than
+    ``most`` are an error. Rows without a group train nothing.
+    """
+    names = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().orderBy(group).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} groups of {group}")
+    return names, F.transform(_literals(names, df.schema[group].dataType.simpleString()), lambda g: F.coalesce((F.col(group) != g).cast("double"), F.lit(0.0)))
+
+
+def _literals(values: Sequence, kind: str) -> Column:
+    return F.array(*map(F.lit, values)).cast(f"array<{kind}>")
 
 
 def stratified_sample(df: DataFrame, y: str, id_col: str, first: int = 8, total: int = 25) -> DataFrame:
@@ -125,37 +138,157 @@ def fit_logistic_groups(df: DataFrame, features: Sequence[str], y: str = "y", gr
     return df.sparkSession.createDataFrame(found, f"`{group}` {kind}, mean array<double>, scale array<double>, coefficients array<double>, intercept double")
 
 
+def fit_logistic_weighted(df: DataFrame, features: Sequence[str], weights: Column, names: Sequence, y: str = "y", c: float = 1.0, rounds: int = 25, group: str = "fold", kind: str = "int") -> DataFrame:
+    """As many logistic regressions as ``names``, each on all rows by its own weight, in one scan a Newton step.
+
+    ``weights``: an array of a row's weight in each fit (0: not among its rows), made as the row is read. In the tasks
+    the gradients and Hessians of all fits are two matrix products over a batch of rows; what is shuffled is one row of
+    sums a task and fit. Features are standardised over the rows of a fit, whatever their weight. Fits with one label
+    only are left out. Returns ``group`` (of SQL type ``kind``), mean, scale, coefficients and intercept.
+    """
+    d, m = len(features), len(names)
+    schema = f"`{group}` {kind}, mean array<double>, scale array<double>, coefficients array<double>, intercept double"
+    spark = df.sparkSession
+    known = df.where(F.col(y).isNotNull()).dropna(subset=list(features)).persist()
+    values = [F.col(f).cast("double") for f in features]
+    centre = known.agg(F.array(*(F.coalesce(F.avg(v), F.lit(0.0)) for v in values))).first()[0]
+    rows = known.select(F.col(y).cast("double").alias("y"), F.array(*(v - x for v, x in zip(values, centre, strict=True))).alias("x"), weights.alias("w"))
+
+    def summed(step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sums over all rows of ``step`` of x (rows x d), y and w (rows x fits), a line a fit."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    x, w = (np.asarray(batch.column(k).flatten(), dtype=float).reshape(batch.num_rows, -1) for k in (1, 2))
+                    found = step(x, np.asarray(batch.column(0), dtype=float), w)
+                    total = found if total is None else total + found
+            if total is not None:
+                yield _sums(enumerate(total))
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    total[k] = total.get(k, 0.0) + np.frombuffer(raw)
+            yield _sums(total.items())
+
+        parts = rows.mapInArrow(each, "fit int, sums binary").repartition("fit").mapInArrow(added, "fit int, sums binary")
+        found = {r.fit: np.frombuffer(r.sums) for r in parts.collect()}
+        return np.stack([found[k] for k in range(m)]) if found else np.zeros((m, 0))
+
+    def moments(x: np.ndarray, label: np.ndarray, w: np.ndarray) -> np.ndarray:
+        on = (w > 0).astype(float).T
+        return np.c_[on.sum(axis=1), on @ label, on @ x, on @ (x * x)]
+
+    first = summed(moments)
+    n, ones = (first[:, 0], first[:, 1]) if first.size else (np.zeros(m), np.zeros(m))
+    fitted = np.flatnonzero((ones > 0) & (ones < n))
+    if not fitted.size:
+        known.unpersist()
+        return spark.createDataFrame([], schema)
+    mean = first[:, 2 : 2 + d] / np.maximum(n, 1)[:, None]
+    variance = first[:, 2 + d :] / np.maximum(n, 1)[:, None] - mean * mean
+    scale = np.where(variance > 1e-12 * np.maximum(mean * mean, 1e-300), np.sqrt(np.maximum(variance, 0)), 1.0)
+    upper = np.triu_indices(d + 1)
+    beta = np.zeros((m, d + 1))
+    for _ in range(rounds):
+        # On the rows as they are: coefficients for unscaled features, sums scaled afterwards.
+        raw = np.c_[beta[:, :d] / scale, beta[:, d] - (beta[:, :d] * mean / scale).sum(axis=1)]
+
+        def gradients(x: np.ndarray, label: np.ndarray, w: np.ndarray, raw: np.ndarray = raw) -> np.ndarray:
+            one = np.c_[x, np.ones(len(x))]
+            p = 1 / (1 + np.exp(-(one @ raw.T)))
+            return np.c_[(w * (label[:, None] - p)).T @ one, (w * p * (1 - p)).T @ (one[:, upper[0]] * one[:, upper[1]])]
+
+        sums, largest = summed(gradients), 0.0
+        for k in fitted:
+            # z = A x: standardised features and the constant.
+            a = np.diag(np.r_[1 / scale[k], 1.0])
+            a[:d, d] = -mean[k] / scale[k]
+            hessian = np.zeros((d + 1, d + 1))
+            hessian[upper] = sums[k, d + 1 :]
+            hessian = a @ (hessian + np.triu(hessian, 1).T) @ a.T + np.diag([1 / c] * d + [1e-12])
+            step = np.linalg.solve(hessian, a @ sums[k, : d + 1] - np.r_[beta[k, :d] / c, 0.0])
+            beta[k] += step
+            largest = max(largest, float(np.abs(step).max()))
+        if largest < 1e-8:
+            break
+    known.unpersist()
+    found = [(names[k], (mean[k] + centre).tolist(), scale[k].tolist(), beta[k, :d].tolist(), float(beta[k, d])) for k in fitted]
+    return spark.createDataFrame(found, schema)
+
+
+def _sums(lines: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    at, sums = zip(*lines, strict=True) if (lines := list(lines)) else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([np.ascontiguousarray(x).tobytes() for x in sums], pa.binary())], names=["fit", "sums"])
+
+
 def score_groups(df: DataFrame, fits: DataFrame, features: Sequence[str], group: str = "fold") -> DataFrame:
     """``p`` of each row by its own group's fit."""
     x = F.array(*(F.col(f).cast("double") for f in features))
     z = F.zip_with(F.zip_with(x, F.col("mean"), lambda a, m: a - m), F.col("scale"), lambda a, s: a / s)
     total = F.aggregate(F.zip_with(z, F.col("coefficients"), lambda a, b: a * b), F.col("intercept"), lambda t, v: t + v)
-    return df.join(F.broadcast(fits), group).withColumn("p", scalars.sigmoid(total)).select(*df.columns, "p")
+    return df.join(fits, group).withColumn("p", scalars.sigmoid(total)).select(*df.columns, "p")
+
+
+def score_each(fits: DataFrame, features: Sequence[str]) -> tuple[Column, int]:
+    """An array of a row's probabilities by every fit, and their number; the fits are a constant of the plan."""
+    rows = fits.select("mean", "scale", "coefficients", "intercept").collect()  # one row a fit
+    table = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), "array<struct<mean array<double>, scale array<double>, coefficients array<double>, intercept double>>")
+    x = F.array(*(F.col(f).cast("double") for f in features))
+
+    def score(fit: Column) -> Column:
+        z = F.zip_with(F.zip_with(x, fit["mean"], lambda a, m: a - m), fit["scale"], lambda a, s: a / s)
+        return scalars.sigmoid(F.aggregate(F.zip_with(z, fit["coefficients"], lambda a, b: a * b), fit["intercept"], lambda t, v: t + v))
+
+    return F.transform(table, score), len(rows)
+
+
+def leave_one_out(df: DataFrame, features: Sequence[str], group: str, y: str = "y", c: float = 1.0) -> DataFrame:
+    """For each group the fit on all rows of the others, as ``fit_logistic_groups`` returns it."""
+    names, weights = without_each(df, group)
+    return fit_logistic_weighted(df, features, weights, names, y, c, group=group, kind=df.schema[group].dataType.simpleString())
+
+
+def across(df: DataFrame, features: Sequence[str], part: str, y: str = "y", c: float = 1.0) -> DataFrame:
+    """Every row's probability by the fit on the rows of all other values of ``part``: one terrain by the other."""
+    return score_groups(df.dropna(subset=list(features)), leave_one_out(df, features, part, y, c), features, part)
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], y: str, id_col: str, k: int = 5, c: float = 1.0) -> DataFrame:
     """Out-of-fold probabilities: every row scored by the fit on the other folds."""
     dealt = folds(df, y, id_col, k)
-    training = dealt.withColumn("__fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("__fold") != F.col("fold"))
-    fits = fit_logistic_groups(training, features, y, "__fold", c)
-    return score_groups(dealt.withColumn("__fold", F.col("fold")), fits, features, "__fold").drop("__fold")
+    weights = F.transform(_literals(range(k), "int"), lambda i: (F.col("fold") != i).cast("double"))
+    return score_groups(dealt, fit_logistic_weighted(dealt, features, weights, range(k), y, c), features)
 
 
-def bootstrap_intervals(df: DataFrame, features: Sequence[str], y: str, id_col: str, replicates: int = 100, c: float = 1.0, seed: int = 7) -> DataFrame:
-    """p10, p90 and deviation of each row's probability over Poisson resamples; one-label draws are skipped."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.col("replicate"), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
-    times, at = F.lit(0), 1.0
-    total, term = 0.0, float(np.exp(-1))
+def poisson_draws(id_col: str, replicates: int, seed: int = 7) -> Column:
+    """How often each replicate draws a row: an array of Poisson numbers of mean 1 that only the id decides."""
+    steps, total, term = [], 0.0, float(np.exp(-1))
     for n in range(8):
         total += term
-        times = times + F.when(u >= total, 1).otherwise(0)
-        term = term * at / (n + 1)
-    drawn = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", times.cast("double"))
-    fits = fit_logistic_groups(drawn.where("__w > 0"), features, y, "replicate", c, "__w")
-    names = F.explode(F.array(*(F.lit(r) for r in range(replicates)))).alias("replicate")
-    scored = score_groups(df.select("*", names), fits, features, "replicate")
-    points = F.percentile("p", F.array(F.lit(0.1), F.lit(0.9)))
-    return scored.groupBy(id_col).agg(points[0].alias("p10"), points[1].alias("p90"), F.stddev_pop("p").alias("deviation"))
+        steps.append(total)
+        term /= n + 1
+    u = lambda r: F.pmod(F.xxhash64(F.col(id_col), r, F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    return F.transform(_literals(range(replicates), "int"), lambda r: F.size(F.filter(F.lit(steps), lambda s: u(r) >= s)).cast("double"))
+
+
+def bootstrap_intervals(df: DataFrame, features: Sequence[str], y: str, id_col: str, replicates: int = 100, c: float = 1.0, seed: int = 7) -> DataFrame:
+    """p10, p90 and deviation of each row's probability over Poisson resamples; one-label draws are skipped."""
+    fits = fit_logistic_weighted(df, features, poisson_draws(id_col, replicates, seed), range(replicates), y, c, group="replicate")
+    p, n = score_each(fits, features)
+    scored = df.select(id_col, F.array_sort(p).alias("__p")).where(F.lit(n > 0))
+
+    def point(q: float) -> Column:
+        at = q * (n - 1)
+        low, high = (F.get("__p", F.lit(int(k))) for k in (np.floor(at), np.ceil(at)))
+        return low + (high - low) * float(at - np.floor(at))
+
+    mean = F.aggregate("__p", F.lit(0.0), lambda t, v: t + v) / n
+    spread = F.aggregate("__p", F.lit(0.0), lambda t, v: t + (v - F.col("__mean")) * (v - F.col("__mean"))) / n
+    return scored.withColumn("__mean", mean).select(id_col, point(0.1).alias("p10"), point(0.9).alias("p90"), F.sqrt(spread).alias("deviation"))
 
 
 def recalibrate(scored: DataFrame, y: str = "y", p: str = "p", source: str = "source", least_years: float = 5.0, least_positives: int = 10, date: str = "date", alert_rate: float = 0.05) -> DataFrame:

@@ -1,12 +1,13 @@
 """Features of panels: series of dated values for each key.
 
 Keys and column names are parameters. All trailing features of a key come from windows over the same
-partitioning and order, so Spark shuffles and sorts a panel once for all of them.
+partitioning and order, so Spark shuffles and sorts a panel once for all of them. ``in_blocks`` cuts a key's days into
+blocks with overlapping edges, so the windows of one long key run in as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -25,6 +26,34 @@ def by_date(key: str = "site_id", date: str = "date") -> WindowSpec:
     return Window.partitionBy(key).orderBy(date)
 
 
+#: Days of a block. A row is copied into a neighbouring block if it lies within that block's windows.
+BLOCK_DAYS = 1024
+
+
+def in_blocks(panel: DataFrame, make: Callable[[WindowSpec], dict[str, Column]], back: int = 0, ahead: int = 0, key: str = "site_id", date: str = "date", days: int = BLOCK_DAYS) -> DataFrame:
+    """``panel`` with the columns that ``make`` builds over a window of the key by day, no task holding a whole key.
+
+    The windows may look at most ``back`` days back and ``ahead`` days ahead. Rows go to partitions of (key, block of
+    ``days`` days), those near a border to the next block as well; the windows run within blocks and the copies are
+    dropped. ``rowsBetween`` frames and lags need one row a day (``fill_days``); the window is ordered by a day number,
+    so ``rangeBetween`` frames count days and may meet gaps. A row without a date is a block of its own.
+    """
+    if back > days or ahead > days:
+        raise ValueError(f"windows of {max(back, ahead)} days don't fit blocks of {days}")
+    day = F.unix_date(F.col(date).cast("date"))
+    block, at = F.floor(day / days), F.pmod(day, F.lit(days))
+    here = F.struct(block.alias("block"), F.lit(True).alias("own"))
+    edges = F.array(
+        here,
+        F.when(at >= days - back, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))),
+        F.when(at < ahead, F.struct((block - 1).alias("block"), F.lit(False).alias("own"))),
+    )
+    placed = panel.select("*", day.alias("__day"), F.explode(F.array_compact(edges)).alias("__in"))
+    placed = placed.select(*(F.col(f"`{c}`") for c in panel.columns), "__day", F.col("__in.block").alias("__block"), F.col("__in.own").alias("__own"))
+    columns = make(Window.partitionBy(key, "__block").orderBy("__day"))
+    return placed.withColumns(columns).where("__own").drop("__day", "__block", "__own")
+
+
 def rolling_sum(x: Column, days: int, over: WindowSpec, least: int | None = None) -> Column:
     """Sum of the last ``days`` rows, null unless ``least`` (all by default) are present."""
     frame = over.rowsBetween(1 - days, 0)
@@ -47,10 +76,19 @@ def change(x: Column, days: int, over: WindowSpec) -> Column:
     return x - F.lag(x, days).over(over)
 
 
-def antecedent_sum(x: Column, days: int, key: str = "site_id", date: str = "date") -> Column:
-    """Sum over the last ``days`` calendar days, of whatever days there are."""
-    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
-    return F.sum(x).over(Window.partitionBy(key).orderBy(day).rangeBetween(1 - days, 0))
+def antecedent_sum(x: Column, days: int, over: WindowSpec) -> Column:
+    """Sum over the last ``days`` calendar days, of whatever days there are; ``over`` is ordered by a day number."""
+    return F.sum(x).over(over.rangeBetween(1 - days, 0))
+
+
+def antecedent_sums(panel: DataFrame, x: str = "rain", days: Sequence[int] = (10, 20), key: str = "site_id", date: str = "date", block_days: int = BLOCK_DAYS) -> DataFrame:
+    """``panel`` with ``{x}_{n}d`` for each n of ``days``."""
+    return in_blocks(panel, lambda over: {f"{x}_{n}d": antecedent_sum(F.col(x), n, over) for n in days}, max(days), 0, key, date, block_days)
+
+
+def rolling_sums(panel: DataFrame, x: str = "rain", days: Sequence[int] = (3, 7, 14, 30), least: int | None = None, key: str = "site_id", date: str = "date", block_days: int = BLOCK_DAYS) -> DataFrame:
+    """A gap-free ``panel`` with ``{x}_{n}d`` for each n of ``days``."""
+    return in_blocks(panel, lambda over: {f"{x}_{n}d": rolling_sum(F.col(x), n, over, least) for n in days}, max(days), 0, key, date, block_days)
 
 
 def same_day_climatology(x: Column, key: str = "site_id", date: str = "date") -> Column:
@@ -71,27 +109,37 @@ def any_ahead(flag: Column, days: int, over: WindowSpec, complete: bool = True)
     return F.when(known, found)
 
 
-def weather_features(panel: DataFrame, key: str = "site_id", date: str = "date") -> DataFrame:
+def weather_features(panel: DataFrame, key: str = "site_id", date: str = "date", block_days: int = BLOCK_DAYS) -> DataFrame:
     """The trailing features of a gap-free daily panel with rain, t2m, rh2m, ps, ws2m and dew point (t2mdew)."""
-    over, rain = by_date(key, date), F.col("rain")
+    rain, ps = F.col("rain"), F.col("ps")
     sine, cosine = scalars.season(F.col(date))
-    sums = {f"rain_{d}d": rolling_sum(rain, d, over) for d in (3, 7, 14, 30)}
-    return panel.select(
+
+    def trailing(over: WindowSpec) -> dict[str, Column]:
+        return {f"__rain_{d}d": rolling_sum(rain, d, over) for d in (3, 7, 14, 30)} | {
+            "__wet": wet_days(rain, 7, over),
+            "__ps30": rolling_mean(ps, 30, over, 20),
+            "__ps1": change(ps, 1, over),
+            "__ps3": change(ps, 3, over),
+            "__rh3": change(F.col("rh2m"), 3, over),
+        }
+
+    found = in_blocks(panel, trailing, 30, 0, key, date, block_days)
+    return found.select(
         key,
         date,
         rain.alias("rain_1d"),
-        *(s.alias(name) for name, s in sums.items()),
-        wet_days(rain, 7, over).alias("wet_days_7d"),
-        scalars.rain_acceleration(sums["rain_3d"], sums["rain_7d"]).alias("rain_accel"),
+        *(F.col(f"__rain_{d}d").alias(f"rain_{d}d") for d in (3, 7, 14, 30)),
+        F.col("__wet").alias("wet_days_7d"),
+        scalars.rain_acceleration(F.col("__rain_3d"), F.col("__rain_7d")).alias("rain_accel"),
         "t2m",
         "rh2m",
         "ws2m",
         (F.col("t2m") - F.col("t2mdew")).alias("dew_spread"),
-        F.col("ps").alias("ps_kpa"),
-        (F.col("ps") - rolling_mean(F.col("ps"), 30, over, 20)).alias("ps_anom"),
-        change(F.col("ps"), 1, over).alias("ps_chg_1d"),
-        change(F.col("ps"), 3, over).alias("ps_chg_3d"),
-        change(F.col("rh2m"), 3, over).alias("rh_chg_3d"),
+        ps.alias("ps_kpa"),
+        (ps - F.col("__ps30")).alias("ps_anom"),
+        F.col("__ps1").alias("ps_chg_1d"),
+        F.col("__ps3").alias("ps_chg_3d"),
+        F.col("__rh3").alias("rh_chg_3d"),
         sine.alias("doy_sin"),
         cosine.alias("doy_cos"),
     )
@@ -106,13 +154,13 @@ def extreme_threshold(panel: DataFrame, until: Column, x: str = "rain", q: float
 def extreme_flags(panel: DataFrame, thresholds: DataFrame, x: str = "rain", key: str = "site_id", null_as_zero: bool = False) -> DataFrame:
     """``extreme``: 1 at or above the key's threshold; a missing value stays null or counts as 0."""
     amount = F.coalesce(F.col(x), F.lit(0.0)) if null_as_zero else F.col(x)
-    return panel.join(F.broadcast(thresholds), key).withColumn("extreme", (amount >= F.col("threshold")).cast("int"))
+    return panel.join(thresholds, key).withColumn("extreme", (amount >= F.col("threshold")).cast("int"))
 
 
-def horizon_labels(flagged: DataFrame, horizons: Sequence[int] = (1, 2, 3), key: str = "site_id", date: str = "date", complete: bool = True) -> DataFrame:
-    """y_24h, y_48h ...: an extreme day within the next 1, 2 ... days."""
-    over = by_date(key, date)
-    return flagged.withColumns({f"y_{24 * h}h": any_ahead(F.col("extreme"), h, over, complete) for h in horizons})
+def horizon_labels(flagged: DataFrame, horizons: Sequence[int] = (1, 2, 3), key: str = "site_id", date: str = "date", complete: bool = True, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """y_24h, y_48h ...: an extreme day within the next 1, 2 ... days of a gap-free panel."""
+    labels = lambda over: {f"y_{24 * h}h": any_ahead(F.col("extreme"), h, over, complete) for h in horizons}
+    return in_blocks(flagged, labels, 0, max(horizons), key, date, block_days)
 
 
 def linear_trend(rows: DataFrame, value: str, key: str = "site_id", date: str = "date") -> DataFrame:
@@ -143,7 +191,7 @@ def anomaly_percent(
     365 baseline days, no recent day or a baseline of zero.
     """
     ago = F.datediff(F.col("anchor"), F.col(date))
-    joined = panel.join(F.broadcast(anchors), key).where((F.col(date) <= F.col("anchor")) & (F.col(date) >= F.add_months("anchor", -12 * years)))
+    joined = panel.join(anchors, key).where((F.col(date) <= F.col("anchor")) & (F.col(date) >= F.add_months("anchor", -12 * years)))
     recent = F.when(ago <= recent_days if closed else ago < recent_days, F.col(x))
     means = joined.groupBy(key).agg(F.avg(recent).alias("recent"), F.avg(x).alias("usual"), F.count(x).alias("days"))
     percent = F.when(F.col("days") >= 365, F.try_divide(F.col("recent") - F.col("usual"), F.col("usual")) * 100)
@@ -169,7 +217,7 @@ def holdout_rows(rows: DataFrame, last: int = 60, key: str = "site_id", date: st
     newest = Window.partitionBy(key).orderBy(F.col(date).desc())
     held = rows.select(key, date).withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= last)
     since = held.groupBy(key).agg(F.min(date).alias("__since"))
-    return rows.join(F.broadcast(since), key).withColumn("fit", F.col(date) < F.col("__since")).drop("__since")
+    return rows.join(since, key).withColumn("fit", F.col(date) < F.col("__since")).drop("__since")
 
 
 def as_of(rows: DataFrame, end: Column, n: int, key: str = "site_id", date: str = "date") -> DataFrame:

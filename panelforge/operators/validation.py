@@ -11,8 +11,8 @@ from panelforge.operators import metrics, models, series
 def with_labels(scored: DataFrame, until: str, days: int = 3, x: str = "rain", key: str = "site_id", date: str = "date") -> DataFrame:
     """``y``: whether one of the next days is extreme by the place's own values up to ``until``."""
     limits = series.extreme_threshold(scored, F.lit(until).cast("date"), x, key=key, date=date)
-    flagged = series.extreme_flags(scored, limits, x, key)
-    return series.horizon_labels(flagged, [days], key, date, complete=False).withColumnRenamed(f"y_{24 * days}h", "y")
+    flagged = series.fill_days(series.extreme_flags(scored, limits, x, key).withColumn("__there", F.lit(True)), key, date)
+    return series.horizon_labels(flagged, [days], key, date, complete=False).where("__there").drop("__there").withColumnRenamed(f"y_{24 * days}h", "y")
 
 
 def compare(
@@ -28,7 +28,7 @@ def compare(
     fits = models.recalibrate(history, p=p, source=key, date=date, alert_rate=alert_rate)
     usual = rows.where(F.col(date) <= climate_until).groupBy(key, F.month(date).alias("__month")).agg(F.avg("y").alias("climatology"))
     test = rows.where((F.col(date) >= test_from) & (F.col(date) <= test_until) & F.col("y").isNotNull() & F.col(p).isNotNull())
-    test = models.recalibrated(test, fits, p, key).withColumn("__month", F.month(date)).join(F.broadcast(usual), [key, "__month"], "left")
+    test = models.recalibrated(test, fits, p, key).withColumn("__month", F.month(date)).join(usual, [key, "__month"], "left")
     names = {"raw": p, "recalibrated": "p_adapted", "climatology": "climatology"}
     forecasts = F.explode(F.array(*(F.struct(F.lit(n).alias("forecast"), F.col(c).cast("double").alias("score")) for n, c in names.items()))).alias("x")
     places = F.explode(F.array(F.col(key).cast("string"), F.lit(""))).alias("__place")

@@ -188,7 +188,8 @@ def test_series_guards(spark):
     day = datetime.date(2020, 1, 1)
     rows = [("a", day, 1.0), ("a", day + datetime.timedelta(3), 2.0), ("a", day + datetime.timedelta(4), None)]
     df = series.fill_days(spark.createDataFrame(rows, "site_id string, date date, rain double"))
-    found = df.select("date", series.rolling_sum(F.col("rain"), 2, series.by_date()).alias("s"), series.antecedent_sum(F.col("rain"), 4).alias("a")).orderBy("date").collect()
+    found = df.select("site_id", "date", series.rolling_sum(F.col("rain"), 2, series.by_date()).alias("s"), "rain").orderBy("date")
+    found = series.antecedent_sums(found, "rain", [4]).withColumnRenamed("rain_4d", "a").orderBy("date").collect()
     assert [r.s for r in found] == [None] * 5 and [r.a for r in found] == [1.0, 1.0, 1.0, 3.0, 2.0]
 
 
