@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelforge.catalog import MACHINE_SQL, SCORED_SQL, TRAIN_END, labelled, machine_rows, panel, query, rounded, scored, table
+from panelforge.catalog import MACHINE_SQL, SCORED_SQL, TRAIN_END, filled, labelled, machine_rows, panel, query, rounded, scored, table
 from panelforge.functions import scalars
-from panelforge.operators import autolearn, machines, metrics, models, scopes, validation
+from panelforge.operators import autolearn, boosting, machines, metrics, models, scopes, series, validation
 
 
 @query(
@@ -26,8 +27,14 @@ def ridge_fit(spark, sf_dir):
 
 
 def _machines(spark, sf_dir):
-    """One row for each machine, with failures of three kinds and some that none explains."""
-    f = machines.features(machine_rows(spark, sf_dir)).dropDuplicates(["machine_id"])
+    """One row for each reading, with failures of three kinds and some that none explains.
+
+    Machines have several readings, so a row's id is made of all its values; equal rows are told apart by a number.
+    """
+    rows = machine_rows(spark, sf_dir)
+    same = Window.partitionBy(*rows.columns).orderBy(F.lit(0))
+    keyed = rows.withColumn("machine_id", F.xxhash64(*rows.columns, F.row_number().over(same)))
+    f = machines.features(keyed)
     odd = F.pmod(F.xxhash64("machine_id"), F.lit(50)) == 0
     return f.withColumns({"PWF": (F.col("power") > 9000).cast("int"), "OSF": (F.col("strain_ratio") >= 0.9).cast("int"), "TWF": (F.col("wear") >= 230).cast("int")}).withColumn(
         "failure", ((F.col("PWF") + F.col("OSF") + F.col("TWF") > 0) | odd).cast("int")
@@ -118,6 +125,38 @@ def monotone_forecast(spark, sf_dir):
     return rounded(models.probability(model, coded(grid)).select("rain", "p"), 6)
 
 
+def _forecast_rows(spark, sf_dir):
+    """The trailing features of every day, and whether an extreme day comes within 72 hours."""
+    days = filled(spark, sf_dir).withColumns({"ws2m": F.col("rh2m") / 10, "t2mdew": F.col("t2m") - F.col("rh2m") / 5})
+    labels = labelled(spark, sf_dir).select("site_id", "date", F.col("y_72h").alias("y"))
+    return series.weather_features(days).join(labels, ["site_id", "date"])
+
+
+_RISING = ["rain_1d", "rain_3d", "rain_7d", "rain_14d", "rain_30d", "wet_days_7d", "rain_accel", "rh2m"]
+_FALLING = ["dew_spread", "ps_anom", "ps_chg_1d", "ps_chg_3d"]
+
+
+@query()
+def monotone_boosted_forecast(spark, sf_dir):
+    """Every day's probability by boosted trees that never fall with rain and moisture nor rise with dew spread and pressure."""
+    rows = _forecast_rows(spark, sf_dir)
+    names = [*_RISING, *_FALLING, "t2m", "doy_sin", "doy_cos"]
+    model = boosting.fit(rows.where(F.col("date") <= TRAIN_END), names, rising=_RISING, falling=_FALLING, rounds=12, depth=3)
+    return rounded(model.score(rows).select("site_id", "date", "y", "p"), 6)
+
+
+@query()
+def failure_kind_boosting(spark, sf_dir):
+    """Boosted trees of the kind of failure, a tree a kind and round: the probability of each for every machine."""
+    rows = _machines(spark, sf_dir)
+    kind = F.when(F.col("PWF") == 1, 1).when(F.col("OSF") == 1, 2).when(F.col("TWF") == 1, 3).otherwise(0)
+    rows = rows.select("machine_id", *_SENSORS, kind.alias("y"))
+    model = boosting.fit(rows, _SENSORS, kind="multiclass", rounds=6, depth=3, classes=4)
+    names = ("healthy", "PWF", "OSF", "TWF")
+    scored = model.score(rows)
+    return rounded(scored.select("machine_id", "y", *(F.col("p")[k].alias(n) for k, n in enumerate(names))), 6)
+
+
 @query()
 def forest_and_trees(spark, sf_dir):
     """A balanced forest and boosted trees on the same split: their scores on the rows held out."""

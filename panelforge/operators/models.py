@@ -8,7 +8,7 @@ d x d numbers a fit reach the driver.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars
-from panelforge.operators import metrics
+from panelforge.operators import metrics, sums
 
 MAX_CATEGORIES = 30
 
@@ -157,26 +157,12 @@ def fit_logistic_weighted(df: DataFrame, features: Sequence[str], weights: Colum
     def summed(step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         """The sums over all rows of ``step`` of x (rows x d), y and w (rows x fits), a line a fit."""
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                if batch.num_rows:
-                    x, w = (np.asarray(batch.column(k).flatten(), dtype=float).reshape(batch.num_rows, -1) for k in (1, 2))
-                    found = step(x, np.asarray(batch.column(0), dtype=float), w)
-                    total = found if total is None else total + found
-            if total is not None:
-                yield _sums(enumerate(total))
-
-        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for k, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                    total[k] = total.get(k, 0.0) + np.frombuffer(raw)
-            yield _sums(total.items())
-
-        parts = rows.mapInArrow(each, "fit int, sums binary").repartition("fit").mapInArrow(added, "fit int, sums binary")
-        found = {r.fit: np.frombuffer(r.sums) for r in parts.collect()}
-        return np.stack([found[k] for k in range(m)]) if found else np.zeros((m, 0))
+        def of(batch: pa.RecordBatch) -> np.ndarray:
+            x, w = (np.asarray(batch.column(k).flatten(), dtype=float).reshape(batch.num_rows, -1) for k in (1, 2))
+            return step(x, np.asarray(batch.column(0), dtype=float), w)
+
+        found = sums.added_up(rows, of, m)
+        return np.zeros((m, 0)) if found is None else found
 
     def moments(x: np.ndarray, label: np.ndarray, w: np.ndarray) -> np.ndarray:
         on = (w > 0).astype(float).T
@@ -202,15 +188,15 @@ def fit_logistic_weighted(df: DataFrame, features: Sequence[str], weights: Colum
             p = 1 / (1 + np.exp(-(one @ raw.T)))
             return np.c_[(w * (label[:, None] - p)).T @ one, (w * p * (1 - p)).T @ (one[:, upper[0]] * one[:, upper[1]])]
 
-        sums, largest = summed(gradients), 0.0
+        found, largest = summed(gradients), 0.0
         for k in fitted:
             # z = A x: standardised features and the constant.
             a = np.diag(np.r_[1 / scale[k], 1.0])
             a[:d, d] = -mean[k] / scale[k]
             hessian = np.zeros((d + 1, d + 1))
-            hessian[upper] = sums[k, d + 1 :]
+            hessian[upper] = found[k, d + 1 :]
             hessian = a @ (hessian + np.triu(hessian, 1).T) @ a.T + np.diag([1 / c] * d + [1e-12])
-            step = np.linalg.solve(hessian, a @ sums[k, : d + 1] - np.r_[beta[k, :d] / c, 0.0])
+            step = np.linalg.solve(hessian, a @ found[k, : d + 1] - np.r_[beta[k, :d] / c, 0.0])
             beta[k] += step
             largest = max(largest, float(np.abs(step).max()))
         if largest < 1e-8:
@@ -220,11 +206,6 @@ def fit_logistic_weighted(df: DataFrame, features: Sequence[str], weights: Colum
     return spark.createDataFrame(found, schema)
 
 
-def _sums(lines: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    at, sums = zip(*lines, strict=True) if (lines := list(lines)) else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([np.ascontiguousarray(x).tobytes() for x in sums], pa.binary())], names=["fit", "sums"])
-
-
 def score_groups(df: DataFrame, fits: DataFrame, features: Sequence[str], group: str = "fold") -> DataFrame:
     """``p`` of each row by its own group's fit."""
     x = F.array(*(F.col(f).cast("double") for f in features))
