@@ -333,7 +333,10 @@ def baseline_forecast_skill(spark, sf_dir):
 
 @query(f"WITH {PANEL_SQL} SELECT site_id, month(date) AS month, round(median(rain), 4) AS rain, round(median(t2m), 4) AS t2m, round(median(ps), 4) AS ps FROM panel GROUP BY 1, 2")
 def monthly_medians(spark, sf_dir):
-    return rounded(panel(spark, sf_dir).groupBy("site_id", F.month("date").alias("month")).agg(*(F.median(c).alias(c) for c in ("rain", "t2m", "ps"))))
+    names = ["rain", "t2m", "ps"]
+    days = panel(spark, sf_dir).select("site_id", F.month("date").alias("month"), *(F.col(c).cast("double").alias(c) for c in names))
+    found = metrics.quantiles(days.unpivot(["site_id", "month"], names, "name", "value"), "value", [0.5], ["site_id", "month", "name"])
+    return rounded(found.groupBy("site_id", "month").pivot("name", names).agg(F.first(F.col("q")[0])))
 
 
 @query(
@@ -550,7 +553,7 @@ FROM pk LEFT JOIN filled f USING (site_id) GROUP BY pk.site_id, event_date, peak
 )
 def event_backtest(spark, sf_dir):
     days = filled(spark, sf_dir)
-    limits = days.groupBy("site_id").agg(F.percentile("ps", 0.75).alias("threshold"))
+    limits = metrics.quantiles(days, "ps", [0.75], ["site_id"]).select("site_id", F.col("q")[0].alias("threshold"))
     found = metrics.event_backtest(days.join(limits, "site_id"), wettest_days(spark, sf_dir), score="ps")
     return rounded(found.withColumn("lead_days", F.col("lead_days").cast("long")))
 
@@ -762,5 +765,5 @@ def overload_reasons(spark, sf_dir):
     names = ["torque", "wear", "temp_diff"]
     highest = machines.features(machine_rows(spark, sf_dir)).groupBy("machine_id").agg(*(F.max(F.col(f).cast("double")).alias(f) for f in names))
     rows = highest.withColumn("temp_diff", F.round("temp_diff", 6))
-    typical = rows.agg(*(F.median(f).alias(f) for f in names)).unpivot([], names, "name", "typical")
+    typical = metrics.quantiles(rows.select(names).unpivot([], names, "name", "value"), "value", [0.5], ["name"]).select("name", F.col("q")[0].alias("typical"))
     return models.reset_one_feature(rows, names, typical, overload, "machine_id").withColumn("p", F.round("p", 6))

@@ -12,8 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges into which the distinct scores of all groups are cut for cumulative sums.
-RANGES = 64
+from panelforge.operators.quantiles import quantiles
+from panelforge.sources import sinks
+
+#: Distinct scores of a range within which a window sums up, and the ranges at most (their borders are constants of a plan).
+RANGE_ROWS, MOST_RANGES = 250_000, 4096
 
 
 def _columns(keys: Sequence[str]) -> list[Column]:
@@ -32,12 +35,13 @@ def score_counts(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequ
 def cumulative(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """For each distinct score, from the highest: pos, neg, and ``tp``, ``fp`` at or above it, with the totals.
 
-    Scores are cut into ranges by approximate quantiles. Windows run within a range of a group; the sums
-    of the ranges above, at most ``RANGES`` rows a group, are added by a join.
+    The counts are written once. Scores are cut into ranges of some ``RANGE_ROWS`` distinct scores by approximate
+    quantiles. Windows run within a range of a group; the sums of the ranges above are added by a join.
     """
-    counts = score_counts(rows, y, score, keys)
-    cuts = counts.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10_000).alias("cuts"))
-    counts = counts.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("cuts", lambda c: c <= F.col("score")))).drop("cuts")
+    counts = sinks.written(score_counts(rows, y, score, keys), "score-counts")
+    parts = min(MOST_RANGES, 1 + counts.count() // RANGE_ROWS)
+    cuts = counts.agg(F.percentile_approx("score", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
+    counts = counts.withColumn("__range", F.size(F.filter(F.lit(cuts or []).cast("array<double>"), lambda c: c <= F.col("score"))))
     own = Window.partitionBy(*keys, "__range").orderBy(F.desc("score"))
     sums = counts.groupBy(*keys, "__range").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     above = Window.partitionBy(*keys).orderBy(F.desc("__range"))
@@ -63,22 +67,6 @@ def cumulative(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequen
     )
 
 
-def quantiles(rows: DataFrame, x: str, points: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles of each group, interpolated: keys and ``q``, an array as long as ``points``.
-
-    Values are counted and their running counts taken over ranges in parallel, so no task holds a group's values.
-    Groups without a value are left out.
-    """
-    above = cumulative(rows.select(*keys, x, F.lit(1).alias("__one")), "__one", x, keys)
-    n, below = F.col("all_pos"), F.col("all_pos") - F.col("tp")
-    at = lambda p: (n - 1) * F.lit(float(p))
-    holds = lambda k: (below <= k) & (k < below + F.col("pos"))
-    ends = [F.max(F.when(holds(f(at(p))), F.col("score"))).alias(f"__{name}{i}") for i, p in enumerate(points) for name, f in (("lo", F.floor), ("hi", F.ceil))]
-    found = above.groupBy(*keys).agg(F.max("all_pos").alias("all_pos"), *ends)
-    part = lambda i, p: F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (at(p) - F.floor(at(p)))
-    return found.where("all_pos > 0").select(*keys, F.array(*(part(i, p) for i, p in enumerate(points))).alias("q"))
-
-
 def binary_scores(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """roc_auc, average_precision and brier of each group from one count of its scores."""
     above = cumulative(rows, y, score, keys)
@@ -114,7 +102,7 @@ def best_f1(rows: DataFrame, y: str = "y", score: str = "score", keys: Sequence[
     """
     counts = score_counts(rows, y, score, keys)
     cuts = quantiles(rows, score, [low + (high - low) * i / (grid - 1) for i in range(grid)], keys).select(*keys, F.array_sort(F.array_distinct("q")).alias("cuts"))
-    joined = counts.join(F.broadcast(cuts), list(keys)) if keys else counts.crossJoin(F.broadcast(cuts))
+    joined = counts.join(cuts, list(keys)) if keys else counts.crossJoin(cuts)
     # Counts between neighbouring cuts, at most ``grid`` rows a group, then their sums from above.
     at = F.size(F.filter("cuts", lambda c: c <= F.col("score")))
     sums = joined.withColumn("__at", at).where(F.col("__at") > 0).groupBy(*keys, "__at").agg(F.element_at(F.first("cuts"), F.col("__at")).alias("threshold"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -210,7 +198,7 @@ def quantile_calibration(rows: DataFrame, bins: int = 6, y: str = "y", score: st
     """Bins between quantiles of the scores: a score is in the bin of as many inner edges as lie below it."""
     points = [i / bins for i in range(1, bins)]
     edges = quantiles(rows, score, points, keys).withColumnRenamed("q", "__edges")
-    joined = rows.join(F.broadcast(edges), list(keys)) if keys else rows.crossJoin(F.broadcast(edges))
+    joined = rows.join(edges, list(keys)) if keys else rows.crossJoin(edges)
     at = F.size(F.filter("__edges", lambda e: e < F.col(score)))
     return joined.groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(y).alias("observed"))
 
@@ -259,7 +247,7 @@ def peak_value(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def history_percentile(rows: DataFrame, peaks: DataFrame, score: str = "score", key: str = "site_id") -> DataFrame:
     """Share, in percent, of the key's own scores strictly below its ``peak``."""
-    joined = rows.join(F.broadcast(peaks), key)
+    joined = rows.join(peaks, key)
     return joined.groupBy(key, "peak").agg((F.avg((F.col(score) < F.col("peak")).cast("int")) * 100).alias("percentile"))
 
 
@@ -298,7 +286,7 @@ def single_column_auc(rows: DataFrame, columns: Sequence[str], y: str = "y") ->
     pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("score")) for c in columns))
     melted = rows.select(F.col(y).alias("y"), F.explode(pairs).alias("x")).select("y", "x.*")
     medians = quantiles(melted, "score", [0.5], ["column"]).select("column", F.col("q")[0].alias("__m"))
-    melted = melted.join(F.broadcast(medians), "column").withColumn("score", F.coalesce("score", "__m")).drop("__m")
+    melted = melted.join(medians, "column").withColumn("score", F.coalesce("score", "__m")).drop("__m")
     found = roc_auc(melted, keys=["column"])
     return found.withColumn("auc", F.greatest("roc_auc", 1 - F.col("roc_auc"))).drop("roc_auc")
 

@@ -280,7 +280,7 @@ def recalibrate(scored: DataFrame, y: str = "y", p: str = "p", source: str = "so
     known = scored.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     enough = known.groupBy(source).agg(F.sum(y).alias("__p"), F.datediff(F.max(date), F.min(date)).alias("__d"))
     enough = enough.where((F.col("__p") >= least_positives) & (F.col("__d") >= least_years * 365.25)).select(source)
-    rows = known.join(F.broadcast(enough), source).withColumn("__z", scalars.logit(F.col(p)))
+    rows = known.join(enough, source).withColumn("__z", scalars.logit(F.col(p)))
     fits = fit_logistic_groups(rows, ["__z"], y, source, c=1.0, standardise=False)
     again = score_groups(rows.drop("p").withColumnRenamed("__z", "z"), fits, ["z"], source).withColumnRenamed("p", "__q")
     limits = metrics.alert_threshold(again, alert_rate, "__q", [source])
@@ -290,7 +290,7 @@ def recalibrate(scored: DataFrame, y: str = "y", p: str = "p", source: str = "so
 def recalibrated(scored: DataFrame, fits: DataFrame, p: str = "p", source: str = "source") -> DataFrame:
     """``p_adapted`` and ``alert_adapted`` of each row of a source that could be recalibrated; null for the others."""
     z = F.col("slope") * scalars.logit(F.col(p)) + F.col("intercept")
-    joined = scored.join(F.broadcast(fits.withColumnRenamed("threshold", "__line")), source, "left").withColumn("p_adapted", scalars.sigmoid(z))
+    joined = scored.join(fits.withColumnRenamed("threshold", "__line"), source, "left").withColumn("p_adapted", scalars.sigmoid(z))
     return joined.withColumn("alert_adapted", F.col("p_adapted") >= F.col("__line")).drop("slope", "intercept", "__line")
 
 
@@ -353,8 +353,9 @@ def monotone_model(df: DataFrame, rising: Sequence[str], free: Sequence[str] = (
     from pyspark.ml.linalg import Matrices
 
     points = [i / bins for i in range(1, bins)]
-    row = df.agg(*(F.array_distinct(F.percentile(f, F.array(*map(F.lit, points)))).alias(f) for f in rising)).first()
-    steps = [(f, cut) for f in rising for cut in row[f]]
+    long = df.select(*(F.col(f).cast("double").alias(f) for f in rising)).unpivot([], list(rising), "name", "value")
+    cuts = {r["name"]: dict.fromkeys(r.q) for r in metrics.quantiles(long, "value", points, ["name"]).collect()}  # one row a feature
+    steps = [(f, cut) for f in rising for cut in cuts.get(f, ())]
 
     def coded(table: DataFrame) -> DataFrame:
         return table.select("*", *((F.col(f) > cut).cast("double").alias(f"__s{i}") for i, (f, cut) in enumerate(steps)))

@@ -48,7 +48,7 @@ def served(df: DataFrame, keep: Sequence[str], only_if: str, guarded: Sequence[s
 
 def require_known(rows: DataFrame, sites: DataFrame, key: str = "site_id") -> DataFrame:
     """Rows with their site's attributes; a row of an unknown site fails the query when it is read."""
-    known = F.broadcast(sites.withColumn("__known", F.lit(True)))
+    known = sites.withColumn("__known", F.lit(True))
     joined = rows.join(known, key, "left")
     message = F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
     checked = F.when(F.col("__known"), F.col(key)).otherwise(F.raise_error(message).cast(rows.schema[key].dataType))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars
+from panelforge.operators.quantiles import quantiles
 
 
 def fill_days(panel: DataFrame, key: str = "site_id", date: str = "date") -> DataFrame:
@@ -147,8 +148,10 @@ def weather_features(panel: DataFrame, key: str = "site_id", date: str = "date",
 
 def extreme_threshold(panel: DataFrame, until: Column, x: str = "rain", q: float = 0.99, key: str = "site_id", date: str = "date") -> DataFrame:
     """Exact quantile of each key's values on dates up to ``until``."""
-    early = F.when(F.col(date) <= until, F.col(x))
-    return panel.groupBy(key).agg(F.percentile(early, q).alias("threshold"))
+    early = panel.where(F.col(date) <= until).select(key, x)
+    found = quantiles(early, x, [q], [key]).select(key, F.col("q")[0].alias("threshold"))
+    # A key without early values has no threshold.
+    return panel.select(key).distinct().join(found, key, "left")
 
 
 def extreme_flags(panel: DataFrame, thresholds: DataFrame, x: str = "rain", key: str = "site_id", null_as_zero: bool = False) -> DataFrame:

@@ -25,6 +25,13 @@ def work_folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder: evaluated once however often it is read, and kept if an executor is lost."""
+    path = work_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, order: Sequence[str], sep: str = ",") -> None:
     """The columns in this order, missing values blank; nested columns are left out."""
     nested = (T.ArrayType, T.MapType, T.StructType)
