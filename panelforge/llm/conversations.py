@@ -148,7 +148,7 @@ def rolled_up(nodes: DataFrame, members: DataFrame, least: int = LEAST_WEIGHT, p
     whole = nodes.where("depth = 0").select("weight").first()
     whole = whole[0] if whole else 0
     bound = max(least, whole // parts)
-    large = large.withColumn("total", F.lit(whole).cast("long"))
+    large = materialize(large.withColumn("total", F.lit(whole).cast("long")), "one-component")
     done, lookup = [large.where(F.lit(whole <= bound))], members.select("conv_id", "depth", "node", "up")
     while whole > bound:
         large = materialize(_split(large, lookup, bound), "component")
