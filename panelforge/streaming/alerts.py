@@ -1,7 +1,7 @@
 """Streams of readings (key, ts, value): windows, alerts, enrichment, snapshots and scoring.
 
-Late data: rows older than the watermark are dropped. State is kept by key and, for windows, as long as
-the watermark says; nothing here keeps all of a key's history.
+Late data: rows older than the watermark are dropped. State is kept by key and, for windows, panes and alerts, as
+long as the watermark says; nothing here keeps all of a key's history.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from panelforge.operators import geo
 
+HOUR_MS, DAY_MS = 3_600_000, 86_400_000
+
 
 def timed(stream: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """With ``ts`` as a timestamp that watermarks take."""
@@ -27,42 +29,118 @@ def daily_totals(stream: DataFrame, key: str = "event_type", ts: str = "ts", val
     return days.select(F.to_date("window.start").alias("date"), key, "total", "n")
 
 
+class PaneSums(StatefulProcessor):
+    """Sums of a key's last ``days`` daily totals, for each day as it closes; a total goes when no later day needs it."""
+
+    def __init__(self, days: int, key: str):
+        self.days, self.key = days, key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "day int", "total double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timers = set()
+        for frame in rows:
+            for day, total in zip(frame["day"], frame["total"], strict=True):
+                self.panes.updateValue((int(day),), (float(total),))
+                timers |= {(int(day) + 1 + i) * DAY_MS for i in range(self.days)}
+        for at in timers:  # a day's sum is due at its end; equal timers are one
+            self.handle.registerTimer(at)
+        yield self._table([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
+        kept = [(d, self.panes.getValue((d,))[0]) for d in range(day - self.days + 1, day + 1) if self.panes.containsKey((d,))]
+        if self.panes.containsKey((day - self.days + 1,)):
+            self.panes.removeKey((day - self.days + 1,))
+        yield self._table([(day, key[0], sum(v for _, v in kept))] if kept else [])
+
+    def _table(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["day", self.key, "total"]).astype({"day": "int32", "total": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
 def antecedent_totals(stream: DataFrame, days: int, key: str = "event_type", ts: str = "ts", value: str = "value") -> DataFrame:
-    """Sums of the last ``days`` days, for each day as it closes."""
-    sums = timed(stream, ts).groupBy(F.window(ts, f"{days} days", "1 day"), key).agg(F.sum(value).alias("total"))
-    return sums.select(F.date_sub(F.to_date("window.end"), 1).alias("date"), key, "total")
+    """Sums of the last ``days`` days, for each day as it closes that has a reading among them.
+
+    Readings are added up to daily panes, and a second operator on the stream sums the panes, so the state has one row a
+    key and day, whatever ``days`` is. Days are those of UTC. Needs the RocksDB state store.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    panes = timed(stream, ts).where(F.col(value).isNotNull()).groupBy(F.window(ts, "1 day"), key).agg(F.sum(F.col(value).cast("double")).alias("total"))
+    panes = panes.select(F.window_time("window").alias("at"), key, F.floor(F.unix_seconds("window.start") / 86_400).cast("int").alias("day"), "total")
+    sums = panes.groupBy(key).transformWithStateInPandas(PaneSums(days, key), f"day int, `{key}` {kind}, total double", "Append", "EventTime")
+    return sums.select(F.date_from_unix_date("day").alias("date"), key, "total")
 
 
 class Alerts(StatefulProcessor):
-    """Says when a key's value enters or leaves the zone above its threshold."""
+    """Says when a key's value enters or leaves the zone above its threshold, in the order of event time.
+
+    Readings wait until the watermark has passed them, so those that come late but in time take their place. A timer is
+    set for the end of the hour of a reading. A key that is silent for ``idle_ms`` is forgotten; an alert that stands is
+    then cleared without a value.
+    """
 
-    def __init__(self, threshold: float, key: str, ts: str, value: str):
-        self.threshold, self.key, self.ts, self.value = threshold, key, ts, value
+    def __init__(self, threshold: float, key: str, ts: str, value: str, idle_ms: int):
+        self.threshold, self.key, self.ts, self.value, self.idle_ms = threshold, key, ts, value, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.above = handle.getValueState("above", "above boolean")
+        self.handle = handle
+        self.zone = handle.getValueState("zone", "above boolean, last long")
+        self.waiting = handle.getMapState("waiting", "at long, value double", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        was = self.above.get()[0] if self.above.exists() else False
+        timers = set()
+        for frame in rows:
+            for at, value in zip(pd.to_datetime(frame[self.ts]).astype("datetime64[us]").astype("int64"), frame[self.value], strict=True):
+                self.waiting.updateValue((int(at), float(value)), (1,))
+                timers.add((int(at) // 1000 // HOUR_MS + 1) * HOUR_MS)
+        for at in timers:
+            self.handle.registerTimer(at)
+        yield self._table([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        above, last = self.zone.get() if self.zone.exists() else (False, None)
         found = []
-        for row in pd.concat(list(rows)).sort_values(self.ts).itertuples():
-            now = getattr(row, self.value) >= self.threshold
-            if now != was:
-                found.append((key[0], getattr(row, self.ts), "enter" if now else "clear", getattr(row, self.value)))
-            was = now
-        self.above.update((bool(was),))
-        yield pd.DataFrame(found, columns=[self.key, self.ts, "change", self.value])
+        for at, value in sorted((k[0], k[1]) for k in self.waiting.keys() if k[0] <= passed):
+            now = value >= self.threshold
+            if now != above:
+                found.append((key[0], pd.Timestamp(at, unit="us"), "enter" if now else "clear", value))
+            above, last = now, at
+            self.waiting.removeKey((at, value))
+        if last is not None:
+            end = last // 1000 + self.idle_ms
+            if expiredTimerInfo.getExpiryTimeInMs() >= end and not any(True for _ in self.waiting.keys()):
+                if above:
+                    found.append((key[0], pd.Timestamp(end, unit="ms"), "clear", None))
+                self.zone.clear()
+            else:
+                self.zone.update((bool(above), int(last)))
+                self.handle.registerTimer(end)
+        yield self._table(found)
+
+    def _table(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.key, self.ts, "change", self.value]).astype({self.ts: "datetime64[us]", self.value: "float64"})
 
     def close(self) -> None:
         pass
 
 
-def alert_changes(stream: DataFrame, threshold: float, key: str = "event_type", ts: str = "ts", value: str = "value") -> DataFrame:
-    """key, ts, change (enter or clear) and value, as they happen; needs the RocksDB state store."""
+def alert_changes(stream: DataFrame, threshold: float, key: str = "event_type", ts: str = "ts", value: str = "value", late: str = "1 day", idle_days: float = 30) -> DataFrame:
+    """key, ts, change (enter or clear) and value, once no earlier reading can come any more; needs the RocksDB state store.
+
+    Readings older than the watermark are dropped, and so are those without a value or time. Of equal times the smaller
+    value comes first.
+    """
     kind = stream.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{ts}` timestamp, change string, `{value}` double"
-    rows = stream.select(key, F.col(ts).cast("timestamp").alias(ts), F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).transformWithStateInPandas(Alerts(threshold, key, ts, value), schema, "Append", "None")
+    rows = stream.select(key, F.col(ts).cast("timestamp").alias(ts), F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & F.col(ts).isNotNull())
+    processor = Alerts(threshold, key, ts, value, int(idle_days * DAY_MS))
+    return rows.withWatermark(ts, late).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def enriched(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams of two batches or more: late rows, alerts that enter and clear, enrichment, repeats, snapshots, a saved model."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -34,7 +35,9 @@ class Feed:
     def run(self, df, mode="append"):
         """All that has arrived since the last run, with the state kept from it."""
         out = f"{self.path}/out"
-        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{self.path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination(180)
+        query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{self.path}/state").outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        self.state = [op.numRowsTotal for op in query.lastProgress.stateOperators] if query.lastProgress else []
         return self.spark.read.parquet(out)
 
 
@@ -61,14 +64,63 @@ def test_antecedent_sums_as_days_close(feed):
     assert [found[at(d).date()] for d in range(6)] == [1, 3, 6, 9, 12, 15] and found[at(7).date()] == 6
 
 
+def test_antecedent_sums_of_a_shuffled_feed_equal_the_batch(spark, feed):
+    rng = random.Random(4)
+    rows = [(i, at(rng.randrange(40), rng.randrange(24)), rng.choice("ab"), float(rng.randrange(9))) for i in range(150)]
+    for low in range(0, 40, 10):  # within a batch in any order
+        part = [r for r in rows if low <= (r[1] - at(0)).days < low + 10]
+        rng.shuffle(part)
+        feed.add(part)
+        feed.run(alerts.antecedent_totals(feed.stream(), 10))
+        assert feed.state[-1] <= 4 * 2 * 21, "one pane a key and day, and timers"
+    feed.add([(999, at(80), "z", 0.0)])
+    found = {(r.event_type, r.date): r.total for r in feed.run(alerts.antecedent_totals(feed.stream(), 10)).collect()}
+    for key in "ab":
+        for d in range(50):
+            day = at(d).date()
+            own = [r[3] for r in rows if r[2] == key and 0 <= (day - r[1].date()).days < 10]
+            assert found.get((key, day)) == (sum(own) if own else None)
+
+
 def test_alerts_enter_and_clear_over_batches(feed):
     feed.add([(1, at(0), "a", 5.0), (2, at(1), "a", 50.0), (3, at(2), "a", 60.0), (4, at(0), "b", 1.0)])
     feed.run(alerts.alert_changes(feed.stream(), 40.0))
     feed.add([(5, at(3), "a", 55.0), (6, at(4), "a", 3.0), (7, at(5), "b", 41.0)])  # a is still above, then clears
+    feed.run(alerts.alert_changes(feed.stream(), 40.0))
+    feed.add([(8, at(9), "c", 0.0)])
     found = sorted((r.event_type, r.ts, r.change, r.value) for r in feed.run(alerts.alert_changes(feed.stream(), 40.0)).collect())
     assert found == [("a", at(1), "enter", 50.0), ("a", at(4), "clear", 3.0), ("b", at(5), "enter", 41.0)]
 
 
+def test_alerts_of_late_rows_equal_the_ordered_feed(feed):
+    rng = random.Random(6)
+    rows = [(i, at(i // 4, rng.randrange(24)), rng.choice("abc"), float(rng.randrange(100))) for i in range(240)]
+    want = []
+    for key in "abc":
+        above = False
+        for _, ts, _, value in sorted((r for r in rows if r[2] == key), key=lambda r: (r[1], r[3])):
+            if (value >= 60) != above:
+                above = not above
+                want.append((key, ts, "enter" if above else "clear", value))
+    arrival = sorted(rows, key=lambda r: r[1] + datetime.timedelta(hours=rng.randrange(40)))  # up to two days late
+    for k in range(0, 240, 60):
+        feed.add([*arrival[k : k + 60], *arrival[k : k + 2]])
+    feed.add([(900, at(75), "z", 0.0)])
+    out = feed.run(alerts.alert_changes(feed.stream(), 60.0, late="3 days", idle_days=30))
+    assert sorted((r.event_type, r.ts, r.change, r.value) for r in out.collect()) == sorted(want)
+
+
+def test_state_of_silent_keys_is_removed(feed):
+    feed.add([(1, at(0), "a", 50.0), (2, at(0), "b", 1.0), (3, at(1), "b", None)])
+    feed.run(alerts.alert_changes(feed.stream(), 40.0, idle_days=5))
+    feed.add([(4, at(20), "z", 1.0)])
+    feed.run(alerts.alert_changes(feed.stream(), 40.0, idle_days=5))
+    feed.add([(5, at(40), "z", 1.0)])
+    found = sorted((r.event_type, r.ts, r.change, r.value) for r in feed.run(alerts.alert_changes(feed.stream(), 40.0, idle_days=5)).collect())
+    assert found == [("a", at(0), "enter", 50.0), ("a", at(5), "clear", None)]
+    assert feed.state[0] <= 6, "only z is left, with its reading and timers"
+
+
 def test_enrichment_keeps_unknown_keys(spark, feed):
     feed.add([(1, at(0), "a", 5.0), (2, at(0), "?", 6.0)])
     sites = spark.createDataFrame([("a", 4.0)], "event_type string, threshold double")
