@@ -125,6 +125,12 @@ def monotone_forecast(spark, sf_dir):
     return rounded(models.probability(model, coded(grid)).select("rain", "p"), 6)
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5(o_orderkey || '/7'), o_orderkey LIMIT 3000")
+def seeded_sample(spark, sf_dir):
+    """3,000 orders that are the same on every run."""
+    return models.seeded_sample(table(spark, sf_dir, "orders"), "o_orderkey", 3000).select("o_orderkey", "o_orderstatus")
+
+
 def _forecast_rows(spark, sf_dir):
     """The trailing features of every day, and whether an extreme day comes within 72 hours."""
     days = filled(spark, sf_dir).withColumns({"ws2m": F.col("rh2m") / 10, "t2mdew": F.col("t2m") - F.col("rh2m") / 5})

@@ -89,6 +89,19 @@ def stratified_sample(df: DataFrame, y: str, id_col: str, first: int = 8, total:
     return each.orderBy(F.when((F.col(y) == 1) & (F.col("__rn") <= first), 0).otherwise(1), id_col).limit(total).drop("__rn")
 
 
+def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 7) -> DataFrame:
+    """``n`` rows in an order that only their ids and the seed decide, the same on every run; ids tell the rows apart."""
+    return df.orderBy(F.md5(F.concat_ws("/", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary")), id_col).limit(n)
+
+
+def enough_groups(df: DataFrame, group: str, least: int = 8) -> DataFrame:
+    """``df``, or an error where it has under ``least`` groups: too few for a fit across them."""
+    there = df.select(group).where(F.col(group).isNotNull()).distinct().limit(least).count()
+    if there < least:
+        raise ValueError(f"a fit needs {least} groups of {group} at least, not {there}")
+    return df
+
+
 # Many logistic fits at once.
 
 

@@ -144,6 +144,59 @@ class TestTableLearning:
             assert sum(int(r.predicted) == right[r.id] for r in found) > 255
             assert sum(r.main_reason.startswith(("a = ", "kind = ")) for r in found) > 200
 
+    def test_rows_with_equal_ids_are_scored_each(self, spark):
+        df = table(spark, 200).drop("SIB", "day")
+        trained = autolearn.train(df, "hit", "id", use=["a", "kind"], rounds=3)
+        each = {r.id: (r.p, r.predicted, r.main_reason) for r in autolearn.predict(trained, df.drop("hit"), "id").collect()}
+        same = autolearn.predict(trained, df.drop("hit").withColumn("real", F.col("id")).withColumn("id", F.lit(None).cast("string")), "id").collect()
+        assert len(same) == 200 and sorted((r.p, r.predicted, r.main_reason) for r in same) == sorted(each.values())
+
+    def test_reasons_hold_the_rows_own_class(self, spark):
+        rng = random.Random(8)
+        rows = [(i, a := rng.gauss(0, 1), b := rng.gauss(0, 1), "high" if a > 0.6 else "low" if a < -0.6 else "side" if b > 0 else "middle") for i in range(500)]
+        df = spark.createDataFrame(rows, "id int, a double, b double, kind string")
+        trained = autolearn.train(df, "kind", "id", rounds=10)
+        assert trained.plan.task == "multiclass"
+        found = {r.id: r for r in autolearn.predict(trained, df.drop("kind"), "id").collect()}
+        copies = df.select("id", F.lit(trained.typical["a"]).alias("a"), "b"), df.select("id", "a", F.lit(trained.typical["b"]).alias("b"))
+        outputs = [{r.id: r["__out"] for r in autolearn._with_outputs(trained.model, x, trained.plan).collect()} for x in (df.select("id", "a", "b"), *copies)]
+        assert sum(found[i].predicted == kind for i, _, _, kind in rows) > 450
+        for i, _, _, _ in rows:
+            own, without_a, without_b = (o[i][trained.classes.index(found[i].predicted)] for o in outputs)
+            drops = {"a": own - without_a, "b": own - without_b}
+            name = max(drops, key=lambda k: (abs(drops[k]), k))
+            if abs(drops[name]) >= 0.005:
+                assert found[i].main_reason.startswith(f"{name} = ") and found[i].main_reason.endswith(f"({drops[name] * 100:+.1f} points)")
+
+    def test_values_are_flagged_beyond_a_deviation(self, spark):
+        df = table(spark, 300).select("id", "b", F.col("a").alias("y"), F.lit(None).cast("double").alias("rare"))
+        trained = autolearn.train(df, "y", "id", use=["b"], rounds=3)
+        found = autolearn.predict(trained, df.drop("y"), "id").collect()
+        p = np.array([r.p for r in found])
+        for r in found:
+            if r.main_reason.startswith("several"):
+                assert abs(r.p - p.mean()) > 0.99 * p.std()
+
+    def test_sensors_are_found_by_parts_of_names(self, spark):
+        names = ["Rotational speed [rpm]", "Torque [Nm]", "Tool wear [min]", "Air temperature [K]", "Process temperature [K]"]
+        assert autolearn.sensors(names) == {"torque": names[1], "speed": names[0], "wear": names[2], "cool": names[3], "warm": names[4]}
+        assert autolearn.sensors(["speedy", "temp"]) == {"speed": "speedy"} and autolearn.sensors([]) == {}
+        rng = random.Random(2)
+        rows = [(i, *(rng.uniform(1, 9) for _ in names)) for i in range(120)]
+        df = spark.createDataFrame(rows, ["id", *names]).withColumn("y", (F.col("`Torque [Nm]`") * F.col("`Tool wear [min]`") > 25).cast("int"))
+        plan = autolearn.plan(df, "y", use=names)
+        assert plan.engineered == ["power", "temp_diff", "strain"]
+        made = autolearn.prepared(df, plan)[0].first()
+        assert made.power == pytest.approx(rows[0][2] * rows[0][1] * 2 * math.pi / 60) and made.strain == pytest.approx(rows[0][3] * rows[0][2]) and made.temp_diff == pytest.approx(rows[0][5] - rows[0][4])
+
+    def test_samples_and_enough_groups(self, spark):
+        df = spark.range(500).select("id", (F.col("id") % 7).alias("site"))
+        a, b = (sorted(r.id for r in models.seeded_sample(x, "id", 20).collect()) for x in (df, df.repartition(9)))
+        assert a == b and len(a) == 20 and a != sorted(r.id for r in models.seeded_sample(df, "id", 20, seed=8).collect())
+        assert models.enough_groups(df, "site", 7).count() == 500
+        with pytest.raises(ValueError, match="8 groups of site at least, not 7"):
+            models.enough_groups(df, "site")
+
     def test_refusals(self, spark):
         df = table(spark, 60)
         for bad in (lambda: autolearn.plan(df, "nothing"), lambda: autolearn.train(df.limit(20), "hit", "id"), lambda: autolearn.plan(df, "hit", use=[])):
@@ -163,10 +216,11 @@ class TestTableLearning:
 
 class TestWeatherTables:
     def test_names_and_units(self):
-        assert readers.words_and_unit("wind_speed_10m_mean (km/h)") == ({"wind", "speed", "10m", "mean", "windspeed", "speed10m", "10mmean"}, "km/h")
+        assert readers.name_words("wind_speed_10m_mean (km/h)") == {"wind", "speed", "10m", "mean", "windspeed", "speed10m", "10mmean"}
+        assert readers.name_parts("Dew (\u00b0 F) x [in]") == {"word": ["dew", "x"], "inside": ["f", "in"]}
         names = ["Date", "temperature_2m_max", "temperature_2m_mean (°F)", "dew_point_2m", "rain_sum [inch]", "RH", "pressure_msl", "wind gusts", "wind_speed_10m"]
         assert readers.find_quantities(names) == {"date": "Date", "rain": "rain_sum [inch]", "t2m": "temperature_2m_mean (°F)", "rh2m": "RH", "ps": "pressure_msl", "ws2m": "wind_speed_10m", "t2mdew": "dew_point_2m"}
-        assert [readers.declared_unit(n) for n in ("x (°F)", "x [inch]", "wind kmph", "p hPa", "x")] == ["degF", "in", "km/h", "hPa", None]
+        assert [readers.declared_unit(n) for n in ("x (°F)", "x [inch]", "wind kmph", "p hPa", "x", "ps (kPa)", "wind km h", "speed (m/s)")] == ["degF", "in", "km/h", "hPa", None, "kPa", "km/h", None]
 
     def test_units_by_median(self, spark):
         df = spark.createDataFrame([("2020-01-01", 5.0, 290.0, 0.5, 1010.0, 3.0), ("2020-01-02", -999.0, 300.0, 0.6, 1000.0, 4.0)], "day string, rain double, temp double, rh double, pressure double, wind double")
