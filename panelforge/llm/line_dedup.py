@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialize, texts_of
+from panelforge.llm.common import fresh, materialize, texts_of
 
 DEPTH = 3
 MIN_DOCS = 3
@@ -204,8 +204,8 @@ def dropped_lines(rows: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with cleaned texts, and ``__n_lines`` and ``__n_dropped`` of each row."""
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__row"))
+    """``docs`` with cleaned texts, and ``__n_lines`` and ``__n_dropped`` of each row (with more underscores where ``docs`` has such columns)."""
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__row"))
     rows = keyed.select("__row", F.col(f"doc.`{id_col}`").alias("__id"), F.col(f"doc.`{text_col}`").alias("__text"))
     drops = materialize(dropped_lines(rows, depth, min_docs), "dropped-lines")
     joined = keyed.join(drops.hint("merge"), "__row", "left")  # one plan at every size
@@ -215,6 +215,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col("__drop").isNull(), whole).otherwise(F.array_join(left, "\n"))
     return joined.select(
         *((text if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("__n_dropped"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(fresh("__n_lines", docs.columns)),
+        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(fresh("__n_dropped", docs.columns)),
     )

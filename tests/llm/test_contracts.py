@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm import common, exact_dedup, language, lm, quality, queries, samples, simhash_similar, token_files, toxicity
+from panelforge.llm import common, exact_dedup, language, line_dedup, lm, quality, queries, samples, simhash_similar, token_files, toxicity
 
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
@@ -315,3 +315,22 @@ class TestWorkFolder:
 
             assert os.path.isdir(path)
         assert not os.path.exists(path) and not common.work_dir(spark, "x").startswith(folder)
+
+
+def test_columns_of_any_name(spark, folder, tmp_path):
+    """Stages of the pipeline return the columns they were given, whatever these are called."""
+    out, _ = folder
+    docs = spark.read.parquet(f"{out}/documents.parquet")
+    names = ["__n_lines", "__n_dropped", "score", "__score", "__row", "__text", "a.b", "doc", "words", "row"]
+    odd = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    plain = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, odd = (common.materialize(stage(spark, x, out), "stage") for x in (plain, odd))
+        assert odd.columns == [*docs.columns, *names]
+        assert sorted(map(repr, odd.select(*docs.columns).collect())) == sorted(map(repr, plain.collect()))
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, out)
+    assert last.count() == plain.count()
+    scored = quality.score(docs.withColumn("Score", F.lit("x")), None)
+    assert scored.columns == [*docs.columns, "score"] and scored.first().score == 1.0
+    counted = line_dedup.line_dedup(docs.withColumn("__n_lines", F.lit(-1)).withColumn("a.b", F.lit(2)))
+    assert counted.columns[-2:] == ["___n_lines", "__n_dropped"] and {r["__n_lines"] for r in counted.collect()} == {-1}
