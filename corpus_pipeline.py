@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import byte_bpe, decontaminate, line_dedup, quality, simhash_similar
-from panelforge.llm.common import fold, materialize
+from panelforge.llm.common import fold, fresh, materialize
 
 #: The classifier and the line and near-duplicate stages can't be said in SQL.
 ORACLE_SQL = None
@@ -17,12 +17,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier, fitted on the labelled rows, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
-    return quality.score(docs, model, score_col="__score").where("__score >= 0.5").drop("__score")
+    score = fresh("__score", docs.columns)
+    return quality.score(docs, model, score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines whose templates recur across documents."""
-    return line_dedup.line_dedup(docs).select(*docs.columns)
+    return line_dedup.line_dedup(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark. Rows are told apart by id and text, so null and repeated ids do no harm."""
-    key = F.xxhash64("doc_id", "text")
-    hits = decontaminate.contained_items(docs.select(key.alias("__row"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
-    return docs.join(hits.select("__row").distinct(), key == F.col("__row"), "left_anti")
+    key, row = F.xxhash64("doc_id", "text"), fresh("__row", docs.columns)
+    hits = decontaminate.contained_items(docs.select(key.alias(row), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return docs.join(hits.select(row).distinct(), key == F.col(row), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
