@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.catalog import EXTREME_SQL, PANEL_SQL, filled, labelled, panel, query, rounded, table
 from panelforge.functions import scalars
 from panelforge.operators import series
-from panelforge.sources import readers, sinks
+from panelforge.sources import readers, runs, sinks
 
 _PANEL = f"WITH {PANEL_SQL} SELECT site_id, date, rain, round(t2m, 10) AS t2m FROM panel"
 
@@ -151,6 +151,33 @@ def versioned_runs(spark, sf_dir):
     return sinks.current_run(spark, path).select("s_suppkey", "p", "run_id")
 
 
+@query("SELECT s_suppkey, s_acctbal / 2 AS p, 'r2' AS run_id FROM supplier")
+def committed_runs(spark, sf_dir):
+    """Runs that are committed by a manifest; one that broke off half-way is not read, whatever it has written."""
+    path = sinks.work_folder(spark, "committed")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("p"))
+    runs.commit_run(rows, path, "r3", "2024-01-01")
+    runs.commit_run(rows.where("p > 0"), path, "r2", "2024-02-01")
+    runs.commit_run(rows.withColumn("p", F.col("p") / 2), path, "r2", "2024-02-01")
+    rows.write.parquet(f"{path}/data/r4-unfinished")
+    return runs.current(spark, path).select("s_suppkey", "p", "run_id")
+
+
+@query(
+    f"WITH {PANEL_SQL} SELECT site_id, date, round(rain, 4) AS rain, round(t2m / 3, 3) AS t2m, round(rh2m / 10, 3) AS rh2m, round(ps, 3) AS ps, round(abs(t2m) / 10 * 4.87 / ln(67.8 * 10 - 5.42), 3) AS ws2m FROM panel"
+)
+def weather_files(spark, sf_dir):
+    """Weather files with a preamble, another source's names and units, in one call; each is read in ranges of bytes."""
+    line = F.format_string("%s;%.8f;%.10f;%.8f;%.8f;%.10f", F.date_format("date", "yyyy-MM-dd"), F.col("rain") / 25.4, F.col("t2m") / 3 * 9 / 5 + 32, F.col("rh2m") / 10, F.col("ps") * 10, F.abs("t2m") / 10 * 3.6)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("date", line.alias("line")))), lambda x: x["line"])
+    head = F.lit("latitude;longitude\n1;2\n\ntime;precipitation_sum (inch);temperature_2m_mean (°F);relative_humidity_2m_mean (%);surface_pressure_mean (hPa);wind_speed_10m_mean (km/h)\n")
+    path = sinks.work_folder(spark, "weather")
+    _files(panel(spark, sf_dir).groupBy("site_id").agg(F.concat(head, F.concat_ws("\n", lines)).alias("value")), "site_id", path)
+    found, _ = readers.read_weather(spark, f"{path}/*/*.txt", range_bytes=100_000)
+    site = F.regexp_extract("file", "site_id=([^/]+)/", 1).alias("site_id")
+    return found.select(site, "date", F.round("rain", 4).alias("rain"), *(F.round(c, 3).alias(c) for c in ("t2m", "rh2m", "ps", "ws2m")))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value END AS value, CASE WHEN event_id % 3 > 0 THEN value END AS nested, CASE WHEN event_id % 5 > 0 THEN value END AS mapped FROM events")
 def json_reports(spark, sf_dir):
     """Reports without NaN and infinities at any depth, read back."""

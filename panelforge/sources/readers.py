@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.functions import scalars
+from panelforge.sources import lines
 
 DELIMITERS = (",", ";", "\t")
 #: Lines of a file among which its header is looked for.
@@ -64,22 +65,51 @@ def quarantine(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(~flag), df.where(flag)
 
 
-def read_with_preamble(spark: SparkSession, path: str, header: str = r"^\s*\"?(date|time|year)\b") -> DataFrame:
+def read_with_preamble(spark: SparkSession, path: str, header: str = r"^\s*\"?(date|time|year)\b", range_bytes: int = lines.RANGE_BYTES) -> DataFrame:
     """Lines of tables whose header follows some lines of metadata: file, cells (by name), one row each.
 
-    The header is the first line, of the first ``PREAMBLE_LINES``, that ``header`` matches; each file is found
-    by its own.
+    The header is the first line, of the first ``PREAMBLE_LINES``, that ``header`` finds in its lower case; each file is
+    found by its own. Files are read in ranges of bytes, so one of any size is spread over tasks.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
-    head = F.array_position(F.transform(F.slice("lines", 1, PREAMBLE_LINES), lambda x: F.lower(x).rlike(header)), F.lit(True))
-    found = whole.withColumn("__head", head.cast("int")).where(F.col("__head") > 0)
-    top = F.element_at("lines", F.col("__head"))
+    found = lines.lines_below_header(spark, path, header, PREAMBLE_LINES, range_bytes)
+    sep = _separator(F.col("header"))
+    names = F.transform(_cells(F.col("header"), sep), F.lower)
+    return found.select("file", F.map_from_arrays(names, F.slice(_cells(F.col("line"), sep), 1, F.size(names))).alias("cells"))
+
+
+def _separator(top: Column) -> Column:
+    """The most frequent of semicolon, tab and comma in a header."""
     count = lambda d: F.length(top) - F.length(F.replace(top, F.lit(d)))
-    sep = F.when((count(";") > count(",")) & (count(";") >= count("\t")), ";").when(count("\t") > count(","), "\t").otherwise(",")
-    found = found.withColumns({"__sep": sep, "__top": top})
-    cells = lambda line, s: F.transform(F.split(line, s), lambda x: F.trim(F.trim(x), F.lit('"')))
-    lines = found.select("file", "__sep", "__top", F.explode(F.slice("lines", F.col("__head") + 1, F.size("lines"))).alias("line")).where(F.trim("line") != "")
-    return lines.select("file", F.map_from_arrays(F.transform(cells(F.col("__top"), F.col("__sep")), F.lower), F.slice(cells(F.col("line"), F.col("__sep")), 1, F.size(F.split("__top", F.col("__sep"))))).alias("cells"))
+    return F.when((count(";") > count(",")) & (count(";") >= count("\t")), ";").when(count("\t") > count(","), "\t").otherwise(",")
+
+
+def _cells(line: Column, sep: Column) -> Column:
+    return F.transform(F.split(line, sep), lambda x: F.trim(F.trim(x), F.lit('"')))
+
+
+def read_weather(spark: SparkSession, path: str, elevation_m: float | None = None, header: str = r"^\s*\"?(date|time|year)\b", range_bytes: int = lines.RANGE_BYTES, most: int = 100) -> tuple[DataFrame, list[str]]:
+    """Weather files of any source, preamble, names and units and all: file, date and the quantities, and notes.
+
+    Files of the same header are a table with units of its own; more than ``most`` different headers are an error. Dates
+    may be in one column, or in year with day of the year or month and day.
+    """
+    found = lines.lines_below_header(spark, path, header, PREAMBLE_LINES, range_bytes)
+    tops = [r.header for r in found.select("header").distinct().orderBy("header").limit(most + 1).collect()]
+    if not tops or len(tops) > most:
+        raise ValueError(f"{path}: {'no table with a header' if not tops else f'more than {most} headers'}")
+    out, notes = None, []
+    for top in tops:
+        sep = F.lit(max((";", "\t", ","), key=top.count))
+        names = [c.strip().strip('"') for c in top.split(max((";", "\t", ","), key=top.count))]
+        cells = found.where(F.col("header") == top).select("file", _cells(F.col("line"), sep).alias("c"))
+        table = cells.select("file", *(F.get("c", F.lit(k)).alias(n) for k, n in enumerate(names)))
+        if "date" not in find_quantities(names):
+            by_name = F.map_from_arrays(F.lit([n.lower() for n in names]), F.array(*(F.col(f"`{n}`") for n in names)))
+            table = table.withColumn("date", date_of(by_name).cast("string"))
+        part, said = normalise_weather(table, elevation_m)
+        part = part.select("file", "date", *WANTED)
+        out, notes = part if out is None else out.unionByName(part), notes + [n for n in said if n not in notes]
+    return out, notes
 
 
 def date_of(cells: Column) -> Column:
