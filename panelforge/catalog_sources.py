@@ -164,18 +164,18 @@ def committed_runs(spark, sf_dir):
 
 
 @query(
-    f"WITH {PANEL_SQL} SELECT site_id, date, round(rain, 4) AS rain, round(t2m / 3, 3) AS t2m, round(rh2m / 10, 3) AS rh2m, round(ps, 3) AS ps, round(abs(t2m) / 10 * 4.87 / ln(67.8 * 10 - 5.42), 3) AS ws2m FROM panel"
+    f"WITH {PANEL_SQL} SELECT site_id, date, round(rain, 4) AS rain, round(t2m / 3, 9) AS t2m, round(rh2m / 10, 9) AS rh2m, round(ps, 9) AS ps, round(abs(t2m) / 10 * 4.87 / ln(67.8 * 10 - 5.42), 9) AS ws2m FROM panel"
 )
 def weather_files(spark, sf_dir):
     """Weather files with a preamble, another source's names and units, in one call; each is read in ranges of bytes."""
-    line = F.format_string("%s;%.8f;%.10f;%.8f;%.8f;%.10f", F.date_format("date", "yyyy-MM-dd"), F.col("rain") / 25.4, F.col("t2m") / 3 * 9 / 5 + 32, F.col("rh2m") / 10, F.col("ps") * 10, F.abs("t2m") / 10 * 3.6)
+    line = F.format_string("%s;%.8f;%.13f;%.13f;%.13f;%.13f", F.date_format("date", "yyyy-MM-dd"), F.col("rain") / 25.4, F.col("t2m") / 3 * 9 / 5 + 32, F.col("rh2m") / 10, F.col("ps") * 10, F.abs("t2m") / 10 * 3.6)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("date", line.alias("line")))), lambda x: x["line"])
     head = F.lit("latitude;longitude\n1;2\n\ntime;precipitation_sum (inch);temperature_2m_mean (°F);relative_humidity_2m_mean (%);surface_pressure_mean (hPa);wind_speed_10m_mean (km/h)\n")
     path = sinks.work_folder(spark, "weather")
     _files(panel(spark, sf_dir).groupBy("site_id").agg(F.concat(head, F.concat_ws("\n", lines)).alias("value")), "site_id", path)
     found, _ = readers.read_weather(spark, f"{path}/*/*.txt", range_bytes=100_000)
     site = F.regexp_extract("file", "site_id=([^/]+)/", 1).alias("site_id")
-    return found.select(site, "date", F.round("rain", 4).alias("rain"), *(F.round(c, 3).alias(c) for c in ("t2m", "rh2m", "ps", "ws2m")))
+    return found.select(site, "date", F.round("rain", 4).alias("rain"), *(F.round(c, 9).alias(c) for c in ("t2m", "rh2m", "ps", "ws2m")))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value END AS value, CASE WHEN event_id % 3 > 0 THEN value END AS nested, CASE WHEN event_id % 5 > 0 THEN value END AS mapped FROM events")
