@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars
+from panelforge.sources import sinks
 
 KM_PER_DEGREE = 2 * math.pi * scalars.EARTH_KM / 360
 
@@ -19,11 +20,12 @@ def _cell(lat: Column, lon: Column, degrees: float) -> tuple[Column, Column]:
     return F.floor((lat + 90) / degrees), F.pmod(F.floor((lon + 180) / 360 * across), F.lit(across))
 
 
-def nearby(sites: DataFrame, events: DataFrame, radius_km: float = 500.0, site: str = "site_id", event: str = "event_id") -> DataFrame:
-    """Pairs of sites and events (each with lat, lon) at most ``radius_km`` apart, by an equality join on grid cells.
+#: Events of a leaf at most, and how often a cell is cut in four for it; events at one spot may be more.
+LEAF_EVENTS, LEAF_LEVELS = 1000, 14
 
-    A site is dealt to the cells its radius reaches: fewer columns near the equator, all at the poles.
-    """
+
+def _reached(sites: DataFrame, radius_km: float, site: str) -> tuple[DataFrame, float]:
+    """Sites with each cell (``__r``, ``__c``) that their radius reaches: fewer columns near the equator, all at the poles."""
     degrees = max(radius_km / KM_PER_DEGREE * 1.0001, 0.05)
     across = math.floor(360 / degrees)
     lat, lon = F.col("lat"), F.col("lon")
@@ -34,18 +36,88 @@ def nearby(sites: DataFrame, events: DataFrame, radius_km: float = 500.0, site:
     cells = sites.select(F.col(site), lat.alias("__lat"), lon.alias("__lon"), row.alias("__row"), column.alias("__column"), wide.cast("int").alias("__wide"))
     cells = cells.withColumn("__r", F.explode(F.sequence(F.col("__row") - 1, F.col("__row") + 1)))
     steps = F.array_distinct(F.transform(F.sequence(-F.col("__wide"), F.col("__wide")), lambda i: F.pmod(F.col("__column") + i, F.lit(across))))
-    cells = cells.withColumn("__c", F.explode(steps))
-    er, ec = _cell(lat, lon, degrees)
-    placed = events.withColumns({"__r": er, "__c": ec})
+    return cells.withColumn("__c", F.explode(steps)), degrees
+
+
+def in_leaves(events: DataFrame, degrees: float, most: int = LEAF_EVENTS, levels: int = LEAF_LEVELS) -> DataFrame:
+    """Events with their cell (``__r``, ``__c``) and the ``__leaf`` of its quad-tree: cells of over ``most`` events are cut in four.
+
+    Each level counts the events of crowded cells only. Crowded cells are at most a ``most``-th of the events in number.
+    """
+    lat, lon = F.col("lat"), F.col("lon")
+    r, c = _cell(lat, lon, degrees)
+    across = math.floor(360 / degrees)
+    placed = events.where(lat.isNotNull() & lon.isNotNull()).withColumns({"__r": r, "__c": c})
+
+    def path(level: int) -> Column:
+        """The cell, and the quarter within it at each level down to ``level``."""
+        n = 1 << level
+        inner = [F.floor(F.pmod((lat + 90) / degrees, F.lit(1.0)) * n), F.floor(F.pmod((lon + 180) / 360 * across, F.lit(1.0)) * n)]
+        return F.concat_ws("/", "__r", "__c", F.lit(level), *inner)
+
+    leaf, crowded = path(0), placed.withColumn("__leaf", path(0))
+    for level in range(1, levels + 1):
+        full = sinks.written(crowded.groupBy("__leaf").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select("__leaf"), "crowded-cells")
+        if full.isEmpty():
+            break
+        marked = full.select(F.col("__leaf").alias("__full"))
+        placed = placed.join(marked, path(level - 1) == F.col("__full"), "left").withColumn(f"__in{level}", F.col("__full").isNotNull()).drop("__full")
+        leaf = F.when(F.col(f"__in{level}"), path(level)).otherwise(leaf)
+        crowded = placed.where(F.col(f"__in{level}")).withColumn("__leaf", path(level))
+    return placed.withColumn("__leaf", leaf).select(*events.columns, "__r", "__c", "__leaf")
+
+
+def _least_km(lat: Column, lon: Column, box: Column) -> Column:
+    """A distance that no point of a box of latitudes and longitudes is nearer than."""
+    apart = F.greatest(box["south"] - lat, lat - box["north"], F.lit(0.0)) * KM_PER_DEGREE
+    east, west = F.pmod(box["west"] - lon, F.lit(360.0)), F.pmod(lon - box["east"], F.lit(360.0))
+    turn = F.when((lon >= box["west"]) & (lon <= box["east"]), 0.0).otherwise(F.least(east, west, F.lit(180.0)))
+    high = F.greatest(F.abs(lat), F.abs(box["south"]), F.abs(box["north"]))
+    around = 2 * scalars.EARTH_KM * F.asin(F.least(F.lit(1.0), F.cos(F.radians(high)) * F.sin(F.radians(turn / 2))))
+    return F.greatest(apart, around) * (1 - 1e-9) - 1e-6
+
+
+def _leaves(placed: DataFrame, event: str) -> DataFrame:
+    """One row for each leaf: its cell, its box, and one of its events."""
+    box = F.struct(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east")).alias("__box")
+    return placed.groupBy("__r", "__c", "__leaf").agg(box, F.min(F.struct(event, "lat", "lon")).alias("__some"))
+
+
+def _pairs(near: DataFrame, placed: DataFrame, radius_km: float, site: str, event: str) -> DataFrame:
+    """Sites that meet leaves, with the events of these within the radius."""
+    lat, lon = F.col("lat"), F.col("lon")
     km = scalars.haversine_km(F.col("__lat"), F.col("__lon"), lat, lon)
-    found = cells.join(placed, ["__r", "__c"]).withColumn("distance_km", km).where(F.col("distance_km") <= radius_km)
-    bearing = scalars.compass(F.col("__lat"), F.col("__lon"), lat, lon)
-    return found.withColumn("bearing", bearing).select(site, event, "distance_km", "bearing")
+    found = near.select(site, "__lat", "__lon", "__leaf").join(placed, "__leaf").withColumn("distance_km", km).where(F.col("distance_km") <= radius_km)
+    return found.withColumn("bearing", scalars.compass(F.col("__lat"), F.col("__lon"), lat, lon)).select(site, event, "distance_km", "bearing")
+
 
+def nearby(sites: DataFrame, events: DataFrame, radius_km: float = 500.0, site: str = "site_id", event: str = "event_id", most: int = LEAF_EVENTS) -> DataFrame:
+    """Pairs of sites and events (each with lat, lon) at most ``radius_km`` apart, by equality joins.
+
+    A site meets the quad-tree leaves of the grid cells that its radius reaches, then the events of the leaves that
+    may lie within it, so a crowded cell is dealt out in leaves of some ``most`` events. Rows without a place have no pairs.
+    """
+    cells, degrees = _reached(sites, radius_km, site)
+    placed = sinks.written(in_leaves(events, degrees, most), "placed-events")
+    near = cells.join(_leaves(placed, event), ["__r", "__c"]).where(_least_km(F.col("__lat"), F.col("__lon"), F.col("__box")) <= radius_km)
+    return _pairs(near, placed, radius_km, site, event)
 
-def nearest(sites: DataFrame, events: DataFrame, radius_km: float = 500.0, site: str = "site_id", event: str = "event_id") -> DataFrame:
-    """The nearest event of each site within the radius; ties by event."""
-    pairs = nearby(sites, events, radius_km, site, event)
+
+def nearest(sites: DataFrame, events: DataFrame, radius_km: float = 500.0, site: str = "site_id", event: str = "event_id", most: int = LEAF_EVENTS) -> DataFrame:
+    """The nearest event of each site within the radius; ties by event.
+
+    Of the leaves that a site reaches, only those that may hold something nearer than one event of each are searched.
+    """
+    cells, degrees = _reached(sites, radius_km, site)
+    placed = sinks.written(in_leaves(events, degrees, most), "placed-events")
+    lat, lon = F.col("__lat"), F.col("__lon")
+    met = cells.join(_leaves(placed, event), ["__r", "__c"]).withColumns({"__least": _least_km(lat, lon, F.col("__box")), "__most": scalars.haversine_km(lat, lon, F.col("__some.lat"), F.col("__some.lon"))})
+    met = sinks.written(met.where(F.col("__least") <= radius_km).select(site, "__lat", "__lon", "__leaf", "__least", "__most"), "sites-and-leaves")
+    limit = met.groupBy(site, "__lat", "__lon").agg(F.min("__most").alias("__limit"))
+    a, b = met.alias("a"), limit.alias("b")
+    same = (F.col(f"a.{site}").eqNullSafe(F.col(f"b.{site}"))) & (F.col("a.__lat") == F.col("b.__lat")) & (F.col("a.__lon") == F.col("b.__lon"))
+    near = a.join(b, same).where(F.col("__least") <= F.col("__limit")).select(*(F.col(f"a.{c}").alias(c) for c in (site, "__lat", "__lon", "__leaf")))
+    pairs = _pairs(near, placed, radius_km, site, event)
     least = F.min(F.struct("distance_km", event, "bearing")).alias("x")
     return pairs.groupBy(site).agg(least).select(site, f"x.{event}", "x.distance_km", "x.bearing")
 

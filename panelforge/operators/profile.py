@@ -18,8 +18,17 @@ BEST_TARGET_NAMES = r"fail|target|label"
 MAX_CATEGORIES = 20
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row for each column: rows, missing, distinct, share of numbers and dates, integers, least, most, example, kind."""
+#: Deviation of a distinct-count sketch, and from how many of them on an estimate leaves no doubt.
+SKETCH, SURE = 0.02, 5
+
+
+def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """One row for each column: rows, missing, distinct, share of numbers and dates, integers, least, most, example, kind.
+
+    With ``exact`` false, distinct values are sketched in one pass that copies no row, and counted only for the columns
+    whose role hangs on the number: few values, or about as many as rows. The roles are the same; ``unique`` of the other
+    columns is an estimate.
+    """
     names = list(columns or df.columns)
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     dated = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))}
@@ -32,7 +41,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         day = F.lit(True) if name in dated else F.try_to_timestamp(text).isNotNull() & ~number.isNotNull()
         aggregates += [
             F.count_if(~F.coalesce(present, F.lit(False))).alias(f"missing_{i}"),
-            F.count_distinct(F.when(present, x)).alias(f"unique_{i}"),
+            (F.count_distinct(F.when(present, x)) if exact else F.approx_count_distinct(F.when(present, x.cast("string")), SKETCH)).alias(f"unique_{i}"),
             F.count_if(present & number.isNotNull()).alias(f"numbers_{i}"),
             F.count_if(present & (number == F.floor(number))).alias(f"integers_{i}"),
             F.count_if(present & day).alias(f"dates_{i}"),
@@ -42,10 +51,28 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         ]
     fields = ("missing", "unique", "numbers", "integers", "dates", "least", "most", "example")
     one = df.agg(*aggregates)
+    if not exact:
+        one = _with_exact_counts(df, one, names)
     rows = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(n in numeric).alias("numeric"), *(F.col(f"{f}_{i}").alias(f) for f in fields)) for i, n in enumerate(names))))
     return one.select("rows", rows.alias("c")).select("rows", "c.*").withColumn("kind", _kind())
 
 
+def _with_exact_counts(df: DataFrame, one: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The one row of a profile, with distinct values counted where the sketch leaves a role open."""
+    row = one.first()
+    near = []
+    for i, name in enumerate(names):
+        present, seen = row["rows"] - row[f"missing_{i}"], row[f"unique_{i}"]
+        if seen <= 2 * MAX_CATEGORIES or seen >= present * (1 - SURE * SKETCH):
+            near.append((i, name))
+    found = df.sparkSession.createDataFrame([row], one.schema)
+    if not near:
+        return found
+    there = lambda x: F.when(x.isNotNull() & (F.trim(x.cast("string")) != ""), x)
+    counts = df.agg(*(F.count_distinct(there(F.col(f"`{name}`"))).alias(f"unique_{i}") for i, name in near)).first()
+    return found.withColumns({f"unique_{i}": F.lit(counts[f"unique_{i}"]).cast("long") for i, _ in near})
+
+
 def _kind() -> Column:
     """The role of a column from its profile.
 
