@@ -191,13 +191,19 @@ def table_predictions(spark, sf_dir):
     return autolearn.predict(autolearn.train(rows, "failure", "machine_id", rounds=5), rows.drop("failure"), "machine_id")
 
 
-_PLAN = [("PWF", "leakage"), ("OSF", "leakage"), ("TWF", "leakage"), ("machine_id", "id"), ("one", "constant"), ("rare", "over 60 % missing")]
+_PLAN = f"""WITH {MACHINE_SQL}, f AS (SELECT wear, power > 9000 AS pwf, strain_ratio >= 0.9 AS osf, wear >= 230 AS twf FROM feature)
+SELECT 'PWF' AS name, 'leakage' AS reason FROM f HAVING count(*) FILTER (pwf) >= 5
+UNION ALL SELECT 'OSF', 'leakage' FROM f HAVING count(*) FILTER (osf) >= 5
+UNION ALL SELECT 'TWF', 'leakage' FROM f HAVING count(*) FILTER (twf) >= 5
+UNION ALL SELECT 'machine_id', 'id' FROM f HAVING count(*) > 20
+UNION ALL SELECT 'one', 'constant' FROM f HAVING count(*) > 0
+UNION ALL SELECT 'rare', 'over 60 % missing' FROM f HAVING avg(CASE WHEN wear % 50 = 0 THEN 0.0 ELSE 1.0 END) > 0.6"""
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS name, '{r}' AS reason" for c, r in _PLAN))
+@query(_PLAN)
 def training_plan(spark, sf_dir):
     """The columns that training would leave out, and why."""
-    rows = _machines(spark, sf_dir).select(F.concat(F.lit("m"), F.col("machine_id")).alias("machine_id"), "type", "rpm", "torque", "wear", "PWF", "OSF", "TWF", F.lit("x").alias("one"), F.when(F.col("machine_id") % 10 == 1, F.col("rpm")).alias("rare"), "failure")
+    rows = _machines(spark, sf_dir).select(F.concat(F.lit("m"), F.col("machine_id")).alias("machine_id"), "type", "rpm", "torque", "wear", "PWF", "OSF", "TWF", F.lit("x").alias("one"), F.when(F.col("wear") % 50 == 0, F.col("rpm")).alias("rare"), "failure")
     found = autolearn.plan(rows, "failure")
     return spark.createDataFrame(sorted(found.excluded.items()), "name string, reason string")
 

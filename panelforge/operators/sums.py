@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def added_up(rows: DataFrame, step: Callable[[pa.RecordBatch], np.ndarray], lines: int) -> np.ndarray | None:
+def added_up(rows: DataFrame, step: Callable[[pa.RecordBatch], np.ndarray], lines: int, alone: bool = False) -> np.ndarray | None:
     """The sum over all batches of ``step``, an array of ``lines`` lines; None without rows.
 
     A task adds its batches up and hands on one row a line; the lines are dealt out and added up by tasks, so the
-    driver gets each once.
+    driver gets each once. ``alone``: the rows are one partition, whose task has the sums already.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +33,9 @@ def added_up(rows: DataFrame, step: Callable[[pa.RecordBatch], np.ndarray], line
         yield _packed(total.items())
 
     schema = "line int, sums binary"
-    found = {r.line: np.frombuffer(r.sums) for r in rows.mapInArrow(each, schema).repartition("line").mapInArrow(joined, schema).collect()}
+    parts = rows.mapInArrow(each, schema)
+    parts = parts if alone else parts.repartition("line").mapInArrow(joined, schema)
+    found = {r.line: np.frombuffer(r.sums) for r in parts.collect()}
     return np.stack([found[k] for k in range(lines)]) if found else None
 
 

@@ -29,9 +29,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: evaluated once however often it is read, and kept if an executor is lost."""
     path = work_folder(df.sparkSession, tag)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of ``written`` that are still there.
+_written: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` has made for this driver; what is built on them can't be read any more."""
+    gone = 0
+    while _written:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return gone
+
+
 def write_csv(df: DataFrame, path: str, order: Sequence[str], sep: str = ",") -> None:
     """The columns in this order, missing values blank; nested columns are left out."""
     nested = (T.ArrayType, T.MapType, T.StructType)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.sources import lines, readers, runs
+from panelforge.sources import lines, readers, runs, sinks
 
 HEAD = "-BEGIN HEADER-\nsource;station\n\n-END HEADER-\n"
 
@@ -99,3 +99,9 @@ def test_damaged_files_are_told(spark, tmp_path):
     parts[1].unlink()
     found = {r.file.rsplit("/", 1)[1]: (r.bytes, r.there) for r in runs.damaged_files(spark, path).collect()}
     assert set(found) == {parts[0].name, parts[1].name} and found[parts[1].name][1] is None and found[parts[0].name][1] == found[parts[0].name][0] - 10
+
+
+def test_written_tables_are_read_again_and_cleared(spark):
+    drawn = sinks.written(spark.range(50).withColumn("x", F.rand()), "drawn")
+    assert drawn.collect() == drawn.collect() and drawn.count() == 50
+    assert sinks.clear_written(spark) >= 1 and sinks.clear_written(spark) == 0

@@ -153,14 +153,14 @@ class TestTableLearning:
 
     def test_reasons_hold_the_rows_own_class(self, spark):
         rng = random.Random(8)
-        rows = [(i, a := rng.gauss(0, 1), b := rng.gauss(0, 1), "high" if a > 0.6 else "low" if a < -0.6 else "side" if b > 0 else "middle") for i in range(500)]
+        rows = [(i, a := rng.gauss(0, 1), b := rng.gauss(0, 1), "high" if a > 0.6 else "low" if a < -0.6 else "side" if b > 0 else "middle") for i in range(400)]
         df = spark.createDataFrame(rows, "id int, a double, b double, kind string")
-        trained = autolearn.train(df, "kind", "id", rounds=10)
+        trained = autolearn.train(df, "kind", "id", rounds=4)
         assert trained.plan.task == "multiclass"
         found = {r.id: r for r in autolearn.predict(trained, df.drop("kind"), "id").collect()}
         copies = df.select("id", F.lit(trained.typical["a"]).alias("a"), "b"), df.select("id", "a", F.lit(trained.typical["b"]).alias("b"))
         outputs = [{r.id: r["__out"] for r in autolearn._with_outputs(trained.model, x, trained.plan).collect()} for x in (df.select("id", "a", "b"), *copies)]
-        assert sum(found[i].predicted == kind for i, _, _, kind in rows) > 450
+        assert sum(found[i].predicted == kind for i, _, _, kind in rows) > 340
         for i, _, _, _ in rows:
             own, without_a, without_b = (o[i][trained.classes.index(found[i].predicted)] for o in outputs)
             drops = {"a": own - without_a, "b": own - without_b}
