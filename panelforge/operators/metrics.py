@@ -246,9 +246,13 @@ def peak_value(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def history_percentile(rows: DataFrame, peaks: DataFrame, score: str = "score", key: str = "site_id") -> DataFrame:
-    """Share, in percent, of the key's own scores strictly below its ``peak``."""
-    joined = rows.join(peaks, key)
-    return joined.groupBy(key, "peak").agg((F.avg((F.col(score) < F.col("peak")).cast("int")) * 100).alias("percentile"))
+    """Share, in percent, of the key's own scores strictly below its ``peak``.
+
+    Peaks take their place among the counted scores of their key, so no peak meets the scores one by one.
+    """
+    both = rows.select(key, F.col(score).cast("double").alias("__s"), F.lit(1).alias("__y")).unionByName(peaks.select(key, F.col("peak").cast("double").alias("__s"), F.lit(0).alias("__y")))
+    placed = cumulative(both, "__y", "__s", [key]).where("neg > 0")
+    return placed.select(key, F.col("score").alias("peak"), (F.try_divide(F.col("all_pos") - F.col("tp"), F.col("all_pos")) * 100).alias("percentile"))
 
 
 def event_backtest(scored: DataFrame, events: DataFrame, days: int = 3, score: str = "score", key: str = "site_id", date: str = "date") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.operators import metrics
 from panelforge.operators import quantiles as q
 
 POINTS = [0.0, 0.01, 0.25, 0.5, 0.333, 0.99, 1.0]
@@ -65,3 +66,15 @@ def test_integers_and_odd_names(spark):
     df = spark.range(101).select(F.col("id").cast("int").alias("a.b"), (F.col("id") % 2).alias("k"), F.lit(1).alias("v"), F.lit(2).alias("c"))
     df = df.withColumnRenamed("a.b", "n")
     assert {r.k: r.q for r in q.quantiles(df, "n", [0.5], ["k"], few=0).collect()} == {0: [50.0], 1: [50.0]}
+
+
+@pytest.mark.parametrize("rows_a_range", [3, 10**6])
+def test_percentiles_of_peaks_in_their_own_history(spark, monkeypatch, rows_a_range):
+    monkeypatch.setattr(metrics, "RANGE_ROWS", rows_a_range)
+    rng = np.random.default_rng(5)
+    rows = [(k, None if rng.random() < 0.1 else float(v)) for k in "ab" for v in np.round(rng.random(80), 1)]
+    peaks = [("a", 0.5), ("a", 0.05), ("a", 2.0), ("b", 0.3), ("c", 0.3)]
+    found = metrics.history_percentile(spark.createDataFrame(rows, "site_id string, score double"), spark.createDataFrame(peaks, "site_id string, peak double")).collect()
+    own = lambda k: [v for s, v in rows if s == k and v is not None]
+    want = {(k, p): 100 * sum(v < p for v in own(k)) / len(own(k)) if own(k) else None for k, p in peaks}
+    assert {(r.site_id, r.peak): r.percentile for r in found} == pytest.approx(want)
