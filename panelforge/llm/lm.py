@@ -11,10 +11,10 @@ with numpy over every training text, the noise of a slot being other slots of it
 partition takes one pass over its own texts, from the same start, and the parameters are averaged,
 weighted by tokens. Scoring normalises both levels exactly, by batched matrix products.
 
-A word in a hashed slot has the slot's probability times its share of the slot's count. The unseen word
-is one more type, as it is in the base score, so both are distributions over the same V + 1 types: it has
-a fixed part, freed by discounts, of the probability of all hashed slots, and words that were seen have
-the rest.
+A word in a hashed slot has the slot's probability times its share of the slot's count. A fixed part of
+the probability of all hashed slots, freed by discounts, is that of the words that training has not seen;
+words that were seen have the rest. How many types are unseen is estimated from those seen once and twice,
+and each has an equal part, so an unknown word is not likelier than the rare words that are known.
 
 Counts cover all training texts. The words of the ``heavy`` largest counts are broadcast and resolved
 where they occur; the others meet their counts in a join.
@@ -35,11 +35,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialize, texts_of
+from panelforge.llm.common import materialize
 
 #: Words on the first level, the end among them.
 CLASSES = 128
@@ -59,10 +60,38 @@ BATCH = 4096
 #: The end of a text as a token; no word is empty.
 END = b""
 COUNT_WORDS = 500_000
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
+#: Bytes of texts whose tokens are numbered and scored together; a longer text is alone.
+SLICE = 2_000_000
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in runs of ``SLICE`` bytes, each with its place."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+        yield at, column.slice(at, to - at)
+        at = to
+
+
+def tokens_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens, all tokens of the texts by their place among them, and where each text begins."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    numbered = lists.flatten().dictionary_encode()
+    words = numbered.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+    # White space at either end leaves an empty word; the end of a text takes its number.
+    if END not in words:
+        words.append(END)
+    codes, end = numbered.indices.to_numpy(zero_copy_only=False), words.index(END)
+    kept = codes != end
+    before = np.r_[0, np.cumsum(kept)]
+    bounds = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+    ends = np.cumsum(np.diff(before[bounds]) + 1)
+    is_end = np.zeros(ends[-1] if len(ends) else 0, dtype=bool)
+    is_end[ends - 1] = True
+    found = np.full(len(is_end), end, dtype=np.int64)
+    found[~is_end] = codes[kept]
+    return words, found, np.r_[0, ends[:-1]].astype(np.int64)
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -75,9 +104,10 @@ def token_counts(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                counts.update(words_of(text))
-                counts[END] += 1
+            for _, texts in slices(batch.column(0)):
+                words, tokens, _ = tokens_of(texts)
+                for word, n in zip(words, np.bincount(tokens, minlength=len(words)).tolist(), strict=True):
+                    counts[word] += n
                 if len(counts) >= COUNT_WORDS:
                     yield flush()
                     counts.clear()
@@ -124,6 +154,7 @@ class Vocabulary:
     tokens: int
     types: int
     unseen: float  # part of the hashed slots' probability
+    unseen_types: float = 1.0  # among which it is shared
 
     def unit(self, word: bytes) -> int:
         at = self.classes.get(word)
@@ -135,7 +166,7 @@ class Vocabulary:
     def shares(self, c: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
         """log10 of a word's part of hashed slots that were counted ``n`` times (all: None), from its count (0: unseen)."""
         n = self.slots.counts[self.slots.own :].sum() if n is None else n
-        return np.log10(np.where(c > 0, (1 - self.unseen) * c / n, self.unseen))
+        return np.log10(np.where(c > 0, (1 - self.unseen) * c / n, self.unseen / self.unseen_types))
 
 
 def vocabulary(counts: DataFrame, classes: int = CLASSES, heavy: int | None = None) -> Vocabulary:
@@ -169,7 +200,10 @@ def vocabulary(counts: DataFrame, classes: int = CLASSES, heavy: int | None = No
     discount = once / (once + 2 * twice) if once and twice else 0.5
     freed = discount * max(0, types - sum(w in of for w in units))
     unseen = freed / rest.sum() if freed and rest.any() else 1 / (rest.sum() + 1)
-    return Vocabulary(units, of, np.r_[[of.get(w, 0) for w in head], groups].astype(float), slots, tokens, types, float(unseen))
+    # Chao's lower bound of the types that a sample lacks, in the form that allows for no type seen twice, and at
+    # least so many that none has more of the hashed slots than a word that was seen once.
+    lacking = max(1.0, once * (once - 1) / (2 * (twice + 1)), unseen * rest.sum() / (1 - unseen) if rest.any() else 0.0)
+    return Vocabulary(units, of, np.r_[[of.get(w, 0) for w in head], groups].astype(float), slots, tokens, types, float(unseen), lacking)
 
 
 @dataclass
@@ -195,7 +229,13 @@ class LogBilinear:
         return cls(context, output, np.ones((CONTEXT, dim), np.float32), bias, inner, np.log(slot_noise(slots)).astype(np.float32), slots)
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.context[contexts[:, i]] * self.position[i] for i in range(CONTEXT))
+        found = self.context.take(contexts[:, 0], axis=0)
+        found *= self.position[0]
+        for i in range(1, CONTEXT):
+            more = self.context.take(contexts[:, i], axis=0)
+            more *= self.position[i]
+            found += more
+        return found
 
     def params(self) -> np.ndarray:
         return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
@@ -213,10 +253,13 @@ class LogBilinear:
         sampled = np.searchsorted(np.cumsum(noise), rng.random(NOISE)).clip(max=len(noise) - 1)
         log_noise = np.log(NOISE * noise).astype(np.float32)
         hidden = self.predicted(contexts)
-        own = (hidden * self.output[targets]).sum(axis=1) + self.bias[targets] - log_noise[targets]
-        other = hidden @ self.output[sampled].T + self.bias[sampled] - log_noise[sampled]
+        outputs, noises = self.output.take(targets, axis=0), self.output.take(sampled, axis=0)
+        own = np.einsum("ij,ij->i", hidden, outputs) + (self.bias - log_noise)[targets]
+        other = hidden @ noises.T + (self.bias - log_noise)[sampled]
         d_own, d_other = _lacking(own, other)
-        d_hidden = d_own[:, None] * self.output[targets] + d_other @ self.output[sampled]
+        outputs *= d_own[:, None]
+        outputs += d_other @ noises
+        d_hidden = outputs
         steps = [
             ("output", *_add_rows(np.concatenate([d_own[:, None] * hidden, d_other.T @ hidden]), np.r_[targets, sampled])),
             ("bias", *_add_rows(np.concatenate([d_own, d_other.sum(axis=0)]), np.r_[targets, sampled])),
@@ -224,15 +267,18 @@ class LogBilinear:
         if inner_noise is not None:
             steps += self._learn_slots(units, hidden, d_hidden, inner_noise, rng)
         steps.append(("context", *_add_rows(np.concatenate([d_hidden * self.position[i] for i in range(CONTEXT)]), contexts.T.ravel())))
-        d_position = np.stack([(d_hidden * self.context[contexts[:, i]]).sum(axis=0) for i in range(CONTEXT)])
+        d_position = np.stack([np.einsum("ij,ij->j", d_hidden, self.context.take(contexts[:, i], axis=0)) for i in range(CONTEXT)])
         steps.append(("position", np.arange(CONTEXT), d_position))
         for name, at, gradient in steps:
             step, param = (gradient / len(units)).astype(np.float32), getattr(self, name)
             if name not in self.squares:
                 self.squares[name] = np.full(param.shape, 1e-6, np.float32)
-            squares = self.squares[name][at] + step * step
+            squares = self.squares[name].take(at, axis=0) + step * step
             self.squares[name][at] = squares
-            param[at] += rate * step / np.sqrt(squares)
+            step *= rate
+            step /= np.sqrt(squares, out=squares)
+            step += param.take(at, axis=0)
+            param[at] = step
 
     def _learn_slots(self, units: np.ndarray, hidden: np.ndarray, d_hidden: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> list[tuple]:
         """Steps of the second level; adds to ``d_hidden``. Tokens are laid out by group, in rows of ``SHARED`` at most."""
@@ -252,16 +298,18 @@ class LogBilinear:
         sizes = np.bincount(row)
         at = np.searchsorted(noise, groups[:, None] + rng.random((len(groups), SLOT_NOISE))).clip(max=len(noise) - 1)
         sampled = slots.order[np.clip(at, slots.starts[groups][:, None], slots.starts[groups + 1][:, None] - 1)]
-        mine = hidden[which]
+        mine = hidden.take(which, axis=0)
         laid = np.zeros((len(groups), sizes.max(), hidden.shape[1]), np.float32)
         laid[row, column] = mine
-        vectors = self.inner[sampled]
-        scale = slots.log_noise
-        own = (mine * self.inner[slot]).sum(axis=1) + self.inner_bias[slot] - scale[slot]
-        other = laid @ vectors.transpose(0, 2, 1) + (self.inner_bias[sampled] - scale[sampled])[:, None]
+        vectors, inner = self.inner.take(sampled, axis=0), self.inner.take(slot, axis=0)
+        bias = self.inner_bias - slots.log_noise
+        own = np.einsum("ij,ij->i", mine, inner) + bias.take(slot)
+        other = laid @ vectors.transpose(0, 2, 1) + bias.take(sampled)[:, None]
         d_own, d_other = _lacking(own, other)
         d_other[np.arange(sizes.max()) >= sizes[:, None]] = 0
-        d_hidden[which] += d_own[:, None] * self.inner[slot] + (d_other @ vectors)[row, column]
+        inner *= d_own[:, None]
+        inner += (d_other @ vectors).reshape(-1, hidden.shape[1]).take(row * sizes.max() + column, axis=0)
+        d_hidden[which] += inner
         all_slots = np.r_[slot, sampled.ravel()]
         d_vectors = (d_other.transpose(0, 2, 1) @ laid).reshape(-1, hidden.shape[1])
         return [
@@ -276,34 +324,27 @@ class LogBilinear:
     def log10_units(self, units: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Normalised log10 probabilities of the units and of all hashed slots together."""
         n, slots = len(self.context), self.slots
-        distinct, where = np.unique(contexts[:, 0] * n + contexts[:, 1], return_inverse=True)
+        distinct, first, where = np.unique(contexts[:, 0] * n + contexts[:, 1], return_index=True, return_inverse=True)
         z, hashed = np.empty(len(distinct)), np.full(len(distinct), -np.inf)
+        hidden = self.predicted(contexts)
         for at in range(0, len(distinct), 512):
             s = slice(at, at + 512)
-            logits = self.predicted(np.stack([distinct[s] // n, distinct[s] % n], axis=1)) @ self.output.T + self.bias
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-            parts = np.exp(logits, out=logits)
+            parts, top = _exponentials(hidden.take(first[s], axis=0), self.output, self.bias)
             z[s] = top + np.log(parts.sum(axis=1))
             if slots.hashed_groups:
                 hashed[s] = top + np.log(parts[:, slots.head + slots.own_groups :].sum(axis=1))
         targets = slots.first_level(units) if slots.groups else units
-        own = np.empty(len(units))
-        for at in range(0, len(units), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            own[s] = (self.predicted(contexts[s]) * self.output[targets[s]]).sum(axis=1) + self.bias[targets[s]]
-        own -= z[where]
+        own = np.einsum("ij,ij->i", hidden, self.output.take(targets, axis=0)) + self.bias[targets] - z[where]
         inside = np.flatnonzero(units >= slots.outputs)
         inside = inside[np.argsort(targets[inside], kind="stable")]
         for part in np.split(inside, np.flatnonzero(np.diff(targets[inside])) + 1) if inside.size else []:
             members = slots.members(int(targets[part[0]]) - slots.head)
-            vectors, bias = self.inner[members], self.inner_bias[members]
+            vectors, bias = np.ascontiguousarray(self.inner[members]), self.inner_bias[members]
             for at in range(0, len(part), 1 << 11):
                 some = part[at : at + (1 << 11)]
-                hidden, slot = self.predicted(contexts[some]), units[some] - slots.outputs
-                logits = hidden @ vectors.T + bias
-                top = logits.max(axis=1)
-                own[some] += (hidden * self.inner[slot]).sum(axis=1) + self.inner_bias[slot] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+                mine, slot = hidden.take(some, axis=0), units[some] - slots.outputs
+                parts, top = _exponentials(mine, vectors, bias)
+                own[some] += np.einsum("ij,ij->i", mine, self.inner.take(slot, axis=0)) + self.inner_bias[slot] - top - np.log(parts.sum(axis=1))
         return own / np.log(10), (hashed - z)[where] / np.log(10)
 
 
@@ -325,6 +366,15 @@ def noise_table(slots: Slots) -> np.ndarray:
     return sums - np.repeat(np.r_[0, sums[slots.starts[1:-1] - 1]], np.diff(slots.starts)) + group[slots.order]
 
 
+def _exponentials(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the logits of each row less its largest, and the largest."""
+    logits = hidden @ vectors.T
+    logits += bias
+    top = logits.max(axis=1)
+    logits -= top[:, None]
+    return np.exp(logits, out=logits), top
+
+
 def _lacking(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What the log odds of data and of noise lack."""
     return 1 / (1 + np.exp(np.clip(own, -30, 30))), -1 / (1 + np.exp(-np.clip(other, -30, 30)))
@@ -334,13 +384,18 @@ def _add_rows(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """The distinct numbers and the sums of their rows."""
     order = np.argsort(at, kind="stable")
     found, first = np.unique(at[order], return_index=True)
-    return found, np.add.reduceat(values[order], first, axis=0)
+    return found, np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
-def contexts_of(classes: np.ndarray, start: int) -> np.ndarray:
-    """The units before each token of a text; ``start`` before its first."""
-    padded = np.r_[[start] * CONTEXT, classes]
-    return np.stack([padded[CONTEXT - 1 - i : len(padded) - 1 - i] for i in range(CONTEXT)], axis=1)
+def contexts_of(units: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """The units before each token of its text; ``start`` before the tokens at ``first``, where the texts begin."""
+    found = np.full((len(units), CONTEXT), start, dtype=np.int64)
+    for i in range(CONTEXT):
+        found[i + 1 :, i] = units[: len(units) - i - 1]
+        # A text shorter than i + 1 tokens ends at the beginning of another, whose tokens are before themselves as little.
+        for at in (first + j for j in range(i + 1)):
+            found[at[at < len(units)], i] = start
+    return found
 
 
 def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1, seed: int = 7) -> LogBilinear:
@@ -366,10 +421,11 @@ def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1,
             own.learn(targets, contexts, noise, rng, rate, inner_noise)
 
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                classes = np.array([vocab.unit(w) for w in [*words_of(text), END]], dtype=np.int64)
-                held.append((classes, contexts_of(classes, len(own.context) - 1)))
-                waiting += len(classes)
+            for _, texts in slices(batch.column(0)):
+                words, tokens, first = tokens_of(texts)
+                units = np.array([vocab.unit(w) for w in words], dtype=np.int64)[tokens]
+                held.append((units, contexts_of(units, first, len(own.context) - 1)))
+                waiting += len(units)
                 if waiting >= 16 * BATCH:
                     seen, waiting = _drain(held, step, seen), 0
         seen = _drain(held, step, seen)
@@ -420,29 +476,22 @@ def _score_rows(rows: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataF
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocab = sent.value
         for batch in batches:
-            texts = texts_of(batch.column(3))
-            at = 0
-            while at < len(texts):
-                group, size, first = [], 0, at
-                while at < len(texts) and size < 2_000_000:
-                    group.append((batch.column(0)[at].as_py(), [*words_of(texts[at]), END]))
-                    size += len(texts[at])
-                    at += 1
-                yield from _score_group(group, batch.slice(first, at - first), model, vocab)
+            for at, texts in slices(batch.column(3)):
+                yield from _score_slice(batch.slice(at, len(texts)), texts, model, vocab)
 
     numbered = rows.select(F.monotonically_increasing_id().alias("__row"), "__id", "__held", "__text")
     schema = f"__row long, __id {id_type}, __held {held_type}, word binary, n long, n_known long, base double, lm double, unseen double"
     return numbered.mapInArrow(scored, schema)
 
 
-def _score_group(group: list, batch: pa.RecordBatch, model: LogBilinear, vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """``group``: number and words of each row of ``batch``."""
+def _score_slice(batch: pa.RecordBatch, texts: pa.Array, model: LogBilinear, vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """``batch``: number, id and fold of each text."""
     names = ["__row", "__id", "__held", "word", "n", "n_known", "base", "lm", "unseen"]
-    heavy, slots, start = vocab.heavy, vocab.slots, len(model.context) - 1
-    own = [np.array([vocab.unit(w) for w in words], dtype=np.int64) for _, words in group]
-    units = np.concatenate(own)
-    lm, hashed = model.log10_units(units, np.concatenate([contexts_of(c, start) for c in own]))
-    counts = np.array([heavy.get(w, -1) for _, words in group for w in words], dtype=np.int64)
+    slots = vocab.slots
+    words, tokens, first = tokens_of(texts)
+    units = np.array([vocab.unit(w) for w in words], dtype=np.int64)[tokens]
+    lm, hashed = model.log10_units(units, contexts_of(units, first, len(model.context) - 1))
+    counts = np.array([vocab.heavy.get(w, -1) for w in words], dtype=np.int64)[tokens]
     # Of a hashed word that is not broadcast, all but its count, which the join brings.
     shared = units >= slots.outputs + slots.own
     slot_counts = np.maximum(slots.counts[units[shared] - slots.outputs], 1)
@@ -451,22 +500,20 @@ def _score_group(group: list, batch: pa.RecordBatch, model: LogBilinear, vocab:
     known = counts > 0
     rare = shared & (counts < 0)
     base = np.where(known, vocab.base(np.maximum(counts, 0)), 0.0)
-    first = np.r_[0, np.cumsum([len(c) for c in own])[:-1]]
     # The end is on the first level even where no training text has taught its count.
     base[(counts < 0) & ~shared] = vocab.base(np.zeros(1))[0]
     sums = [np.add.reduceat(x, first) for x in (np.ones(len(known), np.int64), known.astype(np.int64), base, np.where(rare, 0.0, lm))]
-    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.nulls(len(group), pa.binary()), *map(pa.array, sums), pa.nulls(len(group), pa.float64())], names=names)
-    found: dict[tuple, list] = {}
-    tokens = [(row, w) for row, words in group for w in words]
-    for i in np.flatnonzero(rare).tolist():
-        total = found.setdefault(tokens[i], [0, 0.0, 0.0])
-        total[0], total[1], total[2] = total[0] + 1, total[1] + lm[i], total[2] + unseen[i]
-    if found:
-        row, word = zip(*found, strict=True)
-        n, seen_lm, unseen_lm = zip(*found.values(), strict=True)
-        none = [pa.nulls(len(row), batch.column(c).type) for c in (1, 2)]
-        arrays = [pa.array(row, pa.int64()), *none, pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.float64())]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(seen_lm, pa.float64()), pa.array(unseen_lm, pa.float64())], names=names)
+    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.nulls(len(texts), pa.binary()), *map(pa.array, sums), pa.nulls(len(texts), pa.float64())], names=names)
+    rare = np.flatnonzero(rare)
+    if rare.size:
+        # One row for each text and word.
+        of = np.searchsorted(first, rare, side="right") - 1
+        pairs, where = np.unique(of * len(words) + tokens[rare], return_inverse=True)
+        n, seen_lm, unseen_lm = (np.bincount(where, weights=w) for w in (None, lm[rare], unseen[rare]))
+        word = pa.array(words, pa.binary()).take(pa.array(pairs % len(words)))
+        none = [pa.nulls(len(pairs), batch.column(c).type) for c in (1, 2)]
+        arrays = [batch.column(0).take(pa.array(pairs // len(words))), *none, word, pa.array(n), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.float64())]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(seen_lm), pa.array(unseen_lm)], names=names)
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, heavy: int | None = None) -> DataFrame:

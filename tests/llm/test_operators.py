@@ -8,6 +8,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -410,7 +411,8 @@ class TestLanguageModel:
         n = len(vocab.class_counts)
         p = 10 ** model.log10_classes(np.arange(n), np.tile([[n, n]], (n, 1)))
         inside = 10 ** vocab.shares(np.array([2, 1, 1, 0]))
-        assert p.sum() == pytest.approx(1, abs=1e-5) and inside.sum() == pytest.approx(1)
+        # Each unseen type has the last share.
+        assert p.sum() == pytest.approx(1, abs=1e-5) and inside[:3].sum() + vocab.unseen_types * inside[3] == pytest.approx(1)
 
     def test_learns_context(self):
         rng = np.random.default_rng(11)
@@ -424,7 +426,7 @@ class TestLanguageModel:
         assert p > math.log10(0.6)
 
     def test_words_beyond_the_first_level(self, spark):
-        """Every word has a probability that its context changes; all of them and the unseen word sum to one."""
+        """Every word has a probability that its context changes; all of them and the unseen words sum to one."""
         rows = [(b"", 9000)] + [(b"w%d" % i, 40 - i // 100) for i in range(4000)] + [(b"once%d" % i, 1) for i in range(500)]
         vocab = lm.vocabulary(spark.createDataFrame(rows, "word binary, c long"), classes=50)
         assert vocab.slots.own >= 2048 and vocab.slots.hashed > 100
@@ -445,10 +447,34 @@ class TestLanguageModel:
             lp, rest = model.log10_units(units, np.full((len(units), 2), before))
             shared = units >= vocab.slots.outputs + vocab.slots.own
             lp[shared] += vocab.shares(c[shared], vocab.slots.counts[units[shared] - vocab.slots.outputs])
-            assert (10**lp).sum() + 10 ** (rest[0] + vocab.shares(np.zeros(1))[0]) == pytest.approx(1, abs=1e-4)
+            assert (10**lp).sum() + vocab.unseen_types * 10 ** (rest[0] + vocab.shares(np.zeros(1))[0]) == pytest.approx(1, abs=1e-4)
             own, other = (model.log10_classes(np.array([after]), np.array([[x, x]]))[0] for x in (before, n))
             assert own > other + 1
 
+    def test_unseen_words_are_many(self, spark):
+        """One of the types that the counts lack is no likelier than a word that was seen once."""
+        rows = [(b"", 900)] + [(b"w%d" % i, 50) for i in range(60)] + [(b"two%d" % i, 2) for i in range(200)] + [(b"once%d" % i, 1) for i in range(600)]
+        vocab = lm.vocabulary(spark.createDataFrame(rows, "word binary, c long"), classes=20)
+        assert vocab.unseen_types >= 600 * 599 / 402
+        assert vocab.shares(np.zeros(1))[0] <= vocab.shares(np.ones(1))[0] + 1e-9
+
+    def test_tokens_and_contexts(self):
+        texts = ["", " ", "A b\x0bc\x1cd", None, "  \u00c9 x ", "x", "y\u0085 Z z\n\n", "a b a"]
+        plain = [[*(t or "").encode().lower().split(), b""] for t in texts]
+        for column in (pa.array(texts), pa.array([*texts, "tail"]).slice(0, len(texts)), pa.array(texts, pa.large_string())):
+            words, tokens, first = lm.tokens_of(column)
+            assert [words[i] for i in tokens] == [w for t in plain for w in t]
+            assert first.tolist() == [sum(map(len, plain[:i])) for i in range(len(texts))]
+            before = [[b"^", b"^", *t] for t in plain]
+            found = lm.contexts_of(tokens, first, len(words))
+            assert [[[*words, b"^"][i] for i in row] for row in found] == [[t[i + 1], t[i]] for t in before for i in range(len(t) - 2)]
+
+    def test_slices_are_whole(self, monkeypatch):
+        monkeypatch.setattr(lm, "SLICE", 10)
+        texts = ["abcd", None, "x" * 25, "", "abcdefghij", "a"]
+        runs = list(lm.slices(pa.array(texts)))
+        assert [t for _, run in runs for t in run.to_pylist()] == texts and [at for at, _ in runs] == [0, 2, 3, 5]
+
     def test_slots_grow_with_the_counts(self, spark):
         rows = lambda k: spark.range(20 * k).select(F.col("id").cast("string").cast("binary").alias("word"), F.lit(1000 * k).cast("long").alias("c"))
         small, large = (lm.vocabulary(rows(k), classes=8).slots for k in (100, 1000))
