@@ -19,10 +19,15 @@ def place(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit("sample")), F.lit(1 << 32)) / float(1 << 32)
 
 
+def labels_of(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """``__id`` and ``__label`` (0 or 1) of all ids."""
+    each = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    return each.groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col).cast("int") > 0).cast("int").alias("__label"))
+
+
 def labelled_ids(labels: DataFrame, label_col: str, limit: int, id_col: str = "doc_id") -> DataFrame:
     """``__id`` and ``__label`` (0 or 1) of ``limit`` ids: half of each label, or more of one where the other has fewer."""
-    each = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    each = each.groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col).cast("int") > 0).cast("int").alias("__label"))
+    each = labels_of(labels, label_col, id_col)
     on, off = (x or 0 for x in each.agg(F.count_if(F.col("__label") == 1), F.count_if(F.col("__label") == 0)).first())
     take_on = min(on, max(limit // 2, limit - off))
     take_off = min(off, limit - take_on)

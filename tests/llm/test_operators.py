@@ -292,6 +292,31 @@ class TestClassifiers:
         assert quality.fit(docs_of(spark, rows), labels.where("quality = 1")) is None
         assert {r.score for r in quality.score(edges, None, keep=["doc_id"]).collect()} == {1.0} and quality.score(empty, model).count() == 0
 
+    def test_quality_is_learned_from_all_pairs(self, spark):
+        """The weights are where the gradient of the mean loss of all pairs is zero, also where labels contradict the texts."""
+        rng = random.Random(9)
+        rows = [(i, words(rng, rng.randint(5, 60)) + (" !!! $$$" * rng.randint(0, 9) if i % 3 == 0 else "")) for i in range(500)]
+        labelled = [(i, int(i % 3 > 0) if i % 10 else rng.randint(0, 1)) for i in range(500)]
+        model = quality.fit(docs_of(spark, rows), spark.createDataFrame(labelled, "doc_id long, quality int"))
+        y, x = np.array([q for _, q in labelled]), np.stack([quality.features(t) for _, t in rows])
+        assert model.cuts == pytest.approx(np.quantile(x, quality.QUANTILES, axis=0).T)
+        coded = model.coded(x)
+        raw = coded @ model.weights
+        lacking = 1 / (1 + np.exp(raw[y == 1][:, None] - raw[y == 0]))
+        pairs = (y == 1).sum() * (y == 0).sum()
+        gradient = (lacking.sum(axis=0) @ coded[y == 0] - lacking.sum(axis=1) @ coded[y == 1]) / pairs + 1e-3 * model.weights
+        assert np.abs(gradient).max() < 1e-4
+        assert model.threshold == pytest.approx(np.quantile(raw, (y == 0).mean())) and model.scale == pytest.approx(raw.std() / 2)
+
+    def test_quality_is_learned_from_all_rows(self, spark):
+        rows = [(i, f"a{i % 7} " * (1 + i % 5) + "b" * (1 + i % 211) + "!" * (i % 3)) for i in range(21_000)]
+        labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(21_000)], "doc_id long, quality int")
+        model = quality.fit(docs_of(spark, rows), labels)
+        x = np.stack([quality.features(t) for _, t in rows])
+        assert model.cuts == pytest.approx(np.quantile(x, quality.QUANTILES, axis=0).T)
+        raw = model.coded(x) @ model.weights
+        assert model.threshold == pytest.approx(np.quantile(raw, 1 / 3)) and model.scale == pytest.approx(raw.std() / 2)
+
 
 class TestLineDedup:
     @staticmethod
