@@ -57,6 +57,8 @@ PIECE = 4096
 #: Training partitions for each core, so that what the partitions send grows with the cluster, not with the corpus.
 WAVES = 4
 BATCH = 4096
+#: Contexts that are scored together, so that their logits stay in a core's cache; logits below ``LARGE`` have exponentials that floats hold.
+ROWS, LARGE = 256, 64.0
 #: The end of a text as a token; no word is empty.
 END = b""
 COUNT_WORDS = 500_000
@@ -261,25 +263,33 @@ class LogBilinear:
         outputs += d_other @ noises
         d_hidden = outputs
         steps = [
-            ("output", *_add_rows(np.concatenate([d_own[:, None] * hidden, d_other.T @ hidden]), np.r_[targets, sampled])),
-            ("bias", *_add_rows(np.concatenate([d_own, d_other.sum(axis=0)]), np.r_[targets, sampled])),
+            *self._summed(("output", "bias"), (d_own[:, None] * hidden, d_other.T @ hidden), (d_own, d_other.sum(axis=0)), np.r_[targets, sampled]),
         ]
         if inner_noise is not None:
             steps += self._learn_slots(units, hidden, d_hidden, inner_noise, rng)
-        steps.append(("context", *_add_rows(np.concatenate([d_hidden * self.position[i] for i in range(CONTEXT)]), contexts.T.ravel())))
+        at, where = _numbered(contexts.T.ravel(), len(self.context))
+        steps.append(("context", at, _add_rows(np.concatenate([d_hidden * self.position[i] for i in range(CONTEXT)]), where, len(at))))
         d_position = np.stack([np.einsum("ij,ij->j", d_hidden, self.context.take(contexts[:, i], axis=0)) for i in range(CONTEXT)])
         steps.append(("position", np.arange(CONTEXT), d_position))
         for name, at, gradient in steps:
-            step, param = (gradient / len(units)).astype(np.float32), getattr(self, name)
+            step, param = gradient.astype(np.float32), getattr(self, name)
+            step /= len(units)
             if name not in self.squares:
                 self.squares[name] = np.full(param.shape, 1e-6, np.float32)
-            squares = self.squares[name].take(at, axis=0) + step * step
+            squares = self.squares[name].take(at, axis=0)
+            squares += step * step
             self.squares[name][at] = squares
             step *= rate
             step /= np.sqrt(squares, out=squares)
             step += param.take(at, axis=0)
             param[at] = step
 
+    @staticmethod
+    def _summed(names: tuple[str, str], vectors: tuple[np.ndarray, np.ndarray], biases: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> list[tuple]:
+        """Steps of vectors and of biases, those of targets and those of noise, at the numbers ``at``."""
+        found, where = _numbered(at, int(at.max()) + 1)
+        return [(name, found, _add_rows(np.concatenate(parts), where, len(found))) for name, parts in zip(names, (vectors, biases), strict=True)]
+
     def _learn_slots(self, units: np.ndarray, hidden: np.ndarray, d_hidden: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> list[tuple]:
         """Steps of the second level; adds to ``d_hidden``. Tokens are laid out by group, in rows of ``SHARED`` at most."""
         slots = self.slots
@@ -288,9 +298,13 @@ class LogBilinear:
             return []
         slot = units[which] - slots.outputs
         group = slots.group(slot)
-        order = np.argsort(group, kind="stable")
+        # Short numbers are sorted by their digits.
+        order = np.argsort(group.astype(np.uint16) if slots.groups <= 1 << 16 else group, kind="stable")
         which, slot, group = which[order], slot[order], group[order]
-        groups, first, sizes = np.unique(group, return_index=True, return_counts=True)
+        sizes = np.bincount(group, minlength=slots.groups)
+        groups = np.flatnonzero(sizes)
+        sizes = sizes[groups]
+        first = np.cumsum(sizes) - sizes
         rows = -(-sizes // SHARED)
         column = np.arange(len(group)) - np.repeat(first, sizes)
         row = np.repeat(np.cumsum(rows) - rows, sizes) + column // SHARED
@@ -310,12 +324,8 @@ class LogBilinear:
         inner *= d_own[:, None]
         inner += (d_other @ vectors).reshape(-1, hidden.shape[1]).take(row * sizes.max() + column, axis=0)
         d_hidden[which] += inner
-        all_slots = np.r_[slot, sampled.ravel()]
         d_vectors = (d_other.transpose(0, 2, 1) @ laid).reshape(-1, hidden.shape[1])
-        return [
-            ("inner", *_add_rows(np.concatenate([d_own[:, None] * mine, d_vectors]), all_slots)),
-            ("inner_bias", *_add_rows(np.concatenate([d_own, d_other.sum(axis=1).ravel()]), all_slots)),
-        ]
+        return self._summed(("inner", "inner_bias"), (d_own[:, None] * mine, d_vectors), (d_own, d_other.sum(axis=1).ravel()), np.r_[slot, sampled.ravel()])
 
     def log10_classes(self, units: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities."""
@@ -327,12 +337,15 @@ class LogBilinear:
         distinct, first, where = np.unique(contexts[:, 0] * n + contexts[:, 1], return_index=True, return_inverse=True)
         z, hashed = np.empty(len(distinct)), np.full(len(distinct), -np.inf)
         hidden = self.predicted(contexts)
-        for at in range(0, len(distinct), 512):
-            s = slice(at, at + 512)
-            parts, top = _exponentials(hidden.take(first[s], axis=0), self.output, self.bias)
-            z[s] = top + np.log(parts.sum(axis=1))
+        # All outputs, and those of hashed slots.
+        sums = np.ones((len(self.output), 1 + (slots.hashed_groups > 0)), np.float32)
+        sums[: slots.head + slots.own_groups, 1:] = 0
+        for at in range(0, len(distinct), ROWS):
+            s = slice(at, at + ROWS)
+            logs = _log_sums(hidden.take(first[s], axis=0), self.output, self.bias, sums)
+            z[s] = logs[:, 0]
             if slots.hashed_groups:
-                hashed[s] = top + np.log(parts[:, slots.head + slots.own_groups :].sum(axis=1))
+                hashed[s] = logs[:, 1]
         targets = slots.first_level(units) if slots.groups else units
         own = np.einsum("ij,ij->i", hidden, self.output.take(targets, axis=0)) + self.bias[targets] - z[where]
         inside = np.flatnonzero(units >= slots.outputs)
@@ -340,11 +353,11 @@ class LogBilinear:
         for part in np.split(inside, np.flatnonzero(np.diff(targets[inside])) + 1) if inside.size else []:
             members = slots.members(int(targets[part[0]]) - slots.head)
             vectors, bias = np.ascontiguousarray(self.inner[members]), self.inner_bias[members]
-            for at in range(0, len(part), 1 << 11):
-                some = part[at : at + (1 << 11)]
-                mine, slot = hidden.take(some, axis=0), units[some] - slots.outputs
-                parts, top = _exponentials(mine, vectors, bias)
-                own[some] += np.einsum("ij,ij->i", mine, self.inner.take(slot, axis=0)) + self.inner_bias[slot] - top - np.log(parts.sum(axis=1))
+            for at in range(0, len(part), 2 * ROWS):
+                some = part[at : at + 2 * ROWS]
+                own[some] -= _log_sums(hidden.take(some, axis=0), vectors, bias, np.ones((len(bias), 1), np.float32))[:, 0]
+        slot = units[inside] - slots.outputs
+        own[inside] += np.einsum("ij,ij->i", hidden.take(inside, axis=0), self.inner.take(slot, axis=0)) + self.inner_bias[slot]
         return own / np.log(10), (hashed - z)[where] / np.log(10)
 
 
@@ -366,25 +379,47 @@ def noise_table(slots: Slots) -> np.ndarray:
     return sums - np.repeat(np.r_[0, sums[slots.starts[1:-1] - 1]], np.diff(slots.starts)) + group[slots.order]
 
 
-def _exponentials(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the logits of each row less its largest, and the largest."""
-    logits = hidden @ vectors.T
-    logits += bias
-    top = logits.max(axis=1)
-    logits -= top[:, None]
-    return np.exp(logits, out=logits), top
+def _log_sums(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Logs of the sums of exponentials of each row's logits, a column for each of ``sums``, weights of the outputs."""
+    # The bias is one more column of the product.
+    logits = np.c_[hidden, np.ones(len(hidden), np.float32)] @ np.vstack([vectors.T, bias])
+    # No logit is beyond this, so most need no largest one taken off.
+    bound = np.sqrt(np.einsum("ij,ij->i", hidden, hidden).max() * np.einsum("ij,ij->i", vectors, vectors).max()) + np.abs(bias).max()
+    top = np.zeros(1, np.float32)
+    if not bound < LARGE:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+    return np.log(np.exp(logits, out=logits) @ sums) + top[:, None]
 
 
 def _lacking(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the log odds of data and of noise lack."""
-    return 1 / (1 + np.exp(np.clip(own, -30, 30))), -1 / (1 + np.exp(-np.clip(other, -30, 30)))
-
-
-def _add_rows(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
-    found, first = np.unique(at[order], return_index=True)
-    return found, np.add.reduceat(values.take(order, axis=0), first, axis=0)
+    """What the log odds of data and of noise lack. Overwrites both."""
+    for odds, sign in ((own, 1), (other, -1)):
+        np.clip(odds, -30, 30, out=odds)
+        if sign < 0:
+            np.negative(odds, out=odds)
+        np.exp(odds, out=odds)
+        odds += 1
+        np.divide(sign, odds, out=odds)
+    return own, other
+
+
+def _numbered(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers (below ``n``) in order, and the place of each among them."""
+    there = np.zeros(n, dtype=bool)
+    there[at] = True
+    found, places = np.flatnonzero(there), np.empty(n, dtype=np.int64)
+    places[found] = np.arange(len(found))
+    return found, places.take(at)
+
+
+def _add_rows(values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows at each of ``n`` places."""
+    if values.ndim == 1:
+        return np.bincount(where, values, n)
+    width = values.shape[1]
+    cells = (where[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cells, values.ravel(), n * width).reshape(n, width)
 
 
 def contexts_of(units: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:

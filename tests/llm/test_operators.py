@@ -505,6 +505,23 @@ class TestLanguageModel:
         small, large = (lm.vocabulary(rows(k), classes=8).slots for k in (100, 1000))
         assert large.own >= 5 * small.own and large.hashed >= 5 * small.hashed
 
+    def test_sums_of_rows_and_of_exponentials(self):
+        rng = np.random.default_rng(14)
+        at, values = rng.integers(0, 50, 400), rng.normal(size=(400, 3)).astype(np.float32)
+        found, where = lm._numbered(at, 60)
+        assert found.tolist() == sorted(set(at.tolist())) and (found[where] == at).all()
+        assert lm._add_rows(values, where, len(found)) == pytest.approx(np.stack([values[at == k].sum(axis=0) for k in found]), abs=1e-4)
+        vectors, bias, sums = rng.normal(size=(9, 3)).astype(np.float32), rng.normal(size=9).astype(np.float32), np.ones((9, 2), np.float32)
+        sums[:4, 1] = 0
+        # Also logits whose exponentials no float holds.
+        for scale in (1, 300):
+            hidden = (rng.normal(size=(20, 3)) * scale).astype(np.float32)
+            logits = hidden.astype(float) @ vectors.T + bias
+            # A part may be too small beside the largest term, as before; the whole never is.
+            assert lm._log_sums(hidden, vectors, bias, sums[:, :1])[:, 0] == pytest.approx(np.logaddexp.reduce(logits, axis=1), rel=1e-4, abs=1e-3)
+            if scale == 1:
+                assert lm._log_sums(hidden, vectors, bias, sums)[:, 1] == pytest.approx(np.logaddexp.reduce(logits[:, 4:], axis=1), rel=1e-4, abs=1e-3)
+
     def test_empty(self, empty, edges):
         assert lm.score_texts(empty, F.lit(False)).count() == 0
         assert lm.score_texts(edges, F.lit(True)).count() == len(EDGES)
