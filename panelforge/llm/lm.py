@@ -9,7 +9,8 @@ before. Its vector is the sum of their vectors, each weighted by position, and a
 the product of that vector with the output's own plus a bias. Training is noise-contrastive estimation
 with numpy over every training text, the noise of a slot being other slots of its group: each Spark
 partition takes one pass over its own texts, from the same start, and the parameters are averaged,
-weighted by tokens. Scoring normalises both levels exactly, by batched matrix products.
+weighted by tokens. Scoring normalises both levels exactly: the first by products of exponentials of the units
+before, the second by batched matrix products.
 
 A word in a hashed slot has the slot's probability times its share of the slot's count. A fixed part of
 the probability of all hashed slots, freed by discounts, is that of the words that training has not seen;
@@ -27,10 +28,11 @@ Other columns may have any names.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -58,12 +60,14 @@ PIECE = 4096
 WAVES = 4
 BATCH = 4096
 #: Contexts that are scored together, so that their logits stay in a core's cache; logits below ``LARGE`` have exponentials that floats hold.
-ROWS, LARGE = 256, 64.0
+ROWS, LARGE = 512, 64.0
+#: Exponentials of one position's units that are held at once.
+TABLE = 1 << 23
 #: The end of a text as a token; no word is empty.
 END = b""
 COUNT_WORDS = 500_000
 #: Bytes of texts whose tokens are numbered and scored together; a longer text is alone.
-SLICE = 2_000_000
+SLICE = 6_000_000
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -78,13 +82,20 @@ def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 def tokens_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct tokens, all tokens of the texts by their place among them, and where each text begins."""
+    words, found, first = _tokens_of(texts)
+    return words.to_pylist(), found, first
+
+
+def _tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``tokens_of`` with the distinct tokens as an Arrow column."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     numbered = lists.flatten().dictionary_encode()
-    words = numbered.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+    words = numbered.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
     # White space at either end leaves an empty word; the end of a text takes its number.
-    if END not in words:
-        words.append(END)
-    codes, end = numbered.indices.to_numpy(zero_copy_only=False), words.index(END)
+    end = pc.index(words, pa.scalar(END, words.type)).as_py()
+    if end < 0:
+        words, end = pa.concat_arrays([words, pa.array([END], words.type)]), len(words)
+    codes = numbered.indices.to_numpy(zero_copy_only=False)
     kept = codes != end
     before = np.r_[0, np.cumsum(kept)]
     bounds = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
@@ -100,24 +111,32 @@ def token_counts(rows: DataFrame) -> DataFrame:
     """``word`` and ``c`` over all texts of ``rows`` (``__text``), the end among them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        held, rows, summed = [], 0, 0
 
         for batch in batches:
             for _, texts in slices(batch.column(0)):
-                words, tokens, _ = tokens_of(texts)
-                for word, n in zip(words, np.bincount(tokens, minlength=len(words)).tolist(), strict=True):
-                    counts[word] += n
-                if len(counts) >= COUNT_WORDS:
-                    yield flush()
-                    counts.clear()
-        yield flush()
+                words, tokens, _ = _tokens_of(texts)
+                held.append(pa.table({"word": words.cast(pa.binary()), "c": np.bincount(tokens, minlength=len(words))}))
+                rows += len(words)
+                # Summed again when they have doubled.
+                if rows >= max(COUNT_WORDS, 2 * summed):
+                    held = [_summed_counts(held)]
+                    rows = summed = len(held[0])
+                if summed >= COUNT_WORDS:
+                    yield from held[0].to_batches()
+                    held, rows, summed = [], 0, 0
+        if held:
+            yield from _summed_counts(held).to_batches()
 
     return rows.select("__text").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _summed_counts(parts: list[pa.Table]) -> pa.Table:
+    """The counts of each word over all parts."""
+    found = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+    return pa.table({"word": found["word"], "c": found["c_sum"]}).combine_chunks()
+
+
 @dataclass
 class Slots:
     """The second level: slots of words' own, then hashed ones, dealt in turn to their groups.
@@ -141,8 +160,13 @@ class Slots:
     def members(self, group: int) -> slice:
         return slice(group, self.own, self.own_groups) if group < self.own_groups else slice(self.own + group - self.own_groups, None, self.hashed_groups)
 
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Of each unit, the output of the first level."""
+        return np.r_[np.arange(self.outputs), self.head + self.group(np.arange(len(self.counts)))]
+
     def first_level(self, units: np.ndarray) -> np.ndarray:
-        return np.where(units < self.outputs, units, self.head + self.group(units - self.outputs))
+        return self.first.take(units)
 
 
 @dataclass
@@ -162,6 +186,25 @@ class Vocabulary:
         at = self.classes.get(word)
         return self.slots.outputs + self.slots.own + crc32(word) % self.slots.hashed if at is None else at
 
+    def units_of(self, words: pa.Array) -> np.ndarray:
+        found = _values_of(words, *self._classes, -1)
+        missing = np.flatnonzero(found < 0)
+        hashed = np.fromiter(map(crc32, words.take(pa.array(missing)).to_pylist()), np.int64, len(missing))
+        found[missing] = self.slots.outputs + self.slots.own + hashed % self.slots.hashed
+        return found
+
+    def counts_of(self, words: pa.Array) -> np.ndarray:
+        """The counts of those that are broadcast; of others -1."""
+        return _values_of(words, *self._heavy, -1)
+
+    @cached_property
+    def _classes(self) -> tuple[pa.Array, np.ndarray]:
+        return pa.array(self.classes, pa.binary()), np.array([*self.classes.values()], dtype=np.int64)
+
+    @cached_property
+    def _heavy(self) -> tuple[pa.Array, np.ndarray]:
+        return pa.array(self.heavy, pa.binary()), np.array([*self.heavy.values()], dtype=np.int64)
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.tokens + self.types + 1))
 
@@ -171,6 +214,12 @@ class Vocabulary:
         return np.log10(np.where(c > 0, (1 - self.unseen) * c / n, self.unseen / self.unseen_types))
 
 
+def _values_of(words: pa.Array, keys: pa.Array, values: np.ndarray, other: int) -> np.ndarray:
+    """The value of each word's key, ``other`` where there is none."""
+    at = pc.fill_null(pc.index_in(words, keys.cast(words.type)), len(keys)).to_numpy(zero_copy_only=False)
+    return np.r_[values, other].take(at)
+
+
 def vocabulary(counts: DataFrame, classes: int = CLASSES, heavy: int | None = None) -> Vocabulary:
     totals = counts.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     tokens, types, once, twice = (x or 0 for x in totals)
@@ -252,27 +301,46 @@ class LogBilinear:
     def learn(self, units: np.ndarray, contexts: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float, inner_noise: np.ndarray | None = None) -> None:
         """One Adagrad step of noise-contrastive estimation; the noise samples are shared by the batch or its group."""
         targets = self.slots.first_level(units) if self.slots.groups else units
+        # In order of their outputs, so those of an output or a group lie together. Short numbers are sorted by their digits.
+        order = np.argsort(targets.astype(np.uint16) if len(self.output) <= 1 << 16 else targets, kind="stable")
+        units, targets, contexts = units[order], targets[order], [np.ascontiguousarray(contexts[order, i]) for i in range(CONTEXT)]
         sampled = np.searchsorted(np.cumsum(noise), rng.random(NOISE)).clip(max=len(noise) - 1)
-        log_noise = np.log(NOISE * noise).astype(np.float32)
-        hidden = self.predicted(contexts)
+        bias = self.bias - np.log(NOISE * noise).astype(np.float32)
+        before = [self.context.take(at, axis=0) for at in contexts]
+        hidden = before[0] * self.position[0]
+        for i in range(1, CONTEXT):
+            hidden += before[i] * self.position[i]
         outputs, noises = self.output.take(targets, axis=0), self.output.take(sampled, axis=0)
-        own = np.einsum("ij,ij->i", hidden, outputs) + (self.bias - log_noise)[targets]
-        other = hidden @ noises.T + (self.bias - log_noise)[sampled]
-        d_own, d_other = _lacking(own, other)
-        outputs *= d_own[:, None]
-        outputs += d_other @ noises
+        d_own = _lacking(np.einsum("ij,ij->i", hidden, outputs) + bias[targets], 1)
         d_hidden = outputs
-        steps = [
-            *self._summed(("output", "bias"), (d_own[:, None] * hidden, d_other.T @ hidden), (d_own, d_other.sum(axis=0)), np.r_[targets, sampled]),
-        ]
-        if inner_noise is not None:
-            steps += self._learn_slots(units, hidden, d_hidden, inner_noise, rng)
-        at, where = _numbered(contexts.T.ravel(), len(self.context))
-        steps.append(("context", at, _add_rows(np.concatenate([d_hidden * self.position[i] for i in range(CONTEXT)]), where, len(at))))
-        d_position = np.stack([np.einsum("ij,ij->j", d_hidden, self.context.take(contexts[:, i], axis=0)) for i in range(CONTEXT)])
-        steps.append(("position", np.arange(CONTEXT), d_position))
+        d_hidden *= d_own[:, None]
+        across, ones = np.ascontiguousarray(noises.T), np.ones(ROWS, np.float32)
+        d_noises, d_noise_bias, odds = np.zeros_like(noises), np.zeros(NOISE), np.empty((ROWS, NOISE), np.float32)
+        for at in range(0, len(units), ROWS):
+            some, to = hidden[at : at + ROWS], d_hidden[at : at + ROWS]
+            d_other = np.matmul(some, across, out=odds[: len(some)])
+            d_other += bias[sampled]
+            _lacking(d_other, -1)
+            to += d_other @ noises
+            d_noises += d_other.T @ some
+            d_noise_bias += ones[: len(some)] @ d_other
+        # The first level is small, so all of it takes the step.
+        every, firsts = np.arange(len(self.output)), np.flatnonzero(np.diff(targets, prepend=-1))
+        d_output = np.zeros_like(self.output)
+        d_output[targets[firsts]] = np.add.reduceat(hidden * d_own[:, None], firsts, axis=0)
+        np.add.at(d_output, sampled, d_noises)
+        steps = [("output", every, d_output), ("bias", every, np.bincount(targets, d_own, len(every)) + np.bincount(sampled, d_noise_bias, len(every)))]
+        begin = int(np.searchsorted(targets, self.slots.head))
+        if inner_noise is not None and begin < len(units):
+            steps += self._learn_slots(units[begin:] - self.slots.outputs, targets[begin:] - self.slots.head, hidden[begin:], d_hidden[begin:], inner_noise, rng)
+        at, where = _numbered(np.concatenate(contexts), len(self.context))
+        d_context = None
+        for i in range(CONTEXT):
+            d_context = _add_rows(d_hidden * self.position[i], where[i * len(units) : (i + 1) * len(units)], len(at), d_context)
+        steps.append(("context", at, d_context))
+        steps.append(("position", np.arange(CONTEXT), np.stack([np.einsum("ij,ij->j", d_hidden, x) for x in before])))
         for name, at, gradient in steps:
-            step, param = gradient.astype(np.float32), getattr(self, name)
+            step, param = gradient.astype(np.float32, copy=False), getattr(self, name)
             step /= len(units)
             if name not in self.squares:
                 self.squares[name] = np.full(param.shape, 1e-6, np.float32)
@@ -284,48 +352,35 @@ class LogBilinear:
             step += param.take(at, axis=0)
             param[at] = step
 
-    @staticmethod
-    def _summed(names: tuple[str, str], vectors: tuple[np.ndarray, np.ndarray], biases: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> list[tuple]:
-        """Steps of vectors and of biases, those of targets and those of noise, at the numbers ``at``."""
-        found, where = _numbered(at, int(at.max()) + 1)
-        return [(name, found, _add_rows(np.concatenate(parts), where, len(found))) for name, parts in zip(names, (vectors, biases), strict=True)]
-
-    def _learn_slots(self, units: np.ndarray, hidden: np.ndarray, d_hidden: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-        """Steps of the second level; adds to ``d_hidden``. Tokens are laid out by group, in rows of ``SHARED`` at most."""
+    def _learn_slots(self, slot: np.ndarray, group: np.ndarray, hidden: np.ndarray, d_hidden: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> list[tuple]:
+        """Steps of the second level; adds to ``d_hidden``. Tokens come in order of groups and are laid out in rows of ``SHARED`` at most."""
         slots = self.slots
-        which = np.flatnonzero(units >= slots.outputs)
-        if not which.size:
-            return []
-        slot = units[which] - slots.outputs
-        group = slots.group(slot)
-        # Short numbers are sorted by their digits.
-        order = np.argsort(group.astype(np.uint16) if slots.groups <= 1 << 16 else group, kind="stable")
-        which, slot, group = which[order], slot[order], group[order]
-        sizes = np.bincount(group, minlength=slots.groups)
-        groups = np.flatnonzero(sizes)
-        sizes = sizes[groups]
-        first = np.cumsum(sizes) - sizes
+        firsts = np.flatnonzero(np.diff(group, prepend=-1))
+        groups, sizes = group[firsts], np.diff(firsts, append=len(group))
         rows = -(-sizes // SHARED)
-        column = np.arange(len(group)) - np.repeat(first, sizes)
+        column = np.arange(len(group)) - np.repeat(firsts, sizes)
         row = np.repeat(np.cumsum(rows) - rows, sizes) + column // SHARED
         groups, column = np.repeat(groups, rows), column % SHARED
         sizes = np.bincount(row)
-        at = np.searchsorted(noise, groups[:, None] + rng.random((len(groups), SLOT_NOISE))).clip(max=len(noise) - 1)
+        cells = row * sizes.max() + column
+        at = np.searchsorted(noise, groups[:, None] + np.sort(rng.random((len(groups), SLOT_NOISE)), axis=1)).clip(max=len(noise) - 1)
         sampled = slots.order[np.clip(at, slots.starts[groups][:, None], slots.starts[groups + 1][:, None] - 1)]
-        mine = hidden.take(which, axis=0)
         laid = np.zeros((len(groups), sizes.max(), hidden.shape[1]), np.float32)
-        laid[row, column] = mine
+        laid.reshape(-1, hidden.shape[1])[cells] = hidden
         vectors, inner = self.inner.take(sampled, axis=0), self.inner.take(slot, axis=0)
         bias = self.inner_bias - slots.log_noise
-        own = np.einsum("ij,ij->i", mine, inner) + bias.take(slot)
-        other = laid @ vectors.transpose(0, 2, 1) + bias.take(sampled)[:, None]
-        d_own, d_other = _lacking(own, other)
+        d_own = _lacking(np.einsum("ij,ij->i", hidden, inner) + bias.take(slot), 1)
+        d_other = laid @ vectors.transpose(0, 2, 1)
+        d_other += bias.take(sampled)[:, None]
+        d_other = _lacking(d_other, -1)
         d_other[np.arange(sizes.max()) >= sizes[:, None]] = 0
         inner *= d_own[:, None]
-        inner += (d_other @ vectors).reshape(-1, hidden.shape[1]).take(row * sizes.max() + column, axis=0)
-        d_hidden[which] += inner
+        inner += (d_other @ vectors).reshape(-1, hidden.shape[1]).take(cells, axis=0)
+        d_hidden += inner
         d_vectors = (d_other.transpose(0, 2, 1) @ laid).reshape(-1, hidden.shape[1])
-        return self._summed(("inner", "inner_bias"), (d_own[:, None] * mine, d_vectors), (d_own, d_other.sum(axis=1).ravel()), np.r_[slot, sampled.ravel()])
+        found, where = _numbered(np.r_[slot, sampled.ravel()], len(slots.counts))
+        d_inner = _add_rows(d_vectors, where[len(slot) :], len(found), _add_rows(hidden * d_own[:, None], where[: len(slot)], len(found)))
+        return [("inner", found, d_inner), ("inner_bias", found, np.bincount(where, np.r_[d_own, d_other.sum(axis=1).ravel()], len(found)))]
 
     def log10_classes(self, units: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities."""
@@ -333,32 +388,79 @@ class LogBilinear:
 
     def log10_units(self, units: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Normalised log10 probabilities of the units and of all hashed slots together."""
-        n, slots = len(self.context), self.slots
-        distinct, first, where = np.unique(contexts[:, 0] * n + contexts[:, 1], return_index=True, return_inverse=True)
-        z, hashed = np.empty(len(distinct)), np.full(len(distinct), -np.inf)
-        hidden = self.predicted(contexts)
-        # All outputs, and those of hashed slots.
-        sums = np.ones((len(self.output), 1 + (slots.hashed_groups > 0)), np.float32)
-        sums[: slots.head + slots.own_groups, 1:] = 0
-        for at in range(0, len(distinct), ROWS):
-            s = slice(at, at + ROWS)
-            logs = _log_sums(hidden.take(first[s], axis=0), self.output, self.bias, sums)
-            z[s] = logs[:, 0]
-            if slots.hashed_groups:
-                hashed[s] = logs[:, 1]
-        targets = slots.first_level(units) if slots.groups else units
-        own = np.einsum("ij,ij->i", hidden, self.output.take(targets, axis=0)) + self.bias[targets] - z[where]
+        slots = self.slots
+        own, hashed = self._first_level(slots.first_level(units) if slots.groups else units, contexts)
         inside = np.flatnonzero(units >= slots.outputs)
-        inside = inside[np.argsort(targets[inside], kind="stable")]
-        for part in np.split(inside, np.flatnonzero(np.diff(targets[inside])) + 1) if inside.size else []:
-            members = slots.members(int(targets[part[0]]) - slots.head)
-            vectors, bias = np.ascontiguousarray(self.inner[members]), self.inner_bias[members]
-            for at in range(0, len(part), 2 * ROWS):
-                some = part[at : at + 2 * ROWS]
-                own[some] -= _log_sums(hidden.take(some, axis=0), vectors, bias, np.ones((len(bias), 1), np.float32))[:, 0]
         slot = units[inside] - slots.outputs
-        own[inside] += np.einsum("ij,ij->i", hidden.take(inside, axis=0), self.inner.take(slot, axis=0)) + self.inner_bias[slot]
-        return own / np.log(10), (hashed - z)[where] / np.log(10)
+        group = slots.first_level(units[inside]) - slots.head
+        order = np.argsort(group.astype(np.uint16) if slots.groups <= 1 << 16 else group, kind="stable")
+        inside, slot, group = inside[order], slot[order], group[order]
+        more, bounds = np.empty(len(inside)), [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(group)]
+        for start, end in itertools.pairwise(bounds):
+            members = slots.members(int(group[start]))
+            vectors, bias = np.ascontiguousarray(self.inner[members]), self.inner_bias[members]
+            for at in range(start, end, ROWS):
+                s = slice(at, min(at + ROWS, end))
+                hidden = self.predicted(contexts.take(inside[s], axis=0))
+                more[s] = np.einsum("ij,ij->i", hidden, self.inner.take(slot[s], axis=0))
+                more[s] -= _log_sums(hidden, vectors, bias)[:, 0]
+        own[inside] += more + self.inner_bias[slot]
+        return own / np.log(10), hashed / np.log(10)
+
+    def _first_level(self, targets: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the targets and of all hashed slots together.
+
+        A logit is the sum of a part of each unit before and the bias, so its exponential is the product of theirs:
+        exponentials are taken of the distinct units, not of every context.
+        """
+        slots, first_hashed = self.slots, self.slots.head + self.slots.own_groups
+        longest = np.sqrt(np.einsum("ij,ij->i", self.output, self.output).max())
+        parts, places, reach = [], [], np.full(len(contexts), np.abs(self.bias).max())
+        for i in range(CONTEXT):
+            units, where = _numbered(contexts[:, i], len(self.context))
+            parts.append(self.context.take(units, axis=0) * self.position[i])
+            places.append(where)
+            reach += (np.sqrt(np.einsum("ij,ij->i", parts[i], parts[i])) * longest).take(where)
+        # All outputs, and those of hashed slots.
+        sums = np.zeros((len(contexts), 2), np.float32)
+        width = max(32, TABLE // max(1, *map(len, parts)))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for at in range(0, len(self.output), width):
+                outputs = slice(at, at + width)
+                columns = np.ones((len(self.output[outputs]), 2), np.float32)
+                columns[: max(0, first_hashed - at), 1] = 0
+                tables = [_exponentials(part, self.output[outputs], None if i else self.bias[outputs]) for i, part in enumerate(parts)]
+                for row in range(0, len(contexts), ROWS):
+                    s = slice(row, row + ROWS)
+                    product = tables[0].take(places[0][s], axis=0)
+                    for table, where in zip(tables[1:], places[1:], strict=True):
+                        product *= table.take(where[s], axis=0)
+                    sums[s] += product @ columns
+        # Exponentials that floats may not hold: the largest logit is taken off first.
+        far = ~(reach < LARGE)
+        own, hashed = np.empty(len(contexts)), np.empty(len(contexts))
+        columns = np.ones((len(self.output), 2), np.float32)
+        columns[:first_hashed, 1] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for row in range(0, len(contexts), ROWS):
+                s = slice(row, row + ROWS)
+                hidden, logs = self.predicted(contexts[s]), np.log(sums[s], dtype=np.float64)
+                if far[s].any():
+                    logs[far[s]] = _log_sums(hidden[far[s]], self.output, self.bias, columns)
+                own[s] = np.einsum("ij,ij->i", hidden, self.output.take(targets[s], axis=0)) + self.bias[targets[s]] - logs[:, 0]
+                hashed[s] = logs[:, 1] - logs[:, 0]
+        return own, hashed
+
+
+def _exponentials(rows: np.ndarray, outputs: np.ndarray, bias: np.ndarray | None) -> np.ndarray:
+    """Of the products of rows and outputs, plus a bias of the outputs."""
+    found, vectors = np.empty((len(rows), len(outputs)), np.float32), np.ascontiguousarray(outputs.T)
+    for at in range(0, len(rows), ROWS):
+        some = np.matmul(rows[at : at + ROWS], vectors, out=found[at : at + ROWS])
+        if bias is not None:
+            some += bias
+        np.exp(some, out=some)
+    return found
 
 
 def slot_noise(slots: Slots) -> np.ndarray:
@@ -379,29 +481,29 @@ def noise_table(slots: Slots) -> np.ndarray:
     return sums - np.repeat(np.r_[0, sums[slots.starts[1:-1] - 1]], np.diff(slots.starts)) + group[slots.order]
 
 
-def _log_sums(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Logs of the sums of exponentials of each row's logits, a column for each of ``sums``, weights of the outputs."""
-    # The bias is one more column of the product.
-    logits = np.c_[hidden, np.ones(len(hidden), np.float32)] @ np.vstack([vectors.T, bias])
+def _log_sums(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """Logs of the sums of exponentials of each row's logits, a column for each of ``sums``, weights of the outputs (none: 1)."""
+    sums = np.ones((len(vectors), 1), np.float32) if sums is None else sums
     # No logit is beyond this, so most need no largest one taken off.
     bound = np.sqrt(np.einsum("ij,ij->i", hidden, hidden).max() * np.einsum("ij,ij->i", vectors, vectors).max()) + np.abs(bias).max()
-    top = np.zeros(1, np.float32)
-    if not bound < LARGE:
-        top = logits.max(axis=1)
-        logits -= top[:, None]
+    logits = hidden @ vectors.T
+    if bound < LARGE:
+        return np.log(np.exp(logits, out=logits) @ (sums * np.exp(bias)[:, None]))
+    logits += bias
+    top = logits.max(axis=1)
+    logits -= top[:, None]
     return np.log(np.exp(logits, out=logits) @ sums) + top[:, None]
 
 
-def _lacking(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the log odds of data and of noise lack. Overwrites both."""
-    for odds, sign in ((own, 1), (other, -1)):
-        np.clip(odds, -30, 30, out=odds)
-        if sign < 0:
-            np.negative(odds, out=odds)
+def _lacking(odds: np.ndarray, sign: int) -> np.ndarray:
+    """What the log odds of data (sign 1) or noise (-1) lack. Overwrites them."""
+    if sign < 0:
+        np.negative(odds, out=odds)
+    # An exponential that no float holds leaves nothing lacking.
+    with np.errstate(over="ignore"):
         np.exp(odds, out=odds)
-        odds += 1
-        np.divide(sign, odds, out=odds)
-    return own, other
+    odds += 1
+    return np.divide(sign, odds, out=odds)
 
 
 def _numbered(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -413,13 +515,16 @@ def _numbered(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return found, places.take(at)
 
 
-def _add_rows(values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-    """The sums of the rows at each of ``n`` places."""
-    if values.ndim == 1:
-        return np.bincount(where, values, n)
+def _add_rows(values: np.ndarray, where: np.ndarray, n: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """The sums of the rows at each of ``n`` places, added to ``sums`` if they are given."""
     width = values.shape[1]
-    cells = (where[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(cells, values.ravel(), n * width).reshape(n, width)
+    if sums is None:
+        sums = np.zeros((n, width), values.dtype)
+    # Two floats are added at once, as one complex number.
+    pairs = np.complex64 if values.dtype == np.float32 and width % 2 == 0 else values.dtype
+    to, values = sums.view(pairs), np.ascontiguousarray(values).view(pairs)
+    np.add.at(to.reshape(-1), (where[:, None] * to.shape[1] + np.arange(to.shape[1])).ravel(), values.ravel())
+    return sums
 
 
 def contexts_of(units: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
@@ -457,8 +562,8 @@ def train(rows: DataFrame, vocab: Vocabulary, dim: int = DIM, rate: float = 0.1,
 
         for batch in batches:
             for _, texts in slices(batch.column(0)):
-                words, tokens, first = tokens_of(texts)
-                units = np.array([vocab.unit(w) for w in words], dtype=np.int64)[tokens]
+                words, tokens, first = _tokens_of(texts)
+                units = vocab.units_of(words)[tokens]
                 held.append((units, contexts_of(units, first, len(own.context) - 1)))
                 waiting += len(units)
                 if waiting >= 16 * BATCH:
@@ -523,10 +628,10 @@ def _score_slice(batch: pa.RecordBatch, texts: pa.Array, model: LogBilinear, voc
     """``batch``: number, id and fold of each text."""
     names = ["__row", "__id", "__held", "word", "n", "n_known", "base", "lm", "unseen"]
     slots = vocab.slots
-    words, tokens, first = tokens_of(texts)
-    units = np.array([vocab.unit(w) for w in words], dtype=np.int64)[tokens]
+    words, tokens, first = _tokens_of(texts)
+    units = vocab.units_of(words)[tokens]
     lm, hashed = model.log10_units(units, contexts_of(units, first, len(model.context) - 1))
-    counts = np.array([vocab.heavy.get(w, -1) for w in words], dtype=np.int64)[tokens]
+    counts = vocab.counts_of(words)[tokens]
     # Of a hashed word that is not broadcast, all but its count, which the join brings.
     shared = units >= slots.outputs + slots.own
     slot_counts = np.maximum(slots.counts[units[shared] - slots.outputs], 1)
@@ -545,7 +650,7 @@ def _score_slice(batch: pa.RecordBatch, texts: pa.Array, model: LogBilinear, voc
         of = np.searchsorted(first, rare, side="right") - 1
         pairs, where = np.unique(of * len(words) + tokens[rare], return_inverse=True)
         n, seen_lm, unseen_lm = (np.bincount(where, weights=w) for w in (None, lm[rare], unseen[rare]))
-        word = pa.array(words, pa.binary()).take(pa.array(pairs % len(words)))
+        word = words.cast(pa.binary()).take(pa.array(pairs % len(words)))
         none = [pa.nulls(len(pairs), batch.column(c).type) for c in (1, 2)]
         arrays = [batch.column(0).take(pa.array(pairs // len(words))), *none, word, pa.array(n), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.float64())]
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(seen_lm), pa.array(unseen_lm)], names=names)

@@ -522,6 +522,32 @@ class TestLanguageModel:
             if scale == 1:
                 assert lm._log_sums(hidden, vectors, bias, sums)[:, 1] == pytest.approx(np.logaddexp.reduce(logits[:, 4:], axis=1), rel=1e-4, abs=1e-3)
 
+    def test_exponentials_are_of_units_and_not_of_contexts(self, monkeypatch):
+        """Each unit at each place before a token has its exponentials once, however many contexts it is in."""
+        rng, n = np.random.default_rng(15), 300
+        model = lm.LogBilinear.start(rng.integers(1, 50, n).astype(float))
+        model.position[:] = rng.normal(1, 0.2, model.position.shape)
+        contexts, targets = rng.integers(0, 40, (3000, 2)), rng.integers(0, n, 3000)
+        # The last vectors are so long that no float holds the exponentials.
+        for longest in (1, 400):
+            model.context[35:] *= longest
+            logits = sum(model.context[contexts[:, i]].astype(float) * model.position[i] for i in range(2)) @ model.output.T + model.bias
+            plain = (logits[np.arange(3000), targets] - np.logaddexp.reduce(logits, axis=1)) / np.log(10)
+            taken, exp = [], np.exp
+            monkeypatch.setattr(np, "exp", lambda x, taken=taken, exp=exp, **to: taken.append(np.size(x)) or exp(x, **to))
+            found = model.log10_classes(targets, contexts)
+            monkeypatch.undo()
+            assert found == pytest.approx(plain, rel=1e-4, abs=1e-3)
+            assert longest > 1 or sum(taken) <= 2 * 40 * n
+
+    def test_counts_of_partitions_are_summed(self, spark, monkeypatch):
+        monkeypatch.setattr(lm, "SLICE", 50)
+        monkeypatch.setattr(lm, "COUNT_WORDS", 7)
+        texts = ["a b c", "", "a a \u00e9", None, "d e f g h i j k l m n o", "A B"] * 5
+        plain = collections.Counter(w for t in texts for w in [*(t or "").encode().lower().split(), b""])
+        rows = spark.createDataFrame([(t,) for t in texts], "__text string").coalesce(1)
+        assert {bytes(r.word): r.c for r in lm.token_counts(rows).collect()} == plain
+
     def test_empty(self, empty, edges):
         assert lm.score_texts(empty, F.lit(False)).count() == 0
         assert lm.score_texts(edges, F.lit(True)).count() == len(EDGES)
