@@ -189,7 +189,7 @@ class Vocabulary:
     def units_of(self, words: pa.Array) -> np.ndarray:
         found = _values_of(words, *self._classes, -1)
         missing = np.flatnonzero(found < 0)
-        hashed = np.fromiter(map(crc32, words.take(pa.array(missing)).to_pylist()), np.int64, len(missing))
+        hashed = np.fromiter(map(crc32, words.take(pa.array(missing)).to_numpy(zero_copy_only=False)), np.int64, len(missing))
         found[missing] = self.slots.outputs + self.slots.own + hashed % self.slots.hashed
         return found
 
@@ -279,15 +279,6 @@ class LogBilinear:
         bias = np.log((counts + 1) / (counts.sum() + n)).astype(np.float32)
         return cls(context, output, np.ones((CONTEXT, dim), np.float32), bias, inner, np.log(slot_noise(slots)).astype(np.float32), slots)
 
-    def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        found = self.context.take(contexts[:, 0], axis=0)
-        found *= self.position[0]
-        for i in range(1, CONTEXT):
-            more = self.context.take(contexts[:, i], axis=0)
-            more *= self.position[i]
-            found += more
-        return found
-
     def params(self) -> np.ndarray:
         return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
 
@@ -389,7 +380,11 @@ class LogBilinear:
     def log10_units(self, units: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Normalised log10 probabilities of the units and of all hashed slots together."""
         slots = self.slots
-        own, hashed = self._first_level(slots.first_level(units) if slots.groups else units, contexts)
+        # Each position's distinct units, their parts of the contexts' vectors, and the place of each context's unit among them.
+        numbered = [_numbered(contexts[:, i], len(self.context)) for i in range(CONTEXT)]
+        parts = [self.context.take(found, axis=0) * self.position[i] for i, (found, _) in enumerate(numbered)]
+        places = [where for _, where in numbered]
+        own, hashed = self._first_level(slots.first_level(units) if slots.groups else units, parts, places)
         inside = np.flatnonzero(units >= slots.outputs)
         slot = units[inside] - slots.outputs
         group = slots.first_level(units[inside]) - slots.head
@@ -401,13 +396,13 @@ class LogBilinear:
             vectors, bias = np.ascontiguousarray(self.inner[members]), self.inner_bias[members]
             for at in range(start, end, ROWS):
                 s = slice(at, min(at + ROWS, end))
-                hidden = self.predicted(contexts.take(inside[s], axis=0))
+                hidden = _row_sums(parts, [where.take(inside[s]) for where in places])
                 more[s] = np.einsum("ij,ij->i", hidden, self.inner.take(slot[s], axis=0))
                 more[s] -= _log_sums(hidden, vectors, bias)[:, 0]
         own[inside] += more + self.inner_bias[slot]
         return own / np.log(10), hashed / np.log(10)
 
-    def _first_level(self, targets: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _first_level(self, targets: np.ndarray, parts: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of the targets and of all hashed slots together.
 
         A logit is the sum of a part of each unit before and the bias, so its exponential is the product of theirs:
@@ -415,14 +410,11 @@ class LogBilinear:
         """
         slots, first_hashed = self.slots, self.slots.head + self.slots.own_groups
         longest = np.sqrt(np.einsum("ij,ij->i", self.output, self.output).max())
-        parts, places, reach = [], [], np.full(len(contexts), np.abs(self.bias).max())
-        for i in range(CONTEXT):
-            units, where = _numbered(contexts[:, i], len(self.context))
-            parts.append(self.context.take(units, axis=0) * self.position[i])
-            places.append(where)
-            reach += (np.sqrt(np.einsum("ij,ij->i", parts[i], parts[i])) * longest).take(where)
+        reach = np.full(len(targets), np.abs(self.bias).max())
+        for part, where in zip(parts, places, strict=True):
+            reach += (np.sqrt(np.einsum("ij,ij->i", part, part)) * longest).take(where)
         # All outputs, and those of hashed slots.
-        sums = np.zeros((len(contexts), 2), np.float32)
+        sums = np.zeros((len(targets), 2), np.float32)
         width = max(32, TABLE // max(1, *map(len, parts)))
         with np.errstate(over="ignore", invalid="ignore"):
             for at in range(0, len(self.output), width):
@@ -430,7 +422,7 @@ class LogBilinear:
                 columns = np.ones((len(self.output[outputs]), 2), np.float32)
                 columns[: max(0, first_hashed - at), 1] = 0
                 tables = [_exponentials(part, self.output[outputs], None if i else self.bias[outputs]) for i, part in enumerate(parts)]
-                for row in range(0, len(contexts), ROWS):
+                for row in range(0, len(targets), ROWS):
                     s = slice(row, row + ROWS)
                     product = tables[0].take(places[0][s], axis=0)
                     for table, where in zip(tables[1:], places[1:], strict=True):
@@ -438,13 +430,13 @@ class LogBilinear:
                     sums[s] += product @ columns
         # Exponentials that floats may not hold: the largest logit is taken off first.
         far = ~(reach < LARGE)
-        own, hashed = np.empty(len(contexts)), np.empty(len(contexts))
+        own, hashed = np.empty(len(targets)), np.empty(len(targets))
         columns = np.ones((len(self.output), 2), np.float32)
         columns[:first_hashed, 1] = 0
         with np.errstate(divide="ignore", invalid="ignore"):
-            for row in range(0, len(contexts), ROWS):
+            for row in range(0, len(targets), ROWS):
                 s = slice(row, row + ROWS)
-                hidden, logs = self.predicted(contexts[s]), np.log(sums[s], dtype=np.float64)
+                hidden, logs = _row_sums(parts, [where[s] for where in places]), np.log(sums[s], dtype=np.float64)
                 if far[s].any():
                     logs[far[s]] = _log_sums(hidden[far[s]], self.output, self.bias, columns)
                 own[s] = np.einsum("ij,ij->i", hidden, self.output.take(targets[s], axis=0)) + self.bias[targets[s]] - logs[:, 0]
@@ -452,6 +444,14 @@ class LogBilinear:
         return own, hashed
 
 
+def _row_sums(parts: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """The sum of one row of each part."""
+    found = parts[0].take(places[0], axis=0)
+    for part, where in zip(parts[1:], places[1:], strict=True):
+        found += part.take(where, axis=0)
+    return found
+
+
 def _exponentials(rows: np.ndarray, outputs: np.ndarray, bias: np.ndarray | None) -> np.ndarray:
     """Of the products of rows and outputs, plus a bias of the outputs."""
     found, vectors = np.empty((len(rows), len(outputs)), np.float32), np.ascontiguousarray(outputs.T)
