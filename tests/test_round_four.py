@@ -2,11 +2,34 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from panelforge import catalog_models
 from panelforge.functions import scalars
 from panelforge.operators import machines
 
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def read_times(spark, monkeypatch):
+    """How often the machines are made anew by what is run, as a function without arguments."""
+    made, seen = catalog_models._machines, spark.sparkContext.accumulator(0)
+    rows = made(spark, DATA)
+    n = rows.count()
+
+    def watched(spark, sf_dir):
+        def through(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return made(spark, sf_dir).mapInArrow(through, rows.schema)
+
+    monkeypatch.setattr(catalog_models, "_machines", watched)
+    return lambda: seen.value / n
+
 
 def test_numbers_in_reasons_are_rounded_as_printf_does(spark):
     values = [1334.5, 1335.5, 0.25, 0.35, 0.15, 8.05, 8.25, 8.75, 12.95, 0.05, 0.5, 1.5, 2.5, 1e-12, 0.9999999, 99.95, 123456.25, 1e15 + 0.5, math.nextafter(0.25, 1), math.nextafter(0.25, 0), 0.0]
@@ -18,3 +41,9 @@ def test_numbers_in_reasons_are_rounded_as_printf_does(spark):
     row = spark.createDataFrame([(8.25, 1334.5)], "temp_diff double, rpm double").withColumns({"power": F.lit(5000.0), "strain_ratio": F.lit(0.1), "wear": F.lit(5)})
     text = row.select(machines.reason(F.array(F.lit("HDF")), F.create_map(F.lit("HDF"), F.lit(0.5)))).first()[0]
     assert text == "heat is not carried off: 8.2 K between process and air at 1334 rpm"
+
+
+def test_forest_and_trees_make_their_rows_once(spark, read_times):
+    found = {r.model: r for r in catalog_models.forest_and_trees(spark, DATA).collect()}
+    assert set(found) == {"forest", "trees"} and all(r.roc_auc > 0.8 for r in found.values())
+    assert read_times() <= 2  # the counts of the split and the split
