@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelforge import catalog_models
 from panelforge.functions import scalars
-from panelforge.operators import machines
+from panelforge.operators import machines, models, scoring
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,3 +48,27 @@ def test_forest_and_trees_make_their_rows_once(spark, read_times):
     found = {r.model: r for r in catalog_models.forest_and_trees(spark, DATA).collect()}
     assert set(found) == {"forest", "trees"} and all(r.roc_auc > 0.8 for r in found.values())
     assert read_times() <= 2  # the counts of the split and the split
+
+
+def test_training_makes_its_table_once_and_predictions_copy_no_row(spark, read_times):
+    assert catalog_models.training_report(spark, DATA).count() > 30 and read_times() <= 1
+    found = catalog_models.table_predictions(spark, DATA)
+    assert read_times() <= 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "__reset" not in plan
+
+
+@pytest.mark.parametrize("kind", ["logistic", "classes", "ridge", "trees", "values"])
+def test_models_in_numpy_score_as_spark_does(spark, kind):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), k, float(a + (k == "p") + rng.normal() / 3)) for a, b, k in zip(rng.normal(size=300), rng.normal(size=300), rng.choice(list("pqr"), 300), strict=True)]
+    y = {"ridge": F.col("v"), "values": F.col("v"), "classes": F.when(F.col("v") > 1, 2.0).when(F.col("v") > 0, 1.0).otherwise(0.0)}.get(kind, (F.col("v") > 0.5).cast("double"))
+    df = spark.createDataFrame(rows, "a double, b double, k string, v double").withColumn("y", y)
+    estimator = {"logistic": models.logistic(300), "classes": models.logistic(300), "ridge": models.ridge(300, 1.0), "trees": models.boosted(rounds=5), "values": models.boosted(True, rounds=5)}[kind]
+    _, ready = models.prepared(df, df, ["a", "b"], ["k"], ["y"])
+    model = estimator.fit(ready)
+    theirs = model.transform(ready).collect()
+    out, predicted = scoring.outputs(model)(np.array([r.features.toArray() for r in theirs]))
+    assert predicted.tolist() == pytest.approx([r.prediction for r in theirs])
+    if kind not in ("ridge", "values"):
+        assert np.allclose(out, [r.probability.toArray() for r in theirs], atol=1e-12)
