@@ -72,3 +72,9 @@ def test_models_in_numpy_score_as_spark_does(spark, kind):
     assert predicted.tolist() == pytest.approx([r.prediction for r in theirs])
     if kind not in ("ridge", "values"):
         assert np.allclose(out, [r.probability.toArray() for r in theirs], atol=1e-12)
+
+
+def test_permuted_rows_are_read_once_and_dealt_in_one_pass(spark, read_times):
+    found = {r.feature: r.importance for r in catalog_models.permutation_drop(spark, DATA).collect()}
+    assert set(found) == {"torque", "wear", "rpm"} and found["rpm"] == 0 and read_times() <= 1
+    assert [r.feature for r in catalog_models.top_drivers(spark, DATA).collect()] == sorted(found, key=lambda f: -found[f])[:2]
