@@ -78,3 +78,15 @@ def test_permuted_rows_are_read_once_and_dealt_in_one_pass(spark, read_times):
     found = {r.feature: r.importance for r in catalog_models.permutation_drop(spark, DATA).collect()}
     assert set(found) == {"torque", "wear", "rpm"} and found["rpm"] == 0 and read_times() <= 1
     assert [r.feature for r in catalog_models.top_drivers(spark, DATA).collect()] == sorted(found, key=lambda f: -found[f])[:2]
+
+
+def test_models_of_modes_make_their_rows_once_and_equal_fits_by_group(spark, read_times):
+    found = {(r.machine_id, r.mode): (r.y, r.p) for r in catalog_models.failure_mode_models(spark, DATA).collect()}
+    assert read_times() <= 1
+    rows = catalog_models._machines(spark, DATA).where("wear > 50")
+    rows = rows.withColumn("PWF", F.when(F.col("type") != "H", F.col("PWF"))).select("machine_id", *catalog_models._SENSORS, "OSF", "PWF", F.lit(0).alias("none")).persist()
+    ours = {r["mode"]: r for r in models.fit_logistic_labels(rows, catalog_models._SENSORS, ["OSF", "PWF", "none"]).collect()}
+    assert set(ours) == {"OSF", "PWF"} and len(found) == 3 * catalog_models._machines(spark, DATA).count()
+    for name in ours:
+        one = models.fit_logistic_groups(rows.withColumn("mode", F.lit(name)), catalog_models._SENSORS, name, "mode").first()
+        assert np.allclose([*ours[name].coefficients, ours[name].intercept], [*one.coefficients, one.intercept], rtol=1e-5, atol=1e-5)
