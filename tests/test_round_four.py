@@ -90,3 +90,9 @@ def test_models_of_modes_make_their_rows_once_and_equal_fits_by_group(spark, rea
     for name in ours:
         one = models.fit_logistic_groups(rows.withColumn("mode", F.lit(name)), catalog_models._SENSORS, name, "mode").first()
         assert np.allclose([*ours[name].coefficients, ours[name].intercept], [*one.coefficients, one.intercept], rtol=1e-5, atol=1e-5)
+
+
+def test_folds_are_dealt_once(spark, read_times):
+    found = catalog_models.out_of_fold(spark, DATA)
+    assert read_times() <= 2  # the counts of the split and the split
+    assert found.count() > 5000 and {r.fold for r in found.select("fold").distinct().collect()} == set(range(5)) and read_times() <= 2
